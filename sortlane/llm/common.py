@@ -70,3 +70,50 @@ class Memo:
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         self.young[key] = value
+
+
+def dropped(spark: SparkSession, staged_df: DataFrame) -> None:
+    """Delete the files of a ``staged`` table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for folder in {x.rpartition("/")[0] for x in staged_df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def word_hashes(words: list[str], memo: Memo):
+    """64-bit hashes of words."""
+    import numpy as np
+    import xxhash
+
+    got = list(map(memo.young.get, words))
+    if None in got:
+        for i, x in enumerate(got):
+            if x is None:
+                if (x := memo.get(words[i])) is None:
+                    memo.put(words[i], x := xxhash.xxh64_intdigest(words[i]))
+                got[i] = x
+    return np.array(got, np.uint64)
+
+
+def window_hashes(words, size: int):
+    """64-bit hashes of all windows of ``size`` consecutive word hashes."""
+    import numpy as np
+
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            out = mixed(out ^ words[i : i + n]) + np.uint64(0x9E3779B97F4A7C15)
+    return mixed(out)
+
+
+def mixed(x):
+    """The finaliser of the SplitMix64 generator (public constants)."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))

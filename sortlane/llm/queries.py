@@ -78,3 +78,65 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_piece_codec, op2_token_records, op4_quality_rules, op5_language_id, op9_packing)}
 SQL: dict[str, str] = {}
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, as_text, of_kind, scan
+
+    s = F.col("spans")
+    count = lambda k: F.size(of_kind(s, [k])).cast("long").alias(f"n_{k}")
+    rows = scan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *map(count, BASE), F.sha2(as_text(of_kind(s, BASE)), 256).alias("base_sha256"), as_text(s).alias("spans"))
+
+
+def _secret_sql() -> str:
+    from .secrets import sql
+
+    return sql()
+
+
+QUERIES["op3_secret_scan"] = op3_secret_scan
+SQL["op3_secret_scan"] = _secret_sql()
+SQL["op4_quality_rules"] = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM words),
+grams AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM pos WHERE i + 4 <= len(w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+figures AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM words LEFT JOIN dups d USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM figures),
+failed AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR 30 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS failed FROM judged),
+hosts AS (SELECT source, count(*) AS n, count_if(failed) AS f FROM failed GROUP BY source),
+prior AS (SELECT sum(f) / sum(n) AS mean, var_samp(f / n) AS spread FROM hosts),
+strength AS (SELECT mean, CASE WHEN spread > 1e-12 THEN greatest(mean * (1 - mean) / spread - 1, 0) ELSE 1e9 END AS s FROM prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (f + mean * s) / (n + s) < 0.6 AS kept
+FROM failed JOIN hosts ON failed.source IS NOT DISTINCT FROM hosts.source, strength
+"""
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup
+
+    rows = dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op7_substring_dedup"] = op7_substring_dedup
+SQL["op7_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM words),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS g FROM pos WHERE i + 19 <= len(w)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w[i], ' ' ORDER BY i) AS t FROM pos ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
