@@ -140,3 +140,26 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(w[i], ' ' ORDER BY i) AS t FRO
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
 """
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar
+
+    return similar(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_ngram_jaccard"] = op8_ngram_jaccard
+SQL["op8_ngram_jaccard"] = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i, w FROM words WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM pos),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+few AS (SELECT g FROM sh GROUP BY g HAVING count(*) > 1),
+shared AS (SELECT doc_id, g FROM sh SEMI JOIN few USING (g)),
+both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM shared a JOIN shared b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_in JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) m USING (doc_id)
+"""

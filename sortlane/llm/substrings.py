@@ -100,7 +100,7 @@ def surviving_seeds(docs: DataFrame, seed: int = SEED) -> DataFrame:
     u = Window.partitionBy("h", "c").orderBy("did", "at")
     more = lambda v, x: (F.col(x) > 0) & (F.lag(F.lit(1)).over(v).isNotNull() | F.lead(F.lit(1)).over(v).isNotNull())
     alone = Window.partitionBy("h").orderBy("did", "at")
-    seeds = sent.repartition(F.col("h")).withColumn("again", F.lag(F.lit(1)).over(alone).isNotNull() | F.lead(F.lit(1)).over(alone).isNotNull()).where("again")
+    seeds = sent.repartition(F.col("h")).withColumn("again", F.lag(F.lit(1)).over(alone).isNotNull() | F.lead(F.lit(1)).over(alone).isNotNull()).where("again or ahead or behind")
     judged = seeds.withColumn("ahead", F.col("ahead") | more(w, "a")).withColumn("behind", F.col("behind") | more(u, "c"))
     known = found.where("not sent").select("did", "at", "ahead", "behind", "h")
     out = staged(judged.select("did", "at", "ahead", "behind", "h").where("ahead or behind").unionByName(known), "survivors")
