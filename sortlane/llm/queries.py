@@ -163,3 +163,28 @@ reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN e
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) m USING (doc_id)
 """
+
+
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .masked_lm import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs))
+
+
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near
+
+    return near(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op6_masked_lm"] = op6_masked_lm
+QUERIES["op10_nn_descent"] = op10_nn_descent
+SQL["op10_nn_descent"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, e.b FROM reach r JOIN links e ON r.b = e.a)
+SELECT m.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(least(m.vec_id, coalesce(c, m.vec_id)) AS BIGINT) AS component_id, m.vec_id = least(m.vec_id, coalesce(c, m.vec_id)) AS kept
+FROM embeddings m LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = m.vec_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = m.vec_id
+"""

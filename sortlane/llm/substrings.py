@@ -160,8 +160,9 @@ def repeated_ranges(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return covered.groupBy("did").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, whole_rows: bool = False) -> DataFrame:
     """``key, n_words, n_removed, kept`` of every row: the kept words joined by a blank.
+    With ``whole_rows`` the input row comes along as a struct ``row``.
 
     Of equal windows of ``4 * seed`` words the one that starts first stays: smaller
     ``key`` (null first), then the hash of id and text, then the earlier place.  Rows
@@ -169,7 +170,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     empty table gives an empty result.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("did", document_key())
-    joined = rows.join(repeated_ranges(rows, seed), "did", "left").select("doc_id", "text", "ranges")
+    kind = dict(docs.withColumn("__r", F.struct(*docs.columns)).dtypes)["__r"] if whole_rows else "int"
+    whole = docs.select(document_key(key, text).alias("did"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.struct(*docs.columns) if whole_rows else F.lit(None).cast("int")).alias("row"))
+    joined = whole.join(repeated_ranges(rows, seed), "did", "left").select("doc_id", "text", "ranges", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,9 +189,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
                         kept = [w for w, m in zip(words, np.cumsum(mask).tolist(), strict=False) if not m]
                     out.append((len(words), len(words) - len(kept), " ".join(kept)))
                 n, gone, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), b.column(3)], ["doc_id", "n_words", "n_removed", "kept", "row"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("doc_id", key)
+    out = joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept string, row {kind}").withColumnRenamed("doc_id", key)
+    return out if whole_rows else out.drop("row")
 
 
 def brute_force(rows: list[tuple], size: int = 4 * SEED) -> dict:
