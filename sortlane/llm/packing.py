@@ -24,7 +24,7 @@ from .common import staged, with_row_id
 from .piece_codec import lists_of
 from .tokens import encoder
 
-GROUP = 2048
+GROUP = 4096
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,59 +75,70 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, rounds: int = 40) -> list[list[int]]:
-    """Exchange pieces between underfull bins while squared fill increases."""
-    fill = [int(sum(lengths[i] for i in b)) for b in bins]
-    for _ in range(rounds):
-        changed = False
-        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: fill[b])
-        for low in order:
-            for high in reversed(order):
-                if low == high or not 0 < fill[low] <= fill[high] < size:
-                    continue
-                if (step := _exchange(bins[low], bins[high], lengths, size - fill[high])) is not None:
-                    out, back = step
-                    gain = int(sum(lengths[i] for i in out) - sum(lengths[i] for i in back))
-                    bins[low] = [i for i in bins[low] if i not in out] + back
-                    bins[high] = [i for i in bins[high] if i not in back] + out
-                    fill[low] -= gain
-                    fill[high] += gain
-                    changed = True
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _exchange(low: list[int], high: list[int], lengths: np.ndarray, room: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills the fuller bin most: (pieces to it, pieces from it).
-
-    The gain of the fuller bin lies between 1 and its room, so squared fill grows.
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, lows: int = 12, steps: int = 60) -> list[list[int]]:
+    """Exchange pieces between underfull bins while squared fill increases.
+
+    The emptiest bins give pieces to fuller ones (a move, one for one, two for one)
+    until they are empty or no exchange fills another bin further.  With as few bins as
+    the total length needs there is nothing to gain.
+    """
+    least = -(-int(lengths.sum()) // size)
+    bin_of = np.empty(len(lengths), np.int64)
+    for k, b in enumerate(bins):
+        bin_of[b] = k
+    fill = np.bincount(bin_of, lengths, len(bins)).astype(np.int64)
+    n_bins = len(bins)
+    for low in np.argsort(fill, kind="stable")[:lows]:
+        for _ in range(steps):
+            if n_bins <= least or not fill[low]:
+                break
+            if not _exchanged(int(low), bin_of, fill, lengths, size):
+                break
+        n_bins = int((fill > 0).sum())
+    out: dict[int, list[int]] = {}
+    for i, k in enumerate(bin_of.tolist()):
+        out.setdefault(k, []).append(i)
+    return list(out.values())
+
+
+def _exchanged(low: int, bin_of: np.ndarray, fill: np.ndarray, lengths: np.ndarray, size: int) -> bool:
+    """Make the exchange that fills another bin most; False if there is none.
+
+    The other bin is at least as full and gains between 1 and its room, so the sum
+    of squared fill grows.
     """
-    a, b = np.array([lengths[i] for i in low]), np.array([lengths[i] for i in high])
+    mine = np.flatnonzero(bin_of == low)
+    a = lengths[mine]
+    room = np.where((fill >= fill[low]) & (fill < size), size - fill, 0)
+    room[low] = 0
     best, step = 0, None
-    fits = np.where(a <= room, a, 0)  # a move
+    bins = np.flatnonzero(room)
+    fits = np.where(a[:, None] <= room[None, bins], a[:, None], 0) if len(bins) else np.zeros((1, 1))
     if fits.max() > best:
-        best, step = int(fits.max()), ([low[int(fits.argmax())]], [])
-    one = a[:, None] - b[None, :]  # one for one
-    one = np.where(one <= room, one, 0)
-    if one.max() > best:
-        x, y = divmod(int(one.argmax()), len(b))
-        best, step = int(one.max()), ([low[x]], [high[y]])
-    if len(a) > 1 and len(a) <= 64:  # two for one
-        p, q = np.triu_indices(len(a), 1)
-        two = (a[p] + a[q])[:, None] - b[None, :]
-        two = np.where(two <= room, two, 0)
-        if two.max() > best:
-            x, y = divmod(int(two.argmax()), len(b))
-            best, step = int(two.max()), ([low[int(p[x])], low[int(q[x])]], [high[y]])
-    if len(b) > 1 and len(b) <= 64:  # one for two
-        p, q = np.triu_indices(len(b), 1)
-        two = a[:, None] - (b[p] + b[q])[None, :]
-        two = np.where(two <= room, two, 0)
-        if two.max() > best:
-            x, y = divmod(int(two.argmax()), len(p))
-            best, step = int(two.max()), ([low[x]], [high[int(p[y])], high[int(q[y])]])
-    return step
+        x, y = divmod(int(fits.argmax()), fits.shape[1])
+        best, step = int(fits.max()), ([mine[x]], [], int(bins[y]))
+    theirs = np.flatnonzero(room[bin_of])
+    if len(theirs):
+        y_len, y_room = lengths[theirs], room[bin_of[theirs]]
+        one = a[:, None] - y_len[None, :]
+        one = np.where(one <= y_room, one, 0)
+        if one.max() > best:
+            x, y = divmod(int(one.argmax()), one.shape[1])
+            best, step = int(one.max()), ([mine[x]], [theirs[y]], int(bin_of[theirs[y]]))
+        if 1 < len(a) <= 40:
+            p, q = np.triu_indices(len(a), 1)
+            two = (a[p] + a[q])[:, None] - y_len[None, :]
+            two = np.where(two <= y_room, two, 0)
+            if two.max() > best:
+                x, y = divmod(int(two.argmax()), two.shape[1])
+                best, step = int(two.max()), ([mine[p[x]], mine[q[x]]], [theirs[y]], int(bin_of[theirs[y]]))
+    if step is None:
+        return False
+    out, back, high = step
+    bin_of[out], bin_of[back] = high, low
+    fill[low] -= best
+    fill[high] += best
+    return True
 
 
 def _laid_out(pdf: pd.DataFrame, bins: list[list[int]], group: int) -> pd.DataFrame:
@@ -161,7 +172,7 @@ def pack(pieces: DataFrame, size: int = 1024, group: int = GROUP) -> DataFrame:
         pdf = pdf.sort_values(["sequence_id", "offset"], ignore_index=True)
         n = pdf["length"].to_numpy()
         bins = [list(map(int, x)) for x in pdf.groupby("sequence_id").indices.values()]
-        return _laid_out(pdf.drop(columns=["__group"]), local_search(bins, n, size, 100), int(pdf["__group"].iloc[0]) + n_groups)
+        return _laid_out(pdf.drop(columns=["__group"]), local_search(bins, n, size, 40), int(pdf["__group"].iloc[0]) + n_groups)
 
     dealt = short.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(n_groups)))
     one = staged(dealt.groupBy("__group").applyInPandas(first, schema), "packed")
