@@ -64,7 +64,7 @@ def typos_fixed(s: Column, pairs: list[tuple[str, str]]) -> Column:
 
 def kept_lines(s: Column) -> Column:
     """Lines of three characters or more, at least half of them letters or digits, joined by blanks."""
-    lines = F.transform(F.split(s, "\n"), F.trim)
+    lines = F.transform(F.split(s, "\n"), lambda x: F.trim(x))
     share = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) / F.length(x)
     return F.array_join(F.filter(lines, lambda x: (F.length(x) >= 3) & (share(x) >= 0.5)), " ")
 

@@ -1,4 +1,4 @@
 """Queries of the library over the driver's tables."""
 
-from . import lidar_queries, match_queries, sequence_queries, store_queries  # noqa: F401
+from . import lidar_queries, match_queries, sequence_queries, store_queries, text_queries  # noqa: F401
 from .catalog import QUERIES, SQL  # noqa: F401
