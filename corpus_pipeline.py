@@ -15,7 +15,7 @@ from sortlane.llm.jaccard import BROADCAST_IDS, similar
 from sortlane.llm.language import predict
 from sortlane.llm.packing import pack_documents
 from sortlane.llm.queries import language_model, tokenizer_path
-from sortlane.llm.secrets import masked
+from sortlane.llm.secret_scan import masked
 from sortlane.llm.substrings import dedup
 
 #: Documents whose best language has a smaller posterior go.

@@ -81,7 +81,7 @@ SQL: dict[str, str] = {}
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import BASE, as_text, of_kind, scan
+    from .secret_scan import BASE, as_text, of_kind, scan
 
     s = F.col("spans")
     count = lambda k: F.size(of_kind(s, [k])).cast("long").alias(f"n_{k}")
@@ -90,7 +90,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _secret_sql() -> str:
-    from .secrets import sql
+    from .secret_scan import sql
 
     return sql()
 
