@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def characters(s: Column) -> Column:
@@ -70,7 +71,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the characters in matching blocks over the sum of lengths (no built-in does this)."""
     from difflib import SequenceMatcher
