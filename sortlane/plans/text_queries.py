@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -93,13 +94,12 @@ def _(t):
 
 @query("ext_buyer_block", "label_text", "SELECT scan_id, CASE WHEN scan_id % 3 = 0 THEN 'Carlos Johnson' ELSE 'Thomas Gonzalez' END AS name, buyer_address AS address FROM label_text JOIN scans USING (scan_id)".replace("label_text JOIN scans USING (scan_id)", "scans"))
 def _(t):
-    name, address = extract.buyer_block(C("raw_text"))
-    return t.select("scan_id", name.alias("name"), address.alias("address"))
+    return extract.with_buyer(t, "raw_text").select("scan_id", C("buyer_name").alias("name"), C("buyer_address").alias("address"))
 
 
 @query("ext_ph_address", "label_text", "SELECT scan_id, CASE WHEN buyer_address IS NOT NULL THEN buyer_address END AS address FROM scans")
 def _(t):
-    return t.select("scan_id", extract.address_of(C("raw_text")).alias("address"))
+    return t.withColumn("lines", extract.lines_of(C("raw_text"))).select("scan_id", extract.address_of(C("raw_text"), C("lines")).alias("address"))
 
 
 @query("top_longest_brgy_line", "label_text", "WITH l AS (SELECT scan_id, unnest(string_split(raw_text, chr(10))) AS line FROM label_text) SELECT scan_id, arg_max(line, length(line)) AS line FROM l WHERE contains(lower(line), 'brgy') GROUP BY scan_id")
@@ -188,12 +188,15 @@ def corrected(rows):
 
 
 def scan_fields(t):
-    """Fields of label text by the label patterns, looser ones for gaps, and the buyer block."""
+    """Fields of label text by the label patterns, looser ones for gaps, and the buyer block.
+
+    Kept on executors (memory, then disk): dictionary matching reads the fields once for
+    the distinct texts and once to join back, and must not extract them again.
+    """
     text = C("raw_text")
     fields = extract.regex_fields(text)
-    name, address = extract.buyer_block(text)
-    fields = fields | extract.fallbacks(text, fields) | {"buyer_name": name, "buyer_address": F.coalesce(address, extract.address_of(text))}
-    return t.select("scan_id", "confidence", "engine", *(v.alias(k) for k, v in fields.items()))
+    fields = fields | extract.fallbacks(text, fields) | {"buyer_name": C("buyer_name"), "buyer_address": F.coalesce("buyer_address", extract.address_of(text, C("__lines")))}
+    return extract.with_buyer(t, "raw_text").select("scan_id", "confidence", "engine", *(v.alias(k) for k, v in fields.items())).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query("pipe_correct_fields", "label_text", "SELECT scan_id, tracking_id, rider_id, payment AS payment_type, quantity FROM (SELECT scan_id, tracking_id, rider_id, CASE WHEN payment_type = 'cop' THEN 'COD' ELSE payment_type END AS payment, coalesce(quantity, greatest(1, weight_g // 500)) AS quantity FROM scans)")

@@ -26,6 +26,8 @@ FIRST_NAMES = "John Jane Michael Sarah David Emma Chris Lisa James Maria Robert
 LAST_NAMES = "Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Martinez Hernandez Lopez Gonzalez Wilson Anderson Santos Cruz Reyes Flores Morales".split()
 # Spelling variations -> canonical name.
 BARANGAY_VARIATIONS = {"MUZON": "Muzon", "MUZOM": "Muzon", "MUZ0N": "Muzon", "MUZ0M": "Muzon", "GRACEVILLE": "Graceville", "GR4CEVILLE": "Graceville", "GRACEVILE": "Graceville", "GRACVILE": "Graceville"}
+# Spelling variations of one barangay's districts -> canonical name.
+DISTRICT_VARIATIONS = {"NORTH": "North", "N0RTH": "North", "MORTH": "North", "SOUTH": "South", "S0UTH": "South", "SOUT": "South", "CENTRAL": "Central", "CENTR4L": "Central", "GENTRAL": "Central", "PROPER": "Proper", "PR0PER": "Proper", "PROP3R": "Proper"}
 # Literal corrections of the simple reader, in order.
 TYPOS = [("DRDER", "ORDER"), ("5", "S"), ("0", "O"), ("1", "I"), ("8", "B"), ("C0DE", "CODE"), ("RT5", "RTS"), ("F3X", "FEX"), ("8UL", "BUL")]
 # Labels whose parts the keyword score looks for.
@@ -71,8 +73,8 @@ def names(spark: SparkSession) -> DataFrame:
     return words(spark, FIRST_NAMES).unionByName(words(spark, LAST_NAMES))
 
 
-def variations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate(BARANGAY_VARIATIONS.items())], "pos int, variation string, canonical string")
+def variations(spark: SparkSession, items: dict[str, str] = BARANGAY_VARIATIONS) -> DataFrame:
+    return spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate(items.items())], "pos int, variation string, canonical string")
 
 
 def read_courier(spark: SparkSession, path: str, courier: str) -> DataFrame:
