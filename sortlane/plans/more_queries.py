@@ -86,7 +86,7 @@ def _(scans):
 @query("ext_anchor_match", "label_text", None)
 def _(t):
     lines = t.select(F.explode(F.split("raw_text", "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
-    return lines.select("line", "n", extract.anchor_of(C("line")).alias("anchor")).where("anchor IS NOT NULL")
+    return lines.select("line", "n", extract.anchor_of("line").alias("anchor")).where("anchor IS NOT NULL")
 
 
 @query("ext_anchor_fields_job", "label_text", "SELECT scan_id, order_id, 'FEX-BUL-SJDM-MZN' || (scan_id % 4 + 1) || '-GY0' || (scan_id % 4 + 1) AS sort_code, CASE WHEN weight_g BETWEEN 100 AND 7000 THEN CAST(weight_g AS VARCHAR) END AS weight, CASE WHEN quantity IS NOT NULL THEN CAST(quantity AS VARCHAR) END AS quantity FROM scans")
