@@ -8,9 +8,11 @@ reads it back, which cuts the lineage and survives the loss of executors.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+@contextmanager
+def no_cycle_collection():
+    """Without passes of the cycle collector over large memos; for blocks that make no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Memo:
     """A dictionary of bounded size in two generations: when the young one is
     full it becomes the old one, and what is still in use moves up again."""

@@ -75,7 +75,7 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, lows: int = 12, steps: int = 60) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, lows: int = 12, steps: int = 60, passes: int = 4) -> list[list[int]]:
     """Exchange pieces between underfull bins while squared fill increases.
 
     The emptiest bins give pieces to fuller ones (a move, one for one, two for one)
@@ -87,14 +87,15 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, lows: in
     for k, b in enumerate(bins):
         bin_of[b] = k
     fill = np.bincount(bin_of, lengths, len(bins)).astype(np.int64)
-    n_bins = len(bins)
-    for low in np.argsort(fill, kind="stable")[:lows]:
-        for _ in range(steps):
-            if n_bins <= least or not fill[low]:
-                break
-            if not _exchanged(int(low), bin_of, fill, lengths, size):
-                break
-        n_bins = int((fill > 0).sum())
+    for _ in range(passes):
+        before = fill.copy()
+        open_bins = np.flatnonzero((fill > 0) & (fill < size))
+        for low in open_bins[np.argsort(fill[open_bins], kind="stable")][:lows]:
+            for _ in range(steps):
+                if (fill > 0).sum() <= least or not fill[low] or not _exchanged(int(low), bin_of, fill, lengths, size):
+                    break
+        if (before == fill).all():
+            break
     out: dict[int, list[int]] = {}
     for i, k in enumerate(bin_of.tolist()):
         out.setdefault(k, []).append(i)

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import Memo
+from .common import Memo, no_cycle_collection
 
 MEMO, LONGEST_KEY = 500_000, 64
 _BEFORE_BLANK = re.compile(r"(?<=[^\s])(?= )")
@@ -60,6 +60,10 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        with no_cycle_collection():
+            return self._encode_many(texts)
+
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
         keys = [self.keys(x) if x else [] for x in texts]
         young = self.memo.young.get
         got = [list(map(young, x)) for x in keys]
