@@ -28,7 +28,7 @@ GROUPS, SIDE, DIMS, SALTS = 64, 2, 16, 64
 WORDS = GROUPS * GROUPS
 EDGE = WORDS  # the id of places outside the text
 #: Training: rounds of averaging, share of the documents (1 in ...), rate, words a step.
-ROUNDS, ONE_IN, RATE, STEP = 2, 8, 0.1, 512
+ROUNDS, ONE_IN, RATE, STEP = 2, 8, 0.3, 4096
 SHAPES = {"embed": (WORDS + 1, 2 * SIDE, DIMS), "hidden": (DIMS, DIMS), "group": (GROUPS, DIMS), "word": (WORDS, DIMS), "bias": (WORDS + GROUPS,)}
 
 
@@ -101,8 +101,11 @@ def improve(w: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, rate:
     for name, own, gradient in steps:
         w[name][own] -= scale * gradient
     w["hidden"] -= scale * (pre.T @ back)
+    inward *= scale
     for i in range(2 * SIDE):
-        np.add.at(w["embed"], (around[:, i], i), -scale * inward)
+        used, at = np.unique(around[:, i], return_inverse=True)
+        for d in range(DIMS):  # sums by word; faster than adding row by row
+            w["embed"][used, i, d] -= np.bincount(at, inward[:, d], len(used))
 
 
 def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
