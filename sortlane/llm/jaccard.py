@@ -16,20 +16,19 @@ are not in one component yet, so no component is missed.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import WORD_PATTERN, Memo, staged, window_hashes, word_hashes
+from .common import Memo, no_cycle_collection, staged, window_hashes
 from .components import components
 
-_WORD = re.compile(WORD_PATTERN)
-_LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 SHINGLE, THRESHOLD, SALTS, BLOCK = 4, 85, 64, 512
 #: Counts by bucket: a table of fixed size; it is broadcast (2 MB).
 BUCKETS, PIECE = 1 << 18, 1 << 13
@@ -38,19 +37,54 @@ BROADCAST_IDS = 300_000
 CLASSES = 64
 
 
-def shingle_set(text: str | None, memo: Memo, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; of the whole text if it has fewer words."""
-    words = _WORD.findall(text.translate(_LOWER) if text.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), text)) if text else ()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words, memo)
-    return np.unique(window_hashes(h, min(size, len(h))) ^ np.uint64(min(size, len(h))))
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8 with A to Z lower-cased.  Lower-casing and splitting bytes touches
+    ASCII letters and the six ASCII white-space characters only."""
+    return text.encode("utf-8", "replace").lower().split() if text else []
+
+
+def shingle_sets(texts: list[str | None], memo: Memo, size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text; of the whole text if it has fewer words."""
+    each = [words_of(x) for x in texts]
+    hashed = byte_hashes(list(chain.from_iterable(each)), memo)
+    every = window_hashes(hashed, size)
+    out, at = [], 0
+    for words in each:
+        n = len(words)
+        if n >= size:
+            out.append(np.unique(every[at : at + n - size + 1]))
+        elif n:
+            out.append(window_hashes(hashed[at : at + n], n) ^ np.uint64(n))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += n
+    return out
+
+
+def byte_hashes(words: list[bytes], memo: Memo) -> np.ndarray:
+    """64-bit hashes of words."""
+    got = list(map(memo.young.get, words))
+    if None in got:
+        for i, x in enumerate(got):
+            if x is None:
+                if (x := memo.get(words[i])) is None:
+                    memo.put(words[i], x := xxhash.xxh64_digest(words[i]))
+                got[i] = x
+    return np.frombuffer(b"".join(got), "<u8")
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], column: int, memo: Memo, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches of bounded size with the shingle sets of their texts."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            b = batch.slice(lo, 256)
+            with no_cycle_collection():
+                sets = shingle_sets(b.column(column).to_pylist(), memo, size)
+            yield b, sets
 
 
 def set_key(h: np.ndarray) -> int:
     """A 64-bit key of a set."""
-    import xxhash
-
     return xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
 
 
@@ -62,13 +96,10 @@ def _sets_and_counts(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = Memo(300_000), np.zeros(BUCKETS, np.uint32)
         names = ["doc_id", "n", "key", "block", "counts"]
-        for b in batches:
-            n, key = [], []
-            for text in b.column(1).to_pylist():
-                h = shingle_set(text, memo, size)
-                n.append(len(h))
-                key.append(set_key(h) if len(h) else None)
-                np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        for b, sets in in_slices(batches, 1, memo, size):
+            n = [len(h) for h in sets]
+            key = [set_key(h) if len(h) else None for h in sets]
+            counts += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
             rows = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         k = BUCKETS // PIECE
@@ -102,14 +133,13 @@ def _nodes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, table = Memo(300_000), shared.value
-        for b in batches:
+        for _, sets in in_slices(batches, 1, memo, size):
             rows = {}
-            for text in b.column(1).to_pylist():
-                h = shingle_set(text, memo, size)
+            for h in sets:
                 if not len(h) or (key := set_key(h)) in rows:
                     continue
                 order = np.lexsort((h, table[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                sig = np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 65535).astype("<u2")
+                sig = np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
                 rows[key] = len(h), h[order[: prefix_length(len(h), percent)]].view(np.int64), sig.tobytes()
             if rows:
                 n, prefix, sig = zip(*rows.values(), strict=True)
@@ -124,8 +154,9 @@ def _needed(na, nb, percent):
     return -((-percent * (na + nb)) // (100 + percent))
 
 
-def _candidates(hits: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """``a, b`` (a < b) of pairs that pass all filters, from rows ``tok, comp, key, n, pos, sig``.
+def _candidates(hits: DataFrame, signs: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """``a, b`` (a < b) of pairs that pass all filters, from rows ``tok, comp, key, n, pos`` and
+    the signatures ``key, sig``.
 
     With ``all_pairs`` each pair of different components comes out, else one
     tree of the likeliest links of each block.
@@ -136,8 +167,9 @@ def _candidates(hits: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     small = placed.join(large.select("tok"), "tok", "left_anti").withColumns({"i": F.lit(0), "j": F.lit(0)})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = placed.join(large, "tok").withColumn("o", other).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
-    columns = ["tok", "i", "j", "blk", "comp", "key", "n", "pos", "sig"]
-    rows = small.select(columns).unionByName(dealt.select(columns)).repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
+    columns = ["tok", "i", "j", "blk", "comp", "key", "n", "pos"]
+    rows = small.select(columns).unionByName(dealt.select(columns)).join(signs, "key").select(*columns, "sig")
+    rows = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -163,7 +195,7 @@ def _group_numbers(t: pa.Table) -> np.ndarray:
 
 def _pairs(t: pa.Table, group: np.ndarray, percent: int, all_pairs: bool) -> Iterator[pa.RecordBatch]:
     i, j, blk, comp, key, n, pos = (t.column(c).to_numpy() for c in ("i", "j", "blk", "comp", "key", "n", "pos"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int32)
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int32)
     counted = sig.sum(1)
     stop = np.searchsorted(group, group, side="right")
     following = stop - np.arange(len(group)) - 1
@@ -228,21 +260,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _whole_sets(docs: DataFrame, owners: DataFrame, size: int) -> DataFrame:
-    """``key, hashes`` of the documents in ``owners`` (key, owner: one document a class)."""
+def _whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """``key, hashes`` of the classes in ``pairs``, from one document (``owner``) of each class.
+
+    A repeated id can give a class twice; that only repeats a link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(300_000)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
-                rows = {set_key(h): h.tobytes() for x in b.column(1).to_pylist() if len(h := shingle_set(x, memo, size))}
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["key", "hashes"])
+        for _, sets in in_slices(batches, 1, memo, size):
+            rows = {set_key(h): h.tobytes() for h in sets if len(h)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["key", "hashes"])
 
-    ids = owners.select(F.col("owner").alias("doc_id")).distinct()
+    keys = staged(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
+    ids = staged(classes.join(keys, "key", "left_semi").select(F.col("owner").alias("doc_id")).distinct(), "owners")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "key long, hashes binary").dropDuplicates(["key"])
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "key long, hashes binary")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
@@ -259,23 +293,25 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     classes = staged(base.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("owner")), "classes")
     nodes = staged(_nodes(whole, _summed(one.where("block is not null")), size, percent), "nodes")
     tokens = nodes.select("key", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "key", F.struct("n", "pos").alias("at"))
-    w = Window.partitionBy("tok").orderBy("key")
-    met = tokens.repartition("tok").withColumn("met", F.lag(F.lit(1)).over(w).isNotNull() | F.lead(F.lit(1)).over(w).isNotNull()).where("met")
-    hits = staged(met.select("tok", "key", F.col("at.n").alias("n"), F.col("at.pos").cast("long").alias("pos")), "hits")
+    # a class stays at a shingle if a class of like size is there too: the next smaller or larger one is the likest
+    w = Window.partitionBy("tok").orderBy("n", "key")
+    n = F.col("n")
+    met = (100 * F.lag("n").over(w) >= percent * n) | (100 * n >= percent * F.lead("n").over(w))
+    tokens = tokens.select("tok", "key", F.col("at.n").alias("n"), F.col("at.pos").cast("long").alias("pos"))
+    hits = staged(tokens.repartition("tok").withColumn("met", met).where("met").drop("met"), "hits")
     active = staged(hits.select("key").distinct(), "active")
     signs = staged(nodes.select("key", "sig").join(active, "key", "left_semi"), "signs")
-    hits = hits.join(signs, "key")
-    sets = staged(_whole_sets(whole, classes.join(active, "key", "left_semi"), size), "whole")
-    likely = staged(_candidates(hits.withColumn("comp", F.col("key")), percent, False), "likely")
-    links = staged(_verified(likely, sets, percent), "links")
+    likely = staged(_candidates(hits.withColumn("comp", F.col("key")), signs, percent, False), "likely")
+    links = staged(_verified(likely, staged(_whole_sets(whole, classes, likely, size), "whole"), percent), "links")
     comps = staged(components(links), "components")
     tagged = hits.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     tagged = staged(tagged, "tagged")
     mixed_toks = staged(tagged.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok"), "mixed")
-    open_pairs = staged(_candidates(tagged.join(mixed_toks, "tok", "left_semi"), percent, True), "open")
-    more = staged(_verified(open_pairs, sets, percent), "links")
-    if more.limit(1).count():
-        comps = staged(components(links.unionByName(more)), "components")
+    open_pairs = staged(_candidates(tagged.join(mixed_toks, "tok", "left_semi"), signs, percent, True), "open")
+    if open_pairs.limit(1).count():
+        more = staged(_verified(open_pairs, staged(_whole_sets(whole, classes, open_pairs, size), "whole"), percent), "links")
+        if more.limit(1).count():
+            comps = staged(components(links.unionByName(more)), "components")
     named = classes.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = staged(named, "named")
     ids = staged(named.groupBy("component").agg(F.min("owner").alias("component_id")), "ids")
