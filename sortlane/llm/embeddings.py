@@ -5,9 +5,11 @@ vectors that are close in a few random projections.  Each round joins every
 vector's neighbours (forward and backward) around it and offers them to each other;
 the best ``k`` stay.  Where a list is saturated (every neighbour is over the
 threshold) it is enlarged to all vectors that threshold edges reach, compared in blocks of
-bounded size.  Links are counted there, so a large group costs no row a link.  Recall is audited
-against brute force on a fixed number of query vectors; below the goal the search goes
-on with new projections.
+bounded size.  Links are counted there, so a large group costs no row a link.  A saturated
+list can hide links with other components, so its vector searches again, only outside its
+component, until that joins nothing more.  Recall is audited against brute force on every
+hundredth id (256 vectors at least); below the goal the search goes on with new projections,
+and after the last one all vectors are compared in blocks.
 """
 
 from __future__ import annotations
@@ -16,15 +18,16 @@ import logging
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 from .components import components
 
 THRESHOLD, NEIGHBOURS, BACKWARD, TREES, BITS, LEAF, ROUNDS, BLOCK = 0.9, 6, 6, 4, 8, 128, 2, 512
-AUDIT, GOAL, MOST_SEARCHES = 256, 0.97, 4
+AUDIT, AUDIT_BLOCK, GOAL, MOST_SEARCHES, FRUITLESS = 256, 4096, 0.97, 4, 2
 log = logging.getLogger(__name__)
 
 
@@ -43,7 +46,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _leaves(classes: DataFrame, dims: int, seed: int, k: int) -> DataFrame:
-    """``u, v, sim``: the best ``k`` neighbours in blocks of vectors that a random projection brings together."""
+    """``u, v, sim``: the best ``k`` neighbours (of other components) in blocks of vectors that a random projection brings together."""
     rng = np.random.default_rng(seed)
     planes = rng.normal(size=(dims, BITS + 1))
 
@@ -52,31 +55,30 @@ def _leaves(classes: DataFrame, dims: int, seed: int, k: int) -> DataFrame:
             if b.num_rows:
                 p = _matrix(b.column(1)) @ planes
                 code = ((p[:, :BITS] > 0) << np.arange(BITS)).sum(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(code.astype(np.int64)), pa.array(p[:, BITS])], ["id", "v", "code", "p"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(code.astype(np.int64)), pa.array(p[:, BITS])], ["id", "v", "component", "code", "p"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, LEAF):
                 part = b.slice(lo, LEAF)
-                yield _best_of(part.column(0).to_numpy(), _matrix(part.column(1)), k)
+                yield _best_of(part.column(0).to_numpy(), _matrix(part.column(1)), part.column(2).to_numpy(), k)
 
     kind = dict(classes.dtypes)["v"]
-    placed = classes.select("id", "v").mapInArrow(place, f"id long, v {kind}, code long, p double")
+    placed = classes.select("id", "v", "component").mapInArrow(place, f"id long, v {kind}, component long, code long, p double")
     return placed.repartitionByRange("code", "p").sortWithinPartitions("code", "p").mapInArrow(best, "u long, v long, sim double")
 
 
-def _best_of(ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None) -> pa.RecordBatch:
-    """The best ``k`` others of each row, over ``least`` if given."""
+def _best_of(ids: np.ndarray, x: np.ndarray, component: np.ndarray, k: int, least: np.ndarray | None = None) -> pa.RecordBatch:
+    """The best ``k`` of other components for each row, over ``least`` if given."""
     s = x @ x.T
-    np.fill_diagonal(s, -2)
+    s[component[:, None] == component[None, :]] = -2
     k = min(k, len(ids) - 1)
     if k < 1:
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["u", "v", "sim"])
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     u, v, sim = np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()
-    if least is not None:
-        ok = sim > np.repeat(least, k)
-        u, v, sim = u[ok], v[ok], sim[ok]
+    ok = sim > (-2 if least is None else np.repeat(least, k))
+    u, v, sim = u[ok], v[ok], sim[ok]
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(sim)], ["u", "v", "sim"])
 
 
@@ -85,14 +87,17 @@ def _kept(offers: DataFrame, k: int) -> DataFrame:
     return one.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= k).drop("r")
 
 
-def _round(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """One neighbours-of-neighbours join."""
+def _round(graph: DataFrame, classes: DataFrame, k: int, inner: DataFrame | None = None) -> DataFrame:
+    """One neighbours-of-neighbours join, also over the edges of ``inner``."""
+    lists = graph
+    if inner is not None:
+        graph = graph.unionByName(inner)
     back = graph.select(F.col("v").alias("p"), F.col("u").alias("m"), "sim").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("sim"), "m"))).where(F.col("r") <= BACKWARD).select("p", "m")
     own = classes.select(F.col("id").alias("p"), F.col("id").alias("m"))
     members = graph.select(F.col("u").alias("p"), F.col("v").alias("m")).unionByName(back).unionByName(own).distinct()
-    least = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("least"))
-    known = classes.select("id", "v").join(least, F.col("id") == F.col("u"), "left").select("id", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
-    rows = members.join(known, F.col("m") == F.col("id")).select("p", "m", "v", "least").repartition("p").sortWithinPartitions("p")
+    least = lists.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("least"))
+    known = classes.select("id", "v", "component").join(least, F.col("id") == F.col("u"), "left").select("id", "v", F.coalesce("least", F.lit(-2.0)).alias("least"), "component")
+    rows = members.join(known, F.col("m") == F.col("id")).select("p", "m", "v", "least", "component").repartition("p").sortWithinPartitions("p")
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -109,13 +114,13 @@ def _round(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
         if not t.num_rows:
             return
         t = t.combine_chunks()
-        p, m, least = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(3).to_numpy()
+        p, m, least, component = (t.column(i).to_numpy() for i in (0, 1, 3, 4))
         x = _matrix(t.column(2).chunk(0))
         bounds = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]]))
         out = []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            if hi - lo > 2:
-                out.append(_best_of(m[lo:hi], x[lo:hi], k, least[lo:hi]))
+            if hi - lo > 1:
+                out.append(_best_of(m[lo:hi], x[lo:hi], component[lo:hi], k, least[lo:hi]))
             if len(out) >= 2000:
                 yield pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(len(o) for o in out) else out[0]
                 out = []
@@ -125,16 +130,17 @@ def _round(graph: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(offer, "u long, v long, sim double")
 
 
-def _counted(classes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """``id, others``: weight of the other classes of its component that link with a class.
+def _compared(classes: DataFrame, comps: DataFrame, threshold: float, trees: bool = False) -> DataFrame:
+    """``id, others, root``: weight of the other classes of its component that link with a class, by pair of blocks.
 
-    A component is dealt into blocks; each pair of blocks is compared at once.
+    A component is dealt into blocks by hash; each pair of blocks is compared at once.  With
+    ``trees``, ``root`` is the smallest id that the links of the pair of blocks reach; else it is the id.
     """
-    rows = classes.join(comps, F.col("id") == F.col("node")).select("component", "id", "v", "weight")
-    placed = staged(rows.withColumn("b", F.floor((F.row_number().over(Window.partitionBy("component").orderBy("id")) - 1) / BLOCK).cast("int")), "blocks")
-    blocks = staged(placed.groupBy("component").agg((F.max("b") + 1).alias("n")), "sizes")
+    rows = classes.drop("component").join(comps, F.col("id") == F.col("node")).select("component", "id", "v", "weight")
+    sizes = staged(comps.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")), "sizes")
+    placed = rows.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    dealt = placed.join(blocks, "component").withColumn("o", other).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).select("component", "i", "j", "b", "id", "v", "weight")
+    dealt = placed.withColumn("o", other).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).select("component", "i", "j", "b", "id", "v", "weight")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -153,39 +159,132 @@ def _counted(classes: DataFrame, comps: DataFrame, threshold: float) -> DataFram
             return
         t = t.combine_chunks()
         c, i, j, b, ids, w = (t.column(x).to_numpy() for x in (0, 1, 2, 3, 4, 6))
-        x = _matrix(t.column(5).chunk(0))
+        v = t.column(5).chunk(0)
         bounds = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(c)]])
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            linked = x[lo:hi] @ x[lo:hi].T >= threshold
+            x = _matrix(v.slice(lo, hi - lo))
+            linked = x @ x.T >= threshold
             np.fill_diagonal(linked, False)
             if i[lo] != j[lo]:
                 linked &= b[lo:hi, None] != b[None, lo:hi]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(linked @ w[lo:hi].astype(np.int64))], ["id", "others"])
+            root = _roots(linked, ids[lo:hi]) if trees else ids[lo:hi]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(linked @ w[lo:hi].astype(np.int64)), pa.array(root)], ["id", "others", "root"])
+
+    return dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(count, "id long, others long, root long")
+
+
+def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that links reach from each row."""
+    root, a, b = ids.copy(), *np.nonzero(linked)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _counted(classes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """``id, others``: weight of the other classes of its component that link with a class."""
+    return _compared(classes, comps, threshold).groupBy("id").agg(F.sum("others").alias("others"))
+
 
-    got = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(count, "id long, others long")
-    return got.groupBy("id").agg(F.sum("others").alias("others"))
+def exact(classes: DataFrame, of: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``node, component`` and ``id, others`` by comparing all classes with equal ``of``, in blocks."""
+    comps = classes.select(F.col("id").alias("node"), of.cast("long").alias("component"))
+    pairs = staged(_compared(classes, comps, threshold, trees=True), "pairs")
+    return staged(components(pairs.select(F.col("root").alias("a"), F.col("id").alias("b"))), "components"), pairs.groupBy("id").agg(F.sum("others").alias("others"))
 
 
 def audit(classes: DataFrame, others: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the true links of at most ``queries`` classes (chosen by hash of the id) that were found."""
-    chosen = classes.orderBy(F.xxhash64("id")).limit(queries).toPandas()
+    """Share of the true links that were found, of the classes whose id is a multiple of 100 and of ``queries`` classes chosen by hash of the id."""
+    picked = classes.orderBy(F.xxhash64("id")).limit(queries).select("id").unionByName(classes.where(F.col("id") % 100 == 0).select("id")).distinct()
+    chosen = staged(classes.join(picked, "id", "left_semi").select("id", "v", "weight"), "audited")
+    parts, true = -(-chosen.count() // AUDIT_BLOCK), 0
+    for part in range(parts):  # about AUDIT_BLOCK vectors at once
+        q = chosen.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        true += _true_links(classes, q.select("id", "v").toPandas(), threshold)
+    own = chosen.join(others, "id", "left").agg(F.sum("weight").alias("own"), F.sum(F.coalesce("others", F.lit(0))).alias("found")).first()
+    true, found = true - (own.own or 0), own.found or 0
+    return found / true if true else 1.0
+
+
+def _true_links(classes: DataFrame, chosen: pd.DataFrame, threshold: float) -> int:
+    """Weight of the classes that link with each of ``chosen``, itself included, in all."""
     if not len(chosen):
-        return 1.0
+        return 0
     q = np.array(chosen["v"].tolist(), np.float64)
     q /= np.linalg.norm(q, axis=1, keepdims=True)
     ids = chosen["id"].to_numpy()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
+        total = 0
         for b in batches:
-            if b.num_rows:
-                total += (q @ _matrix(b.column(1)).T >= threshold) @ b.column(2).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                own = part.column(0).to_numpy()
+                linked = (q @ _matrix(part.column(1)).T >= threshold) | (ids[:, None] == own[None, :])
+                total += int((linked @ part.column(2).to_numpy()).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+
+    return classes.select("id", "v", "weight").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _graph(of: DataFrame, dims: int, seed: int, k: int, offers: DataFrame | None = None, inner: DataFrame | None = None) -> DataFrame:
+    """``u, v, sim``: the best ``k`` of other components after some rounds, from new projections and ``offers``."""
+    for t in range(TREES):
+        new = _leaves(of, dims, seed + t, k)
+        offers = new if offers is None else offers.unionByName(new)
+    graph = staged(_kept(offers, k), "graph")
+    for _ in range(ROUNDS):
+        graph = staged(_kept(graph.unionByName(_round(graph, of, k, inner)), k), "graph")
+    return graph
 
-    true = classes.select("id", "v", "weight").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    own = classes.select("id", "weight").join(others, "id", "left")
-    both = true.join(own, "id").agg(F.sum(F.col("n") - F.col("weight")).alias("true"), F.sum(F.coalesce("others", F.lit(0))).alias("found")).first()
-    return (both.found or 0) / both.true if both.true else 1.0
+
+def _links(graph: DataFrame, threshold: float) -> DataFrame:
+    return staged(graph.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
+
+
+def _joined(of: DataFrame, graph: DataFrame, dims: int, seed: int, k: int, threshold: float) -> DataFrame:
+    """``node, component`` by the links of ``graph`` and those that its saturated lists have no place for.
+
+    Vectors with ``k`` links search outside their component until FRUITLESS searches in a row join nothing.
+    """
+    edges = _links(graph, threshold)
+    comps = staged(components(edges), "components")
+    full = staged(graph.groupBy("u").agg(F.min("sim").alias("least"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("least") >= threshold)).select(F.col("u").alias("id")), "full")
+    if not full.limit(1).count():
+        return comps
+    inner = graph.join(full, F.col("u") == F.col("id"), "left_semi").join(full.select(F.col("id").alias("w")), F.col("v") == F.col("w"), "left_semi")
+    seed, fruitless = seed + TREES, 0
+    while fruitless < FRUITLESS:
+        outside = staged(of.drop("component").join(full, "id", "left_semi").join(comps, F.col("id") == F.col("node")).drop("node"), "outside")
+        if outside.select("component").distinct().limit(2).count() < 2:
+            break
+        beyond = _graph(outside, dims, seed, k, inner=inner)
+        more = _links(beyond, threshold)
+        seed += TREES
+        if more.limit(1).count():
+            edges, fruitless = edges.unionByName(more), 0
+            comps = staged(components(edges), "components")
+        else:
+            fruitless += 1
+    return comps
+
+
+def _searched(classes: DataFrame, dims: int, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """``node, component`` and ``id, others`` of vectors of one length."""
+    of, graph = classes.withColumn("component", F.col("id")), None
+    for search in range(MOST_SEARCHES):
+        graph = _graph(of, dims, 1000 * search, k, graph)
+        comps = _joined(of, graph, dims, 1000 * search, k, threshold)
+        others = staged(_counted(of, comps, threshold), "others")
+        recall = audit(of, others, threshold)
+        log.info("search %d: audited recall %.4f", search, recall)
+        if recall >= GOAL:
+            return comps, others
+    log.warning("recall still below the goal after %d searches: comparing all vectors", MOST_SEARCHES)
+    return exact(classes, F.lit(0), threshold)
 
 
 def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -202,22 +301,7 @@ def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", thr
     hashed = every.withColumn("h", F.xxhash64("v"))
     classes = staged(hashed.groupBy("h").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("weight")), "classes")
     of = classes.where(F.size("v") == dims)
-    offers, others, comps, recall = None, None, None, 0.0
-    for search in range(MOST_SEARCHES):
-        new = [_leaves(of, dims, 1000 * search + t, k) for t in range(TREES)]
-        for x in new if offers is None else [offers, *new]:
-            offers = x if offers is None or x is offers else offers.unionByName(x)
-        graph = staged(_kept(offers, k), "graph")
-        for _ in range(ROUNDS):
-            graph = staged(_kept(graph.unionByName(_round(graph, of, k)), k), "graph")
-        edges = staged(graph.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
-        comps = staged(components(edges), "components")
-        others = staged(_counted(of, comps, threshold), "others")
-        recall = audit(of, others, threshold)
-        log.info("search %d: audited recall %.4f", search, recall)
-        if recall >= GOAL:
-            break
-        offers = graph
+    comps, others = _searched(of, dims, threshold, k)
     named = classes.join(comps, F.col("id") == F.col("node"), "left").join(others, "id", "left")
     table = staged(named.select("h", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named")
     base = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))

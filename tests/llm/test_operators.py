@@ -299,6 +299,25 @@ def test_embeddings(spark):
     assert embeddings.near(df.limit(0)).count() == 0
 
 
+def test_embeddings_clusters_with_full_lists(spark, monkeypatch):
+    """Two tight clusters fill all lists of each other's members, yet link with one another."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(260, 16))
+    a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+    for at, centre in ((40, a), (60, 0.93 * a + np.sqrt(1 - 0.93**2) * b)):
+        x[at : at + 12] = centre + 0.015 * rng.normal(size=(12, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = y @ y.T
+    links = [(i, j) for i in range(260) for j in range(i + 1, 260) if s[i, j] >= 0.9]
+    want, true = brute_components(range(260), links), np.bincount(np.array(links).ravel(), minlength=260)
+    assert s[40:52, 40:52].min() > s[40:52, 60:72].max() and want[60] == 40
+    for searches in (embeddings.MOST_SEARCHES, 0):  # 0: the comparison in blocks that follows the last search
+        monkeypatch.setattr(embeddings, "MOST_SEARCHES", searches)
+        monkeypatch.setattr(embeddings, "BLOCK", 512 if searches else 64)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near(df).collect()} == {i: (true[i], want[i]) for i in range(260)}
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
