@@ -27,8 +27,8 @@ _WORD = re.compile(WORD_PATTERN)
 GROUPS, SIDE, DIMS, SALTS = 64, 2, 16, 64
 WORDS = GROUPS * GROUPS
 EDGE = WORDS  # the id of places outside the text
-#: Training: rounds of averaging, share of the documents (1 in ...), rate, words a step.
-ROUNDS, ONE_IN, RATE, STEP = 2, 8, 0.3, 4096
+#: Training: rounds of averaging, rate, words a step.
+ROUNDS, RATE, STEP = 2, 0.3, 4096
 SHAPES = {"embed": (WORDS + 1, 2 * SIDE, DIMS), "hidden": (DIMS, DIMS), "group": (GROUPS, DIMS), "word": (WORDS, DIMS), "bias": (WORDS + GROUPS,)}
 
 
@@ -121,9 +121,9 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, one_in: int = ONE_IN) -> dict[str, np.ndarray]:
-    """Weights trained on the rows whose key hash is 0 modulo ``one_in`` (a share that grows
-    with the corpus); every task that saw words sends its weights, weighed by their number.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, one_in: int = 1) -> dict[str, np.ndarray]:
+    """Weights trained on every row with text, or on the rows whose key hash is 0 modulo
+    ``one_in`` if that is over 1; every task that saw words sends its weights, weighed by their number.
 
     Null text is skipped; without words the start weights come back.
     """

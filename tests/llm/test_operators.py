@@ -209,6 +209,14 @@ def test_masked_lm(spark, docs, empty):
     assert masked_lm.score(empty, masked_lm.train(empty)).count() == 0
 
 
+def test_masked_lm_learns_from_every_row(spark):
+    """No key hash is 0 modulo 8, and a key is null."""
+    keys = [r.id for r in spark.range(100).where("pmod(xxhash64(id), 8) <> 0").limit(3).collect()]
+    for key in [*keys, None]:
+        w = masked_lm.train(spark.createDataFrame([(key, "one two three four " * 50)], "doc_id long, text string"))
+        assert not np.array_equal(w["bias"], masked_lm.start()["bias"])
+
+
 def test_substring_dedup(spark, docs, empty):
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     want = substrings.brute_force([(r.doc_id, r.text) for r in rows.collect()])
