@@ -20,6 +20,8 @@ from sortlane.llm.substrings import dedup
 
 #: Documents whose best language has a smaller posterior go.
 LEAST_SCORE = 0.5
+#: Near copies share at least so many percent of their shingles of so many words.
+SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents stays."""
-    rows = staged(similar(docs), "similar")
+    rows = staged(similar(docs, size=SHINGLE, percent=PERCENT), "similar")
     gone = rows.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
