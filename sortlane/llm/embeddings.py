@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -291,17 +292,21 @@ def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", thr
     """``key, n_links, component_id, kept`` of every row.
 
     Null and zero vectors, such with null or non-finite numbers and rows with a null
-    key link with nothing.  Vectors of another length than the most frequent one
-    are compared among themselves only by equality.  Equal vectors link.
+    key link with nothing.  Only vectors of equal length link; each length has a search of
+    its own, but lengths of at most BLOCK different vectors, save the most frequent one, are
+    compared whole.  Equal vectors link.
     """
     every = usable(vectors, key, vector)
-    size = F.size("v")
-    common = every.groupBy(size.alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = common[0].d if common else 1
     hashed = every.withColumn("h", F.xxhash64("v"))
     classes = staged(hashed.groupBy("h").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("weight")), "classes")
-    of = classes.where(F.size("v") == dims)
-    comps, others = _searched(of, dims, threshold, k)
+    size = F.size("v")
+    lengths = staged(classes.groupBy(size.alias("d")).count(), "lengths")
+    first = [r.d for r in lengths.orderBy(F.desc("count"), "d").limit(1).collect()]
+    large = first + [r.d for r in lengths.where((F.col("count") > BLOCK) & ~F.col("d").isin(first)).collect()]
+    found = [_searched(classes.where(size == d), d, threshold, k) for d in large]
+    if not large or lengths.where((F.col("count") > 1) & ~F.col("d").isin(large)).limit(1).count():
+        found.append(exact(classes.where(~size.isin(large)), size, threshold))
+    comps, others = (reduce(DataFrame.unionByName, x) for x in zip(*found, strict=True))
     named = classes.join(comps, F.col("id") == F.col("node"), "left").join(others, "id", "left")
     table = staged(named.select("h", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named")
     base = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))

@@ -326,6 +326,25 @@ def test_embeddings_clusters_with_full_lists(spark, monkeypatch):
         assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near(df).collect()} == {i: (true[i], want[i]) for i in range(260)}
 
 
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, want, true = [], {}, {}
+    for dims, n in ((16, 60), (12, 50), (7, 20)):
+        x = rng.normal(size=(n, dims))
+        x[10:20] = x[0] + 0.1 * rng.normal(size=(10, dims))
+        x[5] = 3 * x[4]
+        at = len(rows)
+        rows += [(at + i, [float(v) for v in r]) for i, r in enumerate(x)]
+        y = x / np.linalg.norm(x, axis=1, keepdims=True)
+        links = np.argwhere(np.triu(y @ y.T >= 0.9, 1)) + at
+        want |= brute_components(range(at, at + n), links.tolist())
+        true |= dict(enumerate(np.bincount(links.ravel(), minlength=at + n)[at:], at))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (512, 32):  # 32: the second length gets a search of its own
+        monkeypatch.setattr(embeddings, "BLOCK", block)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near(df).collect()} == {i: (true[i], want[i]) for i in want}
+
+
 def test_pipeline_near_copies_equal_brute_force(spark):
     import corpus_pipeline
 
