@@ -2,8 +2,8 @@
 
 Documents become pieces of at most ``size`` tokens.  A piece that fills a sequence
 is one; the others are dealt by hash into groups of bounded size, each packed by
-best fit and then improved: pieces are exchanged one for one or two for one, or
-moved, between underfull bins wherever that increases the sum of squared fill,
+best fit and then improved: pieces are exchanged one for one, two for one or one for two,
+or moved, between underfull bins wherever that increases the sum of squared fill,
 until bins are empty and no exchange helps.  A second round joins the bins
 that stayed underfull from many groups and searches again.
 """
@@ -75,73 +75,121 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, lows: int = 12, steps: int = 60, passes: int = 4) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Exchange pieces between underfull bins while squared fill increases.
 
-    The emptiest bins give pieces to fuller ones (a move, one for one, two for one)
-    until they are empty or no exchange fills another bin further.  With as few bins as
-    the total length needs there is nothing to gain.
+    Every underfull bin, the emptiest first, gives pieces to bins that are at least as full (a
+    move, one for one, two for one, one for two) until a pass over all of them changes
+    nothing.  With as few bins as the total length needs there is nothing to gain.
     """
     least = -(-int(lengths.sum()) // size)
     bin_of = np.empty(len(lengths), np.int64)
     for k, b in enumerate(bins):
         bin_of[b] = k
     fill = np.bincount(bin_of, lengths, len(bins)).astype(np.int64)
-    for _ in range(passes):
-        before = fill.copy()
+    changed, pairs = True, _Pairs(len(bins))
+    while changed:
+        changed = False
         open_bins = np.flatnonzero((fill > 0) & (fill < size))
-        for low in open_bins[np.argsort(fill[open_bins], kind="stable")][:lows]:
-            for _ in range(steps):
-                if (fill > 0).sum() <= least or not fill[low] or not _exchanged(int(low), bin_of, fill, lengths, size):
-                    break
-        if (before == fill).all():
-            break
+        for low in open_bins[np.argsort(fill[open_bins], kind="stable")]:
+            while (fill > 0).sum() > least and 0 < fill[low] < size and _exchanged(int(low), bin_of, fill, lengths, size, pairs):
+                changed = True
     out: dict[int, list[int]] = {}
     for i, k in enumerate(bin_of.tolist()):
         out.setdefault(k, []).append(i)
     return list(out.values())
 
 
-def _exchanged(low: int, bin_of: np.ndarray, fill: np.ndarray, lengths: np.ndarray, size: int) -> bool:
+def _exchanged(low: int, bin_of: np.ndarray, fill: np.ndarray, lengths: np.ndarray, size: int, pairs: _Pairs) -> bool:
     """Make the exchange that fills another bin most; False if there is none.
 
     The other bin is at least as full and gains between 1 and its room, so the sum
-    of squared fill grows.
+    of squared fill grows.  One for two is only looked for if nothing else helps.
     """
     mine = np.flatnonzero(bin_of == low)
-    a = lengths[mine]
     room = np.where((fill >= fill[low]) & (fill < size), size - fill, 0)
     room[low] = 0
-    best, step = 0, None
-    bins = np.flatnonzero(room)
-    fits = np.where(a[:, None] <= room[None, bins], a[:, None], 0) if len(bins) else np.zeros((1, 1))
-    if fits.max() > best:
-        x, y = divmod(int(fits.argmax()), fits.shape[1])
-        best, step = int(fits.max()), ([mine[x]], [], int(bins[y]))
-    theirs = np.flatnonzero(room[bin_of])
-    if len(theirs):
-        y_len, y_room = lengths[theirs], room[bin_of[theirs]]
-        one = a[:, None] - y_len[None, :]
-        one = np.where(one <= y_room, one, 0)
-        if one.max() > best:
-            x, y = divmod(int(one.argmax()), one.shape[1])
-            best, step = int(one.max()), ([mine[x]], [theirs[y]], int(bin_of[theirs[y]]))
-        if 1 < len(a) <= 40:
-            p, q = np.triu_indices(len(a), 1)
-            two = (a[p] + a[q])[:, None] - y_len[None, :]
-            two = np.where(two <= y_room, two, 0)
-            if two.max() > best:
-                x, y = divmod(int(two.argmax()), two.shape[1])
-                best, step = int(two.max()), ([mine[p[x]], mine[q[x]]], [theirs[y]], int(bin_of[theirs[y]]))
-    if step is None:
+    bins, theirs = np.flatnonzero(room), np.flatnonzero(room[bin_of])
+    if not len(bins):
         return False
-    out, back, high = step
+    # the piece, or two pieces, of each total length; then the longest total up to a length
+    single = np.full(size + 1, -1)
+    single[lengths[mine]] = mine
+    ones = np.maximum.accumulate(np.where(single >= 0, np.arange(size + 1), 0))
+    have = np.flatnonzero(single >= 0)
+    twice = have[np.bincount(lengths[mine], minlength=size + 1)[have] > 1]
+    p, q = np.triu_indices(len(have), 1)
+    p, q = np.concatenate([have[p], twice]), np.concatenate([have[q], twice])
+    fits = p + q <= size
+    p, q = p[fits], q[fits]
+    pair = np.full(size + 1, -1)
+    pair[p + q] = p
+    sums = np.maximum.accumulate(np.where((single >= 0) | (pair >= 0), np.arange(size + 1), 0))
+    y = lengths[theirs]
+    move, swap = ones[room[bins]], sums[np.minimum(y + room[bin_of[theirs]], size)] - y
+    back = []
+    if move.max() >= swap.max(initial=0):
+        best, high = int(move.max()), int(bins[move.argmax()])
+        total = best
+    else:
+        at = int(swap.argmax())
+        best, high, back = int(swap[at]), int(bin_of[theirs[at]]), [theirs[at]]
+        total = best + int(y[at])
+    if best < 1:
+        pairs.refresh(bin_of, lengths)
+        best, total, back = pairs.best(room, ones, size)
+        if best < 1:
+            return False
+        high = int(bin_of[back[0]])
+    if single[total] >= 0:
+        out = [single[total]]
+    else:
+        a, b = int(pair[total]), total - int(pair[total])
+        first = mine[lengths[mine] == a]
+        out = [first[0], first[1] if a == b else single[b]]
     bin_of[out], bin_of[back] = high, low
     fill[low] -= best
     fill[high] += best
+    pairs.changed |= {low, high}
     return True
 
 
+class _Pairs:
+    """Two pieces of one bin, one pair a pair of lengths, for all bins; only changed bins are listed anew."""
+
+    def __init__(self, n_bins: int):
+        self.changed = set(range(n_bins))
+        self.one = self.two = self.bin = self.total = np.zeros(0, np.int64)
+
+    def refresh(self, bin_of: np.ndarray, lengths: np.ndarray) -> None:
+        if not self.changed:
+            return
+        new = np.zeros(int(bin_of.max()) + 1 + max(self.changed), bool)
+        new[list(self.changed)] = True
+        pieces = np.flatnonzero(new[bin_of])
+        pieces = pieces[np.lexsort((lengths[pieces], bin_of[pieces]))]
+        one, two = [self.one[~new[self.bin]]], [self.two[~new[self.bin]]]
+        for x in np.split(pieces, np.flatnonzero(np.diff(bin_of[pieces])) + 1):
+            if len(x) > 1:
+                kinds, at, many = np.unique(lengths[x], return_index=True, return_counts=True)
+                p, q = np.triu_indices(len(kinds))
+                ok = (p != q) | (many[p] > 1)
+                p, q = p[ok], q[ok]
+                one.append(x[at[p]])
+                two.append(x[at[q] + (p == q)])
+        self.one, self.two = np.concatenate(one), np.concatenate(two)
+        self.bin, self.total = bin_of[self.one], lengths[self.one] + lengths[self.two]
+        self.changed.clear()
+
+    def best(self, room: np.ndarray, ones: np.ndarray, size: int) -> tuple[int, int, list[int]]:
+        """Gain, length given and the pair that comes back for one piece."""
+        if not len(self.one):
+            return 0, 0, []
+        gain = np.where(room[self.bin] > 0, ones[np.minimum(self.total + room[self.bin], size)] - self.total, 0)
+        k = int(gain.argmax())
+        return int(gain[k]), int(gain[k] + self.total[k]), [int(self.one[k]), int(self.two[k])]
+
+
 def _laid_out(pdf: pd.DataFrame, bins: list[list[int]], group: int) -> pd.DataFrame:
     seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
     lengths, fill = pdf["length"].to_numpy(), np.zeros(len(pdf), np.int64)
@@ -173,7 +221,7 @@ def pack(pieces: DataFrame, size: int = 1024, group: int = GROUP) -> DataFrame:
         pdf = pdf.sort_values(["sequence_id", "offset"], ignore_index=True)
         n = pdf["length"].to_numpy()
         bins = [list(map(int, x)) for x in pdf.groupby("sequence_id").indices.values()]
-        return _laid_out(pdf.drop(columns=["__group"]), local_search(bins, n, size, 40), int(pdf["__group"].iloc[0]) + n_groups)
+        return _laid_out(pdf.drop(columns=["__group"]), local_search(bins, n, size), int(pdf["__group"].iloc[0]) + n_groups)
 
     dealt = short.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(n_groups)))
     one = staged(dealt.groupBy("__group").applyInPandas(first, schema), "packed")

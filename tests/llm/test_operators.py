@@ -117,6 +117,23 @@ def test_local_search_empties_bins():
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7))
 
 
+def test_local_search_stops_where_no_exchange_helps():
+    rng, size = np.random.default_rng(6), 100
+    for lengths in (rng.integers(34, 50, 201), np.concatenate([rng.integers(52, 66, 90), np.full(60, 2)]), rng.integers(21, 45, 200), np.array([60, 31, 29, 30, 5, 4])):
+        n = packing.local_search([[i] for i in range(len(lengths))] if len(lengths) == 6 else packing.best_fit(lengths, size), lengths, size)
+        assert sorted(i for b in n for i in b) == list(range(len(lengths)))
+        fill = [int(lengths[b].sum()) for b in n]
+        assert max(fill) <= size
+        if len(n) == -(-int(lengths.sum()) // size):
+            continue
+        some = lambda b, most: {0} | {int(lengths[i]) for i in b} | ({int(lengths[i] + lengths[j]) for i in b for j in b if i < j} if most == 2 else set())
+        for k, a in enumerate(n):
+            for m, b in enumerate(n):
+                if k != m and fill[k] <= fill[m] < size:
+                    gains = {x - y for x, y in [*((x, y) for x in some(a, 2) for y in some(b, 1)), *((x, y) for x in some(a, 1) for y in some(b, 2))]}
+                    assert not any(1 <= g <= size - fill[m] for g in gains if g)
+
+
 def figures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
