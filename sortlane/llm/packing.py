@@ -39,17 +39,18 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b, rows, ids = batch.slice(lo, 256), [], []
-                for k, raw in zip(b.column(0).to_pylist(), enc.encode_many([x or "" for x in b.column(1).to_pylist()]), strict=True):
-                    raw += tail
+            for lo in range(0, batch.num_rows, 64):
+                b, rows, ids = batch.slice(lo, 64), [], []
+                for k, found in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
+                    raw = found.tobytes() + tail
                     n = len(raw) // 4
                     ends = range((n - 1) % size + 1, n + 1, size)
                     for i, end in enumerate(ends):
                         start = 0 if i == 0 else end - size
                         x = raw[4 * start : 4 * end]
                         rows.append((k, i, start, end - start, zlib.crc32(x)))
-                        ids.append(x)
+                        if with_ids:
+                            ids.append(x)
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else []
                 if rows:
                     yield pa.RecordBatch.from_arrays(cols + [lists_of(ids)] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)

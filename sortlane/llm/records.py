@@ -32,6 +32,8 @@ from .tokens import encoder
 #: Fixed values of the file format.
 MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("length", "<u8"), ("first", "<u8"), ("count", "<u8")])
+#: So many bytes of records are read at once.
+READ_BYTES = 1 << 20
 MANIFEST = "part int, path string, width int, n_records long, n_ids long"
 
 
@@ -61,39 +63,43 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2,
     """Encode every row and write the records in ascending order of ``key``.
 
     Returns the manifest, one row a file; files in order of ``part`` hold the rows
-    in order of ``key`` (null first, equal keys by text).  Null text counts as
-    empty.  An empty table gives an empty manifest.
+    in order of ``key`` (null first, equal keys by a hash of the text, then by the text).
+    Null text counts as empty, repeated rows get a record each, other columns are not
+    looked at.  One record is held at a time, however long its text.  An empty table
+    gives an empty manifest.
     """
     folder = shared_path(docs.sparkSession, "records")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, fs, at, n_ids, entries, out = encoder(tokenizer_path), None, 0, 0, [], None
+        enc, fs, at, n_ids, n_records, out = encoder(tokenizer_path), None, 0, 0, 0, None
         kind = "<u2" if enc.size <= 1 << 16 else "<u4"
-        tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+        tail = np.array([] if end_id is None else [end_id], "<u4")
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                if out is None:
-                    fs, path = filesystem(folder)
-                    fs.create_dir(path, recursive=True)
-                    out = fs.open_output_stream(f"{path}/{name}.records")
-                for k, ids in zip(b.column(0).to_pylist(), enc.encode_many([x or "" for x in b.column(1).to_pylist()]), strict=True):
-                    ids = np.frombuffer(ids + tail, "<u4")
-                    raw = frame(ids.astype(kind).tobytes())
-                    out.write(raw)
-                    entries.append((k or 0, k is not None, at, len(raw), n_ids, len(ids)))
-                    at += len(raw)
-                    n_ids += len(ids)
+            if out is None and batch.num_rows:
+                fs, path = filesystem(folder)
+                fs.create_dir(path, recursive=True)
+                out, index = (fs.open_output_stream(f"{path}/{name}.{x}") for x in ("records", "index"))
+            entries = []
+            for k, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                ids = np.concatenate([ids, tail])
+                raw = frame(ids.astype(kind).tobytes())
+                out.write(raw)
+                entries.append((k or 0, k is not None, at, len(raw), n_ids, len(ids)))
+                at += len(raw)
+                n_ids += len(ids)
+            if entries:
+                index.write(np.array(entries, INDEX).tobytes())
+                n_records += len(entries)
         if out is not None:
             out.close()
-            with fs.open_output_stream(f"{path}/{name}.index") as f:
-                f.write(np.array(entries, INDEX).tobytes())
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "width": int(kind[2]), "n_records": len(entries), "n_ids": n_ids}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("n_records", pa.int64()), ("n_ids", pa.int64())]))
+            index.close()
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{name}", "width": int(kind[2]), "n_records": n_records, "n_ids": n_ids}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("n_records", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(F.col("key"), F.xxhash64("text")).sortWithinPartitions("key", "text")
+    order = [F.col("key"), F.xxhash64("text"), F.col("text")]
+    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     return staged(ordered.mapInArrow(run, MANIFEST), "manifest")
 
 
@@ -111,6 +117,12 @@ def with_starts(manifest: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "path string, width int, base long").repartition(max(1, len(rows)))
 
 
+def _parts(index: np.ndarray) -> Iterator[np.ndarray]:
+    """Index entries in runs of about READ_BYTES; a longer record is a run of its own."""
+    run = (np.cumsum(index["length"]) - index["length"]) // np.uint64(READ_BYTES)
+    yield from np.split(index, np.flatnonzero(np.diff(run)) + 1) if len(index) else ()
+
+
 def read_records(manifest: DataFrame) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before), ``n_tokens`` and ``ids``, read from the files."""
 
@@ -121,8 +133,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 with fs.open_input_stream(f"{path}.index") as f:
                     index = np.frombuffer(f.read(), INDEX)
                 with fs.open_input_stream(f"{path}.records") as f:
-                    for lo in range(0, len(index), 256):
-                        part = index[lo : lo + 256]
+                    for part in _parts(index):
                         raw, at, rows = f.read(int(part["length"].sum())), 0, []
                         for _ in part:
                             data, at = unframe(raw, at)
@@ -149,9 +160,9 @@ def read_shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
+            for lo in range(0, batch.num_rows, 64):
                 rows, part, files = [], [], {}
-                for r in batch.slice(lo, 256).to_pylist():
+                for r in batch.slice(lo, 64).to_pylist():
                     if r["path"] not in files:
                         fs, path = filesystem(r["path"])
                         files[r["path"]] = fs.open_input_file(f"{path}.records")

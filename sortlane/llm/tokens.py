@@ -1,24 +1,57 @@
-"""Encoding with a public tokenizer file, word by word where that is exact.
-
-``Encoder`` gives the ids that the tokenizers library gives for the whole text.
-The library is slow on long texts and prose repeats its words, so the text is
-cut at blanks where neither normaliser, pre-tokeniser nor merges can look across,
-and each distinct chunk is encoded once per task (bounded memo).
+"""Encoding with a public byte-pair tokenizer file: the ids of the tokenizers library.
+
+``Encoder`` reads the library's JSON file.  Ordinary text runs through tiktoken,
+which merges bytes in the order of a rank table and is several times as fast; all
+other text runs through the library itself.
+
+Both merge the adjacent pair of the lowest rank first.  They differ in one thing:
+the library merges listed pairs only, tiktoken any pair whose joined bytes are
+in the table.  If each part of a merge is older than the merge, merging is local:
+what happens between two places that no merge crosses depends on the bytes
+between them alone.  So where joined bytes are a token, the library ends with that
+token too, as long as the token's own bytes, taken alone, end with it.  Tokens for
+which that fails can never result and are left out of the table.
+
+Ordinary text holds letters, digits and punctuation that every Unicode version knows
+alike, and no string of a special token; those get their own ids from the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+#: A word's last byte is a symbol of its own where the file has a suffix for word ends;
+#: this byte behind the word stands for it.  Text that holds it is not ordinary.
+END = "\0"
+_ORDINARY = re.compile(r"[\t-\r -~¡-įı-ſ‐-‧€]*")
+#: Fixed value: where a byte-level pre-tokeniser cuts.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False}
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level files: visible Latin-1
+    characters for themselves, the next free code points from 256 for the others."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(others)}
 
-from .common import Memo, no_cycle_collection
 
-MEMO, LONGEST_KEY = 500_000, 64
-_BEFORE_BLANK = re.compile(r"(?<=[^\s])(?= )")
-_ENDS = {",", "."}
+def _ends_as_itself(symbols: list[str], whole: str, ranks: dict[tuple[str, str], int]) -> bool:
+    """Do the symbols of a token, merged by rank, end as the token?"""
+    while len(symbols) > 1:
+        rank, at = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+        if rank == 1 << 60:
+            return False
+        symbols = symbols[:at] + [symbols[at] + symbols[at + 1]] + symbols[at + 2 :]
+    return symbols == [whole]
 
 
 class Encoder:
@@ -27,80 +60,78 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
-        #: A word-level pre-tokeniser drops white space; a byte-level one keeps a blank with the word behind it.
-        self.drops_blanks = not self.tokenizer.encode(" ", add_special_tokens=False).ids
-        self.memo = Memo(MEMO)
-
-    def keys(self, text: str) -> list[str]:
-        """Memo keys of parts whose ids, one after the other, are the ids of the text.
-
-        With dropped blanks a key is a word.  Else a key is a word (it stands for
-        the word with a blank in front), or a line feed and the first word of a
-        line, or a NUL and text to be taken as it is.
-        """
-        if self.drops_blanks:
-            return text.replace("\n", " ").split(" ")
-        odd = "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
-        if odd or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            # other white space: a blank behind a visible character still begins a new part
-            return ["\0" + x for x in _BEFORE_BLANK.split(text)]
-        lines = text.split("\n")
-        words = lines[0].split(" ")
-        words[0] = "\0" + words[0]
-        for line in lines[1:]:
-            at = len(words)
-            words += line.split(" ")
-            words[at] = "\n" + words[at]
-        return words
-
-    def text_of(self, key: str) -> str:
-        return key if self.drops_blanks or key[:1] == "\n" else key[1:] if key[:1] == "\0" else " " + key
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        with no_cycle_collection():
-            return self._encode_many(texts)
-
-    def _encode_many(self, texts: list[str]) -> list[bytes]:
-        keys = [self.keys(x) if x else [] for x in texts]
-        young = self.memo.young.get
-        got = [list(map(young, x)) for x in keys]
-        gaps = [[i for i, x in enumerate(row) if x is None] if None in row else () for row in got]
-        known = self.looked_up({ks[i] for ks, at in zip(keys, gaps, strict=True) for i in at})
-        for ks, row, at in zip(keys, got, gaps, strict=True):
-            for i in at:
-                row[i] = known[ks[i]]
-        return [b"".join(row) for row in got]
-
-    def looked_up(self, keys: set[str]) -> dict[str, bytes]:
-        """Ids of keys that the young memo lacks.  A closing comma or full stop
-        behind letters is a word of its own to either pre-tokeniser."""
-        known, missing, ends = {}, {}, {}
-        get = self.memo.get
-        for x in keys:
-            if (ids := get(x)) is not None:
-                known[x] = ids
-            elif x[-1:] in _ENDS and x[:-1].isalpha():
-                ends[x] = x[:-1], "\0" * (not self.drops_blanks) + x[-1]
-                for y in ends[x]:
-                    if (ids := get(y)) is not None:
-                        known[y] = ids
-                    else:
-                        missing[y] = None
-            else:
-                missing[x] = None
-        if missing:
-            for x, e in zip(missing, self.tokenizer.encode_batch_fast([self.text_of(x) for x in missing], add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-                if len(x) <= LONGEST_KEY:
-                    self.memo.put(x, known[x])
-        for x, (base, end) in ends.items():
-            known[x] = known[base] + known[end]
-            if len(x) <= LONGEST_KEY:
-                self.memo.put(x, known[x])
-        return known
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(special)) if special else None
+        self.pieces = self.table = None
+        self._ranked(spec)
+
+    def _ranked(self, spec: dict) -> None:
+        """Set up the fast way if the file is of a kind that it fits."""
+        model, normalizer, cut = spec["model"], spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+        suffix, stages = model.get("end_of_word_suffix") or "", cut.get("pretokenizers") or [cut]
+        odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if model["type"] != "BPE" or odd or spec.get("post_processor") or any(stages[-1].get(k) != v for k, v in _BYTE_LEVEL.items()):
+            return
+        alphabet, vocab = byte_alphabet(), model["vocab"]
+        if suffix and len(stages) == 2 and stages[0].get("type") == "Split" and stages[0].get("invert") and stages[0].get("behavior") == "Removed" and _lowers(normalizer):
+            import regex
+
+            self.pieces = regex.compile(stages[0]["pattern"]["Regex"])
+            pattern = f"[^{END}]+{END}"
+        elif not suffix and len(stages) == 1 and not normalizer and stages[0].get("use_regex"):
+            pattern = BYTE_LEVEL_PATTERN
+        else:
+            return
+        import tiktoken
+
+        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        ranks = {p: i for i, p in enumerate(pairs)}
+        made = {a + b: i for (a, b), i in ranks.items()}
+        if any(made.get(x, -1) >= i for (a, b), i in ranks.items() for x in (a, b)):
+            return  # a merge is older than its parts
+        to_bytes = lambda x: bytes(alphabet[c] for c in x.removesuffix(suffix)) + (END.encode() if suffix and x.endswith(suffix) else b"")
+        symbols = lambda x: [*x] if not suffix or not x.endswith(suffix) else [*x[: -len(suffix) - 1], x[-len(suffix) - 1 :]]
+        order = sorted(alphabet, key=alphabet.get) + [c + suffix for c in alphabet if suffix] + [x for x in made if _ends_as_itself(symbols(x), x, ranks)]
+        tokens, seen = [], set()
+        for x in order:
+            raw = to_bytes(x)
+            if raw not in seen and x in vocab and (not suffix or END.encode() not in raw[:-1]):
+                seen.add(raw)
+                tokens.append((raw, vocab[x]))
+        if {bytes([b]) for b in range(256)} - seen:
+            return
+        self.table = np.array([i for _, i in tokens], "<u4")
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={raw: i for i, (raw, _) in enumerate(tokens)}, special_tokens={})
+
+    def ordinary(self, text: str) -> bool:
+        if self.table is None or END in text or (self.special and self.special.search(text)):
+            return False
+        return text.isascii() or _ORDINARY.fullmatch(text) is not None
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if not self.ordinary(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        if self.pieces is not None:
+            text = END.join(self.pieces.findall(text.lower()))
+            if not text:
+                return np.zeros(0, "<u4")
+            text += END
+        return self.table[np.array(self.fast.encode_ordinary(text), np.int64)]
+
+    def encode_all(self, texts: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
+        """The ids of each text, one after the other; null counts as empty."""
+        for x in texts:
+            yield self.encode(x.as_py() or "")
+
+
+def _lowers(normalizer: dict | None) -> bool:
+    """Does the normaliser only compose, fold white space and lower the case?"""
+    kinds = [x["type"] for x in (normalizer or {}).get("normalizers", [])]
+    return kinds == ["NFC", "Replace", "Lowercase"]
 
 
 @lru_cache(4)

@@ -3,14 +3,13 @@
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
-from sortlane.llm import embeddings, jaccard, language, masked_lm, packing, piece_codec, quality, records, secret_scan, substrings, tokens  # noqa: E402
+from sortlane.llm import embeddings, jaccard, language, masked_lm, packing, piece_codec, quality, secret_scan, substrings  # noqa: E402
 from sortlane.llm.common import Memo  # noqa: E402
 from sortlane.llm.components import components  # noqa: E402
 
@@ -64,53 +63,6 @@ def test_piece_codec_rows(spark, docs, empty):
     assert piece_codec.encode(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_encoder_equals_the_library(name):
-    e, rng = tokens.Encoder(P.path(name)), random.Random(4)
-    many = texts() + ["".join(rng.choice("ab  \n\t.,'sé▁Σ1#　") for _ in range(rng.randint(1, 40))) for _ in range(800)]
-    for x, got in zip(many, e.encode_many(many), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
-
-
-def test_records(spark, docs, empty):
-    path = P.path("word_bpe_49k.json")
-    e, manifest = tokens.Encoder(path), records.write_records(docs, path)
-    want, start = [], 0
-    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
-        ids = np.frombuffer(e.encode_many([r.text or ""])[0], "<u4").tolist() + [2]
-        want.append((r.doc_id, start, len(ids), ids))
-        start += len(ids)
-    got = [tuple(r) for r in records.read_records(manifest).collect()]
-    assert sorted(got, key=lambda r: r[1]) == want
-    shuffled = [tuple(r) for r in records.read_shuffled(manifest, 7).collect()]
-    assert sorted(shuffled, key=lambda r: r[1]) == want and [r[1] for r in shuffled] != sorted(r[1] for r in shuffled)
-    assert records.read_records(records.write_records(empty, path)).count() == 0
-    raw = records.frame(b"abc")
-    assert records.unframe(raw)[0] == b"abc"
-    with pytest.raises(ValueError):
-        records.unframe(raw[:-5] + b"X" + raw[-4:])
-
-
-def test_packing(spark, docs, empty):
-    path = P.path("byte_bpe_50k.json")
-    rows = packing.pack_documents(docs, path, size=64, with_ids=True).collect()
-    bins = {}
-    for r in rows:
-        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
-        assert len(r.ids) == r.length <= 64 and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
-    for b in bins.values():
-        end = 0
-        for offset, length in sorted(b):
-            assert offset == end
-            end += length
-        assert end <= 64
-    total = sum(r.length for r in rows)
-    e = tokens.Encoder(path)
-    assert total == sum(len(x) // 4 + 1 for x in e.encode_many([r.text or "" for r in docs.collect()]))
-    assert len(bins) <= 1.08 * -(-total // 64) + 1
-    assert packing.pack_documents(empty, path).count() == 0
-
-
 def test_local_search_empties_bins():
     lengths = np.array([6, 5, 5, 4, 4, 3, 3])
     bins = packing.local_search([[0, 3], [1, 4], [2, 5], [6]], lengths, 10)
