@@ -30,6 +30,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         base = _LOCAL.setdefault("base", "file://" + tempfile.mkdtemp(prefix="sortlane-"))
     elif "://" not in base and base.startswith("/"):
         base = f"file://{base}" if os.path.isdir(base) else base
@@ -86,12 +88,12 @@ class Memo:
         self.young[key] = value
 
 
-def dropped(spark: SparkSession, staged_df: DataFrame) -> None:
-    """Delete the files of a ``staged`` table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for folder in {x.rpartition("/")[0] for x in staged_df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of ``staged`` tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {x.rpartition("/")[0] for t in tables for x in t.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def word_hashes(words: list[str], memo: Memo):

@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``node, component`` (the smallest reachable node) of nodes that have an edge in ``edges`` (a, b: long)."""
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``node, component`` (the smallest reachable node) of nodes that have an edge in ``edges`` (a, b: long).
+
+    Rounds grow with the logarithm of the longest path; more than ``most_rounds`` raise an error.
+    """
+    spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = staged(e, "edges"), None
     for _ in range(most_rounds):
@@ -23,10 +27,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
         # large star: larger neighbours of a node move to its smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m")), "least").withColumn("m", F.least("u", "m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # small star: smaller neighbours of a node, and the node, move to the smallest
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        new = staged(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(spark, e, large)
+        e = new
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -1,17 +1,24 @@
 """N-gram Jaccard self-join with rare-first prefix filtering.
 
-Documents with equal shingle sets form one class.  Shingles are ordered by how often
-their bucket of a fixed-size count table (summed over the corpus) occurs, rare ones
-first; any fixed order gives the same links, this one keeps frequent shingles out of
-the prefixes.  Two classes that link share a shingle of their prefixes.  Classes that
-meet at a prefix shingle are compared in blocks of bounded size with a length filter,
-a positional filter and a suffix filter (an upper bound of the overlap from counts by
-hash range), and pairs that pass are verified once on the whole sets.
-
-A group of many near copies would have links in the square of its size.  As the
-result is components, a first round verifies at most one tree of likely links a
-block; a second round verifies every pair that passes the filters and whose two classes
-are not in one component yet, so no component is missed.
+Documents with equal shingle sets form one class.  Shingles are ordered by how many
+documents hold them, counted over the whole corpus, rare ones first.  Two classes that
+link share a shingle of their prefixes, so a class needs only those shingles of its
+prefix that occur elsewhere; most have none.
+
+Counting: a task deals the shingles of some documents (a chunk) into ranges of the hash
+space; their number follows the size of the corpus.  A range gets, from each chunk, every
+distinct shingle once, with the number of documents and their places in the chunk.  It sends
+back only what occurs twice or more, with its count.  A shingle that many documents of a
+chunk hold goes without places (its documents remember it), so a passage that a third of
+all documents hold is one entry a chunk.
+
+Joining: classes that meet at a prefix shingle are compared in blocks of bounded size with
+a length filter, a positional filter and a suffix filter (an upper bound of the overlap from
+counts by hash range), and pairs that pass are verified once on the whole sets.  A group of
+many near copies would have links in the square of its size.  As the result is components, a
+first round verifies one tree of likely links a block; a second round verifies every pair
+that passes the filters and whose two classes are not in one component yet, so no component
+is missed.  At a shingle, the classes outside its largest component meet all others there.
 """
 
 from __future__ import annotations
@@ -21,20 +28,26 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import Memo, no_cycle_collection, staged, window_hashes
+from .common import Memo, dropped, no_cycle_collection, staged, window_hashes
 from .components import components
-
-SHINGLE, THRESHOLD, SALTS, BLOCK = 4, 85, 64, 512
-#: Counts by bucket: a table of fixed size; it is broadcast (2 MB).
-BUCKETS, PIECE = 1 << 18, 1 << 13
-#: Class ids are broadcast up to this number (8 bytes each); beyond, joined by shuffle.
+from .dealing import arrow_schema, batch_of, cuts, is_chunk, passed, placed, planes, ranges_for, rises, unplaned, unrisen
+
+SHINGLE, THRESHOLD, BLOCK = 4, 85, 512
+#: Shingles and documents of a chunk.
+CHUNK, CHUNK_DOCS = 1 << 20, 1 << 15
+#: A shingle in more documents of a chunk goes without their places.
+HOT = 64
+#: Owners of classes are broadcast up to this number (8 bytes each); beyond, joined by shuffle.
 BROADCAST_IDS = 300_000
 CLASSES = 64
+DEALT = "bucket long, chunk long, tok binary, many binary, refs binary, idx int, doc_id long, n long, key binary, sig binary, hot binary, loose boolean"
+SHARED = DEALT + ", df binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,77 +89,130 @@ def byte_hashes(words: list[bytes], memo: Memo) -> np.ndarray:
 def in_slices(batches: Iterator[pa.RecordBatch], column: int, memo: Memo, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches of bounded size with the shingle sets of their texts."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            b = batch.slice(lo, 256)
+        for lo in range(0, batch.num_rows, 128):
+            b = batch.slice(lo, 128)
             with no_cycle_collection():
                 sets = shingle_sets(b.column(column).to_pylist(), memo, size)
             yield b, sets
 
 
-def set_key(h: np.ndarray) -> int:
-    """A 64-bit key of a set."""
-    return xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
+def set_key(h: np.ndarray) -> bytes:
+    """A 128-bit key of a set."""
+    return xxhash.xxh3_128_digest(h.tobytes())
 
 
 def prefix_length(n, percent: int = THRESHOLD):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _sets_and_counts(docs: DataFrame, size: int) -> DataFrame:
+def _chunk_rows(chunk: int, ids: list, sets: list[np.ndarray], ranges: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and one for each range that gets shingles of the chunk."""
+    keys = [set_key(h) if len(h) else None for h in sets]
+    first = {k: i for i, k in reversed(list(enumerate(keys))) if k is not None and ids[i] is not None}
+    own = sorted(first.values())
+    h = np.concatenate([sets[i] for i in own]) if own else np.zeros(0, np.uint64)
+    doc = np.repeat(np.array(own, np.int64), [len(sets[i]) for i in own])
+    t = placed(h, ranges)
+    order = np.argsort(t, kind="stable")
+    t, doc = t[order], doc[order]
+    at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    many = np.diff(np.append(at, len(t)))
+    loose = np.zeros(len(ids), bool)  # two shingles of the document look alike
+    loose[doc[1:][(t[1:] == t[:-1]) & (doc[1:] == doc[:-1])]] = True
+    hot = np.repeat(many > HOT, many)
+    d, x = doc[hot], t[hot]
+    order = np.argsort(d, kind="stable")
+    bounds = np.searchsorted(d[order], np.arange(len(ids) + 1))
+    remembered = [x[order[lo:hi]].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    sig: list[bytes | None] = [None] * len(ids)
+    for i in own:
+        sig[i] = np.minimum(np.bincount((sets[i] >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+    schema, n = arrow_schema(DEALT), len(ids)
+    yield batch_of(schema, n, bucket=[-1 - chunk] * n, chunk=[chunk] * n, idx=range(n), doc_id=ids, n=[len(x) for x in sets], key=keys, sig=sig, hot=remembered, loose=loose)
+    u, refs, low = t[at], doc[~hot].astype("<u2"), many.astype("<u2")
+    ends, bounds = np.append(0, np.cumsum(np.where(many > HOT, 0, many))), cuts(u)
+    parts = [(int(u[lo] >> np.uint64(32)), rises(u[lo:hi]), planes(low[lo:hi]), planes(refs[ends[lo] : ends[hi]])) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    if parts:
+        bucket, tok, many, refs = zip(*parts, strict=True)
+        yield batch_of(schema, len(parts), bucket=bucket, chunk=[chunk] * len(parts), tok=tok, many=many, refs=refs)
+
+
+def _dealt(docs: DataFrame, size: int, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = Memo(300_000), np.zeros(BUCKETS, np.uint32)
-        names = ["doc_id", "n", "key", "block", "counts"]
+        memo, chunk = Memo(150_000), TaskContext.get().partitionId() << 32
+        ids, held, total = [], [], 0
         for b, sets in in_slices(batches, 1, memo, size):
-            n = [len(h) for h in sets]
-            key = [set_key(h) if len(h) else None for h in sets]
-            counts += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-            rows = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        k = BUCKETS // PIECE
-        salt = TaskContext.get().partitionId() % SALTS
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array([salt] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(k, PIECE)], pa.binary())], names)
-
-    return docs.mapInArrow(run, "doc_id long, n long, key long, block int, counts binary")
-
-
-def _summed(parts: DataFrame) -> np.ndarray:
-    """The count table, summed in two levels; the driver gets its fixed size."""
-
-    def add(pdf):
-        total = np.zeros(PIECE, np.uint64)
-        kind = np.uint32 if len(pdf["counts"].iloc[0]) == 4 * PIECE else np.uint64
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, kind)
-        return pdf.iloc[:1].assign(counts=[total.tobytes()])
-
-    one = parts.select("block", "n", "counts").groupBy("block", "n").applyInPandas(add, "block int, n long, counts binary")
-    two = one.groupBy("block").applyInPandas(add, "block int, n long, counts binary")
-    out = np.zeros(BUCKETS, np.uint64)
-    for r in two.collect():
-        out[r.block * PIECE : (r.block + 1) * PIECE] = np.frombuffer(bytes(r.counts), np.uint64)
-    return out
-
-
-def _nodes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``key, n, prefix, sig``: one row a class."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # fixed size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, table = Memo(300_000), shared.value
-        for _, sets in in_slices(batches, 1, memo, size):
-            rows = {}
-            for h in sets:
-                if not len(h) or (key := set_key(h)) in rows:
-                    continue
-                order = np.lexsort((h, table[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                sig = np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
-                rows[key] = len(h), h[order[: prefix_length(len(h), percent)]].view(np.int64), sig.tobytes()
-            if rows:
-                n, prefix, sig = zip(*rows.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["key", "n", "prefix", "sig"])
-
-    found = docs.mapInArrow(run, "key long, n long, prefix array<long>, sig binary")
-    return found.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
+            for k, h in zip(b.column(0).to_pylist(), sets, strict=True):
+                ids.append(k)
+                held.append(h)
+                total += len(h)
+                if total >= CHUNK or len(ids) >= CHUNK_DOCS:
+                    yield from _chunk_rows(chunk, ids, held, ranges)
+                    chunk, ids, held, total = chunk + 1, [], [], 0
+        if ids:
+            yield from _chunk_rows(chunk, ids, held, ranges)
+
+    # a task that is run again must see its rows in the same order, or places would not fit
+    ordered = docs.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return ordered.mapInArrow(run, DEALT)
+
+
+def _answered(group: pa.Table) -> pa.Table:
+    """Rows of one range: what occurs twice or more in the corpus.  Rows of documents pass."""
+    schema = arrow_schema(SHARED)
+    if is_chunk(group):
+        return passed(group, schema)
+    toks = [unrisen(x.as_py()) for x in group.column("tok")]
+    many = [unplaned(x.as_py(), "<u2") for x in group.column("many")]
+    tok, count = np.concatenate(toks), np.concatenate(many).astype(np.int64)
+    _, number = np.unique(tok, return_inverse=True)
+    df = np.minimum(np.bincount(number, count), 2**32 - 1).astype("<u4")[number]
+    rows, lo = [], 0
+    for x, m, chunk, refs in zip(toks, many, group.column("chunk").to_pylist(), group.column("refs"), strict=True):
+        own = df[lo : lo + len(x)]
+        keep, lo = own >= 2, lo + len(x)
+        if keep.any():
+            at = np.where(m > HOT, 0, m)
+            rows.append((chunk, x[keep].tobytes(), m[keep].tobytes(), unplaned(refs.as_py(), "<u2")[np.repeat(keep, at)].tobytes(), own[keep].tobytes()))
+    chunk, tok, many, refs, df = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.Table.from_batches([batch_of(schema, len(rows), bucket=[group.column("bucket")[0].as_py()] * len(rows), chunk=chunk, tok=tok, many=many, refs=refs, df=df)])
+
+
+def _prefixes_of(percent: int):
+    def prefixes(group: pa.Table) -> pa.Table:
+        """Rows of one chunk: the shared shingles in the prefix of each class."""
+        kind = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("first", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sig", pa.binary())])
+        is_doc = group.column("idx").is_valid()
+        docs, answers = group.filter(is_doc).sort_by("idx"), group.filter(pc.invert(is_doc))
+        n = docs.column("n").to_numpy()
+        cat = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in answers.column(name)] or [np.zeros(0, kind)])
+        size = [len(x.as_py()) // 4 for x in answers.column("tok")]
+        t = np.repeat(answers.column("bucket").to_numpy().astype(np.uint64), size) << np.uint64(32) | cat("tok", "<u4").astype(np.uint64)
+        df, many, refs = cat("df", "<u4").astype(np.int64), cat("many", "<u2").astype(np.int64), cat("refs", "<u2").astype(np.int64)
+        hot = many > HOT
+        order = np.argsort(t[hot])
+        hot_t, hot_df = t[hot][order], df[hot][order]
+        each = [np.frombuffer(x.as_py() or b"", np.uint64) for x in docs.column("hot")]
+        own = np.concatenate(each) if each else np.zeros(0, np.uint64)
+        doc = np.concatenate([refs, np.repeat(np.arange(len(n)), [len(x) for x in each])])
+        df = np.concatenate([np.repeat(df[~hot], many[~hot]), hot_df[np.searchsorted(hot_t, own)] if len(own) else np.zeros(0, np.int64)])
+        t = np.concatenate([np.repeat(t[~hot], many[~hot]), own])
+        order = np.lexsort((t, df, doc))
+        t, doc = t[order], doc[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])
+        t, doc = t[new], doc[new]
+        shared = np.bincount(doc, minlength=len(n))
+        start = np.cumsum(shared) - shared
+        loose = docs.column("loose").to_numpy(zero_copy_only=False).astype(bool)
+        take = np.where(loose, shared, np.clip(prefix_length(n, percent) - (n - shared), 0, shared))
+        t = t[np.arange(len(t)) - start[doc] < take[doc]]
+        at = np.flatnonzero(take)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take[at])), pa.int32()), pa.array(t.view(np.int64)))
+        first = np.where(loose, -1, n - shared)[at]
+        return pa.Table.from_arrays([docs.column("key").take(at), pa.array(n[at]), pa.array(first), lists, docs.column("sig").take(at)], schema=kind)
+
+    return prefixes
 
 
 def _needed(na, nb, percent):
@@ -154,22 +220,16 @@ def _needed(na, nb, percent):
     return -((-percent * (na + nb)) // (100 + percent))
 
 
-def _candidates(hits: DataFrame, signs: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """``a, b`` (a < b) of pairs that pass all filters, from rows ``tok, comp, key, n, pos`` and
-    the signatures ``key, sig``.
+def _grouped(rows: DataFrame, signs: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """``a, b`` (a < b) of pairs that pass all filters, from rows ``tok, i, j, blk, comp, cid,
+    n, pos``; within a group (tok, i, j), of different blocks if i and j differ.
 
-    With ``all_pairs`` each pair of different components comes out, else one
-    tree of the likeliest links of each block.
+    With ``all_pairs`` each pair of different components comes out, else one tree of the
+    likeliest links of each group.
     """
-    placed = hits.withColumn("rn", F.row_number().over(Window.partitionBy("tok").orderBy("n", "key"))).withColumn("blk", F.floor((F.col("rn") - 1) / BLOCK).cast("int"))
-    placed = staged(placed, "placed")
-    large = placed.groupBy("tok").agg((F.max("blk") + 1).alias("blocks")).where("blocks > 1")
-    small = placed.join(large.select("tok"), "tok", "left_anti").withColumns({"i": F.lit(0), "j": F.lit(0)})
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.join(large, "tok").withColumn("o", other).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")})
-    columns = ["tok", "i", "j", "blk", "comp", "key", "n", "pos"]
-    rows = small.select(columns).unionByName(dealt.select(columns)).join(signs, "key").select(*columns, "sig")
-    rows = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
+    columns = ["tok", "i", "j", "blk", "comp", "cid", "n", "pos"]
+    rows = rows.select(columns).join(signs, "cid").select(*columns, "sig")
+    rows = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -194,7 +254,7 @@ def _group_numbers(t: pa.Table) -> np.ndarray:
 
 
 def _pairs(t: pa.Table, group: np.ndarray, percent: int, all_pairs: bool) -> Iterator[pa.RecordBatch]:
-    i, j, blk, comp, key, n, pos = (t.column(c).to_numpy() for c in ("i", "j", "blk", "comp", "key", "n", "pos"))
+    i, j, blk, comp, key, n, pos = (t.column(c).to_numpy() for c in ("i", "j", "blk", "comp", "cid", "n", "pos"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int32)
     counted = sig.sum(1)
     stop = np.searchsorted(group, group, side="right")
@@ -242,80 +302,97 @@ def _trees(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
     return a[keep], b[keep]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link."""
+def _likely(hits: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """First round: trees within blocks; a shingle's classes are dealt into blocks by hash."""
+    blk = F.pmod(F.xxhash64("cid", "tok"), F.ceil(F.col("c") / BLOCK)).cast("int")
+    return _grouped(hits.withColumns({"i": blk, "j": blk, "blk": blk, "comp": F.col("cid")}), signs, percent, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                p = batch.slice(lo, 512)
-                keep = []
-                for x, y in zip(p.column(2), p.column(3), strict=True):
-                    s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(s) + len(t) - both))
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _open(hits: DataFrame, comps: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Second round: all pairs of different components.  At each shingle, blocks of the
+    classes outside the largest component meet one another and the blocks of that one."""
+    tagged = staged(hits.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component"), "tagged")
+    by_comp = tagged.groupBy("tok", "comp").agg(F.count("*").alias("k"))
+    mixed = by_comp.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("tok", F.col("top.comp").alias("main"), F.col("top.k").alias("k"))
+    rows = tagged.join(mixed, "tok").withColumns({"minor": F.col("comp") != F.col("main"), "few": F.ceil((F.col("c") - F.col("k")) / BLOCK).cast("int"), "rest": F.ceil(F.col("k") / BLOCK).cast("int")})
+    h = F.xxhash64("cid", "tok")
+    rows = rows.withColumn("blk", F.when(F.col("minor"), F.pmod(h, F.col("few"))).otherwise(F.col("few") + F.pmod(h, F.col("rest"))).cast("int"))
+    upto = lambda lo, hi, f: F.transform(F.sequence(lo, hi - 1), f)
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    own: Column = F.col("blk")
+    meets = F.when(F.col("minor"), F.concat(upto(F.lit(0), F.col("few"), lambda x: pair(F.least(own, x), F.greatest(own, x))), upto(F.col("few"), F.col("few") + F.col("rest"), lambda x: pair(own, x)))).otherwise(upto(F.lit(0), F.col("few"), lambda x: pair(x, own)))
+    dealt = rows.withColumn("g", F.explode(meets)).withColumns({"i": F.col("g.i"), "j": F.col("g.j")})
+    return _grouped(dealt, signs, percent, True)
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """``key, hashes`` of the classes in ``pairs``, from one document (``owner``) of each class.
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets link.  One set travels a pair; the sets are compared row by row."""
+    left, right = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def _whole_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """``cid, hashes`` of the classes in ``pairs``, from one document (``owner``) of each class.
 
     A repeated id can give a class twice; that only repeats a link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(300_000)
+        memo = Memo(150_000)
         for _, sets in in_slices(batches, 1, memo, size):
-            rows = {set_key(h): h.tobytes() for h in sets if len(h)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["key", "hashes"])
-
-    keys = staged(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
-    ids = staged(classes.join(keys, "key", "left_semi").select(F.col("owner").alias("doc_id")).distinct(), "owners")
-    if ids.count() <= BROADCAST_IDS:
+            rows = {set_key(h): h.view(np.int64) for h in sets if len(h)}
+            ends = np.append(0, np.cumsum([len(h) for h in rows.values()]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows.values(), np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), lists], ["key", "hashes"])
+
+    cids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = staged(nodes.join(cids, "cid", "left_semi").select("key", "cid", "owner"), "wanted")
+    ids = wanted.select(F.col("owner").alias("doc_id")).distinct()
+    if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "key long, hashes binary")
+    found = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "key binary, hashes array<long>")
+    return found.join(wanted, "key").select("cid", "hashes")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """``key, n_shingles, component_id`` of every row.
+    """``key, n_shingles, component_id`` of every row; other columns are not looked at.
 
     ``component_id`` is the smallest ``key`` that links reach.  Rows without words (or
     text) link with nothing.  Rows with a null key take no part: their component is
-    null.  Repeated rows fall into one component; an empty table gives an empty result.
+    null.  Repeated rows fall into one component; rows that share a key but not the text
+    are judged each by its own text.  Texts of any length are taken whole: a set is held by
+    one row at a time.  An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    one = staged(_sets_and_counts(rows, size), "sets")
-    base = one.where("block is null").select("doc_id", "n", F.col("key"))
-    whole = rows.where("doc_id is not null")
-    classes = staged(base.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("owner")), "classes")
-    nodes = staged(_nodes(whole, _summed(one.where("block is not null")), size, percent), "nodes")
-    tokens = nodes.select("key", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "key", F.struct("n", "pos").alias("at"))
-    # a class stays at a shingle if a class of like size is there too: the next smaller or larger one is the likest
-    w = Window.partitionBy("tok").orderBy("n", "key")
-    n = F.col("n")
-    met = (100 * F.lag("n").over(w) >= percent * n) | (100 * n >= percent * F.lead("n").over(w))
-    tokens = tokens.select("tok", "key", F.col("at.n").alias("n"), F.col("at.pos").cast("long").alias("pos"))
-    hits = staged(tokens.repartition("tok").withColumn("met", met).where("met").drop("met"), "hits")
-    active = staged(hits.select("key").distinct(), "active")
-    signs = staged(nodes.select("key", "sig").join(active, "key", "left_semi"), "signs")
-    likely = staged(_candidates(hits.withColumn("comp", F.col("key")), signs, percent, False), "likely")
-    links = staged(_verified(likely, staged(_whole_sets(whole, classes, likely, size), "whole"), percent), "links")
-    comps = staged(components(links), "components")
-    tagged = hits.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
-    tagged = staged(tagged, "tagged")
-    mixed_toks = staged(tagged.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok"), "mixed")
-    open_pairs = staged(_candidates(tagged.join(mixed_toks, "tok", "left_semi"), signs, percent, True), "open")
+    shared = staged(_dealt(rows, size, ranges_for(rows)).groupBy("bucket").applyInArrow(_answered, SHARED), "shared")
+    base = staged(shared.where("idx is not null").select("doc_id", "n", "key"), "base")
+    prefixes = shared.groupBy("chunk").applyInArrow(_prefixes_of(percent), "key binary, n long, first long, prefix array<long>, sig binary")
+    found = staged(prefixes.groupBy("key").agg(F.first(F.struct("n", "first", "prefix", "sig")).alias("x")).select("key", "x.*"), "prefixes")
+    dropped(spark, shared)
+    classes = base.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("owner"))
+    # a number for each class that shares a shingle of its prefix; fixed once it is written
+    nodes = staged(found.join(classes, "key").withColumn("cid", F.monotonically_increasing_id()), "nodes")
+    dropped(spark, found)
+    at = F.when(F.col("first") < 0, 0).otherwise(F.col("first") + F.col("i"))  # look-alikes of its own: no positional filter
+    tokens = nodes.select("cid", "n", "first", F.posexplode("prefix").alias("i", "tok")).select("tok", "cid", "n", at.cast("long").alias("pos"))
+    met = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+    hits = staged(tokens.join(met, "tok"), "hits")
+    signs = staged(nodes.select("cid", "sig").join(hits.select("cid").distinct(), "cid", "left_semi"), "signs")
+    whole, names = rows.where("doc_id is not null"), nodes.select("key", "cid", "owner")
+    likely = staged(_likely(hits, signs, percent), "likely")
+    links = staged(_verified(likely, staged(_whole_sets(whole, names, likely, size), "whole"), percent), "links")
+    comps = components(links)
+    open_pairs = staged(_open(hits, comps, signs, percent), "open")
     if open_pairs.limit(1).count():
-        more = staged(_verified(open_pairs, staged(_whole_sets(whole, classes, open_pairs, size), "whole"), percent), "links")
+        more = staged(_verified(open_pairs, staged(_whole_sets(whole, names, open_pairs, size), "whole"), percent), "links")
         if more.limit(1).count():
-            comps = staged(components(links.unionByName(more)), "components")
-    named = classes.join(comps.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = staged(named, "named")
-    ids = staged(named.groupBy("component").agg(F.min("owner").alias("component_id")), "ids")
-    by_class = staged(named.join(ids, "component").select("key", "component_id"), "by_class")
-    final = base.join(by_class, "key", "left")
+            comps = components(links.unionByName(more))
+    linked = staged(names.join(comps.select(F.col("node").alias("cid"), "component"), "cid"), "linked")
+    least = linked.groupBy("component").agg(F.min("owner").alias("component_id"))
+    by_class = staged(linked.join(least, "component").select("key", "component_id"), "by_class")
+    of_class = staged(classes.join(by_class, "key", "left").select("key", F.coalesce("component_id", "owner").alias("component_id")), "of_class")
+    final = base.join(of_class, "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return final.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
