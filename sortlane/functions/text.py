@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that recognition confuses with digits, and the digits.
+#: Characters that recognition confuses with digits, and the digits (fixed values).
 CONFUSED, DIGITS = "OIZSBoizsbLl|", "0125801258111"
 #: Field patterns of the two couriers (fixed values).
 TRACKING, ORDER, PHONE = r"^FE\d{10}$", r"^FE\d{6}[A-Z0-9]{6}$", r"^FE \d{12}$"
+#: Names of colours and detection algorithms on screen (fixed values).
 COLOURS = {1: "Red", 2: "Green", 3: "Blue", 4: "Yellow"}
 NAMED = {"ALGORITHM_FACE_RECOGNITION": "Face", "ALGORITHM_OBJECT_TRACKING": "Object", "ALGORITHM_TAG_RECOGNITION": "Tag"}
 

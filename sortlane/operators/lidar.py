@@ -34,16 +34,38 @@ def offset_points(points: DataFrame, offset: float = OFFSET) -> DataFrame:
     return out.withColumns({"x": F.round(x_of(F.col("angle"), F.col("distance")), 2), "y": F.round(y_of(F.col("angle"), F.col("distance")), 2), "obstacle": F.col("distance") < 1000})
 
 
+#: A mask has so many sectors at most (fixed value).
+MOST_SECTORS = 10
+
+
+def sector_valid() -> Column:
+    """Is a row ``name, angle_min, angle_max, min_distance_mm`` a proper sector?"""
+    angles = F.col("angle_min").between(-180, 360) & F.col("angle_max").between(-180, 360) & (F.col("angle_min") <= F.col("angle_max"))
+    ok = F.length(F.trim("name")).between(1, 64) & angles & F.col("min_distance_mm").between(0, 500)
+    return F.coalesce(ok, F.lit(False))
+
+
+def checked_masks(sectors: DataFrame, key: str) -> DataFrame:
+    """Sectors of many masks with ``valid`` (the sector's own) and ``mask_valid``: all sectors of
+    the key are valid and there are 1 to MOST_SECTORS."""
+    rows = sectors.withColumn("valid", sector_valid())
+    masks = rows.groupBy(key).agg((F.bool_and("valid") & F.count("*").between(1, MOST_SECTORS)).alias("mask_valid"))
+    return rows.join(masks, key)
+
+
 def body_masked(points: DataFrame, mask: DataFrame) -> DataFrame:
     """Points outside the robot's own body: a point goes if a sector of the mask holds
     its angle and it is nearer than the sector's least distance, or if its distance is
-    not positive.  An empty mask changes nothing.  A mask has ten rows at most, so the
-    range anti-join is a broadcast of it.
+    not positive.  An empty mask changes nothing; one of more than MOST_SECTORS sectors is an
+    error, so the range anti-join is a broadcast of a few rows.
     """
-    if mask.limit(1).count() == 0:
+    n = mask.limit(MOST_SECTORS + 1).count()
+    if n > MOST_SECTORS:
+        raise ValueError(f"a body mask has {MOST_SECTORS} sectors at most")
+    if n == 0:
         return points
     a = norm_angle(F.col("angle"))
-    return points.where(F.col("distance") > 0).join(F.broadcast(mask.limit(10)), a.between(F.col("angle_min"), F.col("angle_max")) & (F.col("distance") < F.col("min_distance_mm")), "left_anti")
+    return points.where(F.col("distance") > 0).join(F.broadcast(mask), a.between(F.col("angle_min"), F.col("angle_max")) & (F.col("distance") < F.col("min_distance_mm")), "left_anti")
 
 
 def sector(angle: Column) -> Column:

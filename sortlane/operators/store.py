@@ -101,10 +101,18 @@ def accepted(new: DataFrame, stored: DataFrame, key: str, now: Column | None = N
     return rows.withColumn("__nth", nth).withColumn("reason", reason).drop("__k", "__known", "__nth")
 
 
-def append(rows: DataFrame, path: str) -> DataFrame:
-    """Write the accepted rows of ``accepted`` to ``path`` and return the rejected ones."""
-    rows.where("reason IS NULL").drop("reason").write.mode("append").parquet(path)
-    return rows.where("reason IS NOT NULL")
+def append(new: DataFrame, path: str, log: str, key: str, now: Column | None = None) -> DataFrame:
+    """Append to the table at ``path`` the new rows that ``accepted`` lets pass; returns the rejected ones.
+
+    All new rows are written to ``log`` with their reason first, so that a second look at them
+    does not meet the rows just appended.
+    """
+    spark = new.sparkSession
+    judged = accepted(new, spark.read.parquet(path), key, now)
+    judged.write.parquet(log)
+    judged = spark.read.schema(judged.schema).parquet(log)
+    judged.where("reason IS NULL").drop("reason").write.mode("append").parquet(path)
+    return judged.where("reason IS NOT NULL")
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -149,19 +157,35 @@ def latency_profile(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def latency_report(df: DataFrame, group: str, value: str, target: float = 200.0) -> DataFrame:
-    """Mean, median, 95th percentile (the sorted value at place ``int(0.95 n)``), extremes and verdict."""
+    """Mean, median, 95th percentile (the sorted value at place ``int(0.95 n)``), extremes and verdict.
+
+    Equal values are counted first, with partial sums, so a group is ordered by its distinct
+    values only.
+    """
     v = F.col(value)
-    w = Window.partitionBy(group).orderBy(v)
-    placed = df.where(v.isNotNull()).withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(group)))
-    p95 = F.max(F.when(F.col("__i") == F.floor(F.col("__n") * F.lit(0.95)), v))
-    out = placed.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), p95.alias("p95"), F.min(v).alias("min"), F.max(v).alias("max"))
+    counts = df.where(v.isNotNull()).groupBy(group, v.alias("v")).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(group)
+    placed = counts.withColumns({"end": F.sum("k").over(w.orderBy("v")), "n": F.sum("k").over(w)})
+    at = lambda i: F.min(F.when(F.col("end") > i, F.col("v")))  # noqa: E731  the sorted value at a place
+    n = F.col("n")
+    out = placed.groupBy(group).agg(
+        F.sum("k").alias("n"), F.round(F.sum(F.col("v") * F.col("k")) / F.sum("k"), 6).alias("mean"),
+        F.round((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 6).alias("median"),
+        at(F.floor(n * F.lit(0.95))).alias("p95"), F.min("v").alias("min"), F.max("v").alias("max"),
+    )
     return out.withColumn("verdict", F.when(F.col("p95") < target, "PASS").otherwise("FAIL"))
 
 
-def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``field, values``: sorted distinct non-empty values as text."""
+def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``field, value``: a row for each distinct non-empty value, as text."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")).select("x.*")
-    return long.where("value <> ''").groupBy("field").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    return long.where("value <> ''").distinct()
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``field, values``: sorted distinct non-empty values; for fields with few values, as one row
+    holds them all (``distinct_rows`` for others)."""
+    return distinct_rows(df, columns).groupBy("field").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
 def manifest(labels: DataFrame, courier: str, barangay: str) -> DataFrame:

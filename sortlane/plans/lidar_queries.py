@@ -40,12 +40,12 @@ def _(p):
     return p.where("distance < 1000").select("point_id", "distance")
 
 
-@query("flt_mask_valid", "sector_mask", "SELECT name, true AS valid FROM sector_mask UNION ALL SELECT 'bad', false")
-def _(mask):
-    bad = mask.limit(1).select(F.lit("bad").alias("name"), F.lit(40.0).alias("angle_min"), F.lit(-40.0).alias("angle_max"), F.lit(900.0).alias("min_distance_mm"))
-    m = mask.unionByName(bad)
-    ok = F.length(F.trim("name")).between(1, 64) & C("angle_min").between(-180, 360) & C("angle_max").between(-180, 360) & (C("angle_min") <= C("angle_max")) & C("min_distance_mm").between(0, 500)
-    return m.select(F.trim("name").alias("name"), ok.alias("valid"))
+_VALID = "length(trim(name)) BETWEEN 1 AND 64 AND angle_min BETWEEN -180 AND 360 AND angle_max BETWEEN -180 AND 360 AND angle_min <= angle_max AND min_distance_mm BETWEEN 0 AND 500"
+
+
+@query("flt_mask_valid", "robot_masks", f"WITH r AS (SELECT *, {_VALID} AS valid FROM robot_masks) SELECT event_id, robot_id, valid, bool_and(valid) OVER (PARTITION BY robot_id) AND count(*) OVER (PARTITION BY robot_id) BETWEEN 1 AND 10 AS mask_valid FROM r")
+def _(masks):
+    return lidar.checked_masks(masks, "robot_id").select("event_id", "robot_id", "valid", "mask_valid")
 
 
 @query("join_body_mask", "lidar_points sector_mask", f"SELECT point_id, angle, distance FROM lidar_points p WHERE distance > 0 AND NOT EXISTS (SELECT 1 FROM sector_mask m WHERE {_NORM} BETWEEN m.angle_min AND m.angle_max AND p.distance < m.min_distance_mm)")
@@ -80,12 +80,6 @@ def _(p):
     return n.select("scan_id", F.size("points").cast("long").alias("points"), F.size("obstacles").cast("long").alias("obstacles"), F.round(total, 4).alias("angles"))
 
 
-@query("sink_scan_json", "lidar_points", "SELECT scan_id, count(*) AS points FROM lidar_points GROUP BY scan_id")
-def _(p):
-    n = lidar.nested_scans(p, "scan_id").select("scan_id", F.to_json(F.struct("scan_id", "points", "obstacles")).alias("json"))
-    return n.select("scan_id", F.json_array_length(F.get_json_object("json", "$.points")).cast("long").alias("points"))
-
-
 @query("math_norm_angle", "lidar_points", f"SELECT point_id, round({_NORM}, 6) AS angle FROM lidar_points")
 def _(p):
     return p.select("point_id", F.round(lidar.norm_angle(C("angle")), 6).alias("angle"))

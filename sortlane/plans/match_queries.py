@@ -26,7 +26,7 @@ _LCS = """cells(a, b, i, line) AS (
       CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j AS INT), 1) THEN line[CAST(j AS INT)] + 1 ELSE greatest(acc[-1], line[CAST(j AS INT) + 1]) END), [0])
   FROM cells WHERE i < length(a)),
 lcs AS (SELECT a, b, line[-1] AS n FROM cells WHERE i = length(a))"""
-_BRGY = _values([(i, b) for i, b in enumerate(dic.DISTRICTS)], "d(pos, word)")
+_BRGY = _values([(i, b) for i, b in enumerate(dic.barangay_names())], "d(pos, word)")
 _RIDERS = _values(list(enumerate(sorted(r[4] for r in dic.district_rows()))), "d(pos, word)")
 _SORT = _values([(r[0], r[3]) for r in dic.district_rows()], "d(pos, word)")
 _DIST = _values([r[:3] for r in dic.district_rows()], "d(pos, barangay, district)")

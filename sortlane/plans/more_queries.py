@@ -12,7 +12,7 @@ from ..sources import dictionaries as dic
 from ..sources import files
 from ..sources.generator import labels
 from ..streaming.jobs import work_folder
-from .catalog import QUERIES, query
+from .catalog import query
 from .match_queries import _EXPECT, _VAR, _values
 
 C = F.col
@@ -32,7 +32,10 @@ def _(orders):
 def _(scans):
     """The nested courier dictionary, read from JSON, with the number of scans of each district's rider."""
     spark, folder = scans.sparkSession, work_folder(scans.sparkSession)
-    nested = {"couriers": {"one": {"dictionaries": {"districts": {b: [{"name": d, "code": c} for d, c in ds] for b, ds in dic.DISTRICTS.items()}}}}}
+    by_barangay: dict[str, list] = {}
+    for barangay, district, code, _rider in dic.DISTRICTS:
+        by_barangay.setdefault(barangay, []).append({"name": district, "code": code.split("-")[3]})
+    nested = {"couriers": {"one": {"dictionaries": {"districts": by_barangay}}}}
     spark.createDataFrame([(json.dumps(nested),)], "value string").coalesce(1).write.text(folder)
     dims = dic.read_courier(spark, folder, "one").join(match.small(dic.districts(spark).select("barangay", "district", "rider")), ["barangay", "district"])
     n = scans.groupBy(C("rider_id").alias("rider")).agg(F.count("*").alias("n"))
@@ -45,14 +48,6 @@ def _(places):
     return match.small(model).join(places, F.upper("barangay_text") == C("variation"), "left").groupBy("variation", "canonical").agg(F.count("scan_id").alias("n"))
 
 
-def _listing(spark, sf_dir):
-    """Files by suffix with their size; the test folder holds Parquet files."""
-    return files.image_listing(spark, sf_dir, ("parquet",)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-
-
-QUERIES["src_image_listing_job"] = _listing
-
-
 @query("gen_labels_job", "customer", None)
 def _(customer):
     return labels(customer, "c_custkey")

@@ -105,11 +105,6 @@ def _(scans):
     return store.purge_counts(scans, "buyer_name")
 
 
-@query("sink_purge_empty_ts", "scans", "SELECT scan_id, buyer_name FROM scans WHERE coalesce(buyer_name, '') <> ''")
-def _(scans):
-    return store.purged(scans, "buyer_name").select("scan_id", "buyer_name")
-
-
 @query("agg_page_counts", "scans", "SELECT count(*) AS total, count_if(payment_type = 'COD') AS filtered FROM scans")
 def _(scans):
     return store.page_counts(scans, C("payment_type") == "COD")
@@ -141,11 +136,6 @@ def _(scans):
     return store.distinct_values(scans, ["engine", "payment_type", "rider_id"]).withColumn("values", F.array_join("values", ","))
 
 
-@query("sink_dictionary_json", "scans", "WITH l AS (SELECT DISTINCT payment_type AS v FROM scans) SELECT 'payment_type' AS field, '[\"' || string_agg(v, '\",\"' ORDER BY v) || '\"]' AS json FROM l")
-def _(scans):
-    return store.distinct_values(scans, ["payment_type"]).select("field", F.to_json("values").alias("json"))
-
-
 @query("agg_duplicate_keys", "scans", "SELECT tracking_id, count(*) AS n FROM scans GROUP BY tracking_id HAVING count(*) > 1")
 def _(scans):
     return scans.groupBy("tracking_id").agg(F.count("*").alias("n")).where("n > 1")
@@ -225,56 +215,6 @@ def _(scans):
     return used.intersect(known).withColumn("known", F.lit(True)).unionByName(used.join(known, "rider_id", "left_anti").withColumn("known", F.lit(False)))
 
 
-_NEW = "SELECT CASE WHEN scan_id % 3 = 0 THEN scan_id ELSE scan_id + 1000000 END AS scan_id, CASE WHEN scan_id % 10 = 0 THEN confidence + 1 ELSE confidence END AS confidence, weight_g, quantity, processing_time_ms, CASE WHEN scan_id % 4 = 0 THEN NULL ELSE ts END AS ts FROM scans WHERE scan_id % 5 < 3"
-
-
-@query("sink_store_scans", "scans", f"WITH n AS ({_NEW}), old AS (SELECT scan_id FROM scans) SELECT n.scan_id, coalesce(n.ts, TIMESTAMP '2026-01-01 00:00:00') AS ts, CASE WHEN confidence < 0 OR confidence > 1 THEN 'check' WHEN old.scan_id IS NOT NULL THEN 'duplicate' END AS reason FROM n LEFT JOIN old ON old.scan_id = n.scan_id")
-def _(scans):
-    new = scans.where("scan_id % 5 < 3").select(F.when(C("scan_id") % 3 == 0, C("scan_id")).otherwise(C("scan_id") + 1000000).alias("scan_id"), F.when(C("scan_id") % 10 == 0, C("confidence") + 1).otherwise(C("confidence")).alias("confidence"), "weight_g", "quantity", "processing_time_ms", F.when(C("scan_id") % 4 != 0, C("ts")).alias("ts"))
-    return store.accepted(new, scans, "scan_id", F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00"))).select("scan_id", "ts", "reason")
-
-
-@query("sink_register_session", "scans", "WITH n AS (SELECT DISTINCT engine || rider_id AS session_name FROM scans), old AS (SELECT DISTINCT engine || rider_id AS session_name FROM scans WHERE rider_id < 'GY10') SELECT session_name, CASE WHEN old.session_name IS NOT NULL THEN 'duplicate' END AS reason FROM n LEFT JOIN old USING (session_name)")
-def _(scans):
-    names = scans.select(F.concat("engine", "rider_id").alias("session_name"), "rider_id").distinct()
-    return store.accepted(names.select("session_name"), names.where("rider_id < 'GY10'").select("session_name"), "session_name")
-
-
-@query("sink_upsert_label", "label_results", "SELECT id, image_name, status FROM label_results QUALIFY row_number() OVER (PARTITION BY image_name ORDER BY id DESC) = 1")
-def _(r):
-    old, new = r.where("id % 2 = 0"), r.where("id % 2 = 1")
-    return store.upserted(old, new, "image_name", "id").select("id", "image_name", "status")
-
-
-@query("sink_append_label", "label_results", "SELECT image_name, count(*) AS attempts FROM label_results GROUP BY image_name")
-def _(r):
-    return r.where("id % 2 = 0").unionByName(r.where("id % 2 = 1")).groupBy("image_name").agg(F.count("*").alias("attempts"))
-
-
-@query("sink_cascade_delete", "scans lidar_points", "SELECT scan_id, count(*) AS points FROM lidar_points WHERE scan_id NOT IN (SELECT scan_id FROM scans WHERE scan_id % 7 = 0) GROUP BY scan_id")
-def _(scans, points):
-    return store.without(points, scans.where("scan_id % 7 = 0"), "scan_id").groupBy("scan_id").agg(F.count("*").alias("points"))
-
-
-@query("sink_keep_newest", "label_results", "SELECT image_name, id, rank FROM (SELECT image_name, id, row_number() OVER (PARTITION BY image_name ORDER BY id DESC) AS rank FROM label_results) WHERE rank > 10")
-def _(r):
-    return store.evicted(r, "image_name", 10, F.desc("id")).select("image_name", "id", "rank")
-
-
-@query("sink_batch_csv", "label_results", "SELECT CASE WHEN status LIKE '%Failed%' THEN '\"' || image_name || '\",\"\",\"\",\"' || status || '\"' ELSE '\"' || image_name || '\",\"' || confidence || '\",\"' || id || '\",\"\"' END AS line FROM label_results")
-def _(r):
-    from ..sources.files import csv_line
-
-    failed = F.contains("status", F.lit("Failed"))
-    ok = lambda c: F.when(~failed, C(c).cast("string"))
-    return r.select(csv_line(C("image_name"), ok("confidence"), ok("id"), F.when(failed, C("status"))).alias("line"))
-
-
-@query("sink_batch_json", "label_results", "SELECT '{\"id\":' || id || ',\"image_name\":\"' || image_name || '\",\"status\":\"' || status || '\"}' AS json FROM label_results")
-def _(r):
-    return r.select(F.to_json(F.struct("id", "image_name", "status")).alias("json"))
-
-
 @query("join_order_enrich", "scans order_truth", "SELECT s.scan_id, s.tracking_id, coalesce(s.order_id, o.order_id) AS order_id, coalesce(s.buyer_name, o.buyer_name) AS buyer_name, coalesce(o.address, s.buyer_address) AS buyer_address, coalesce(TRY_CAST(replace(o.weight, 'g', '') AS INT), s.weight_g) AS weight_g, coalesce(TRY_CAST(o.quantity AS INT), s.quantity) AS quantity, o.tracking_id IS NOT NULL AS order_found FROM scans s LEFT JOIN order_truth o USING (tracking_id)")
 def _(scans, orders):
     from ..operators.enrich import enriched

@@ -20,9 +20,9 @@ def _first(pattern: str, group: int = 0, s: str = "raw_text", flags: str = "") -
     return f"nullif(regexp_extract({s}, '{flags}{pattern}', {group}), '')"
 
 
-@query("str_fix_digits", "documents", f"SELECT doc_id, {_FIX.format(s='substr(text, 1, 200)')} AS fixed FROM documents")
+@query("str_fix_digits", "documents", f"SELECT doc_id, sha256({_FIX.format(s='text')}) AS fixed FROM documents")
 def _(d):
-    return d.select("doc_id", tx.fix_digits(F.substring("text", 1, 200)).alias("fixed"))
+    return d.select("doc_id", F.sha2(tx.fix_digits(C("text")), 256).alias("fixed"))
 
 
 _T = "CASE scan_id % 4 WHEN 0 THEN tracking_id WHEN 1 THEN replace(tracking_id, '0', 'O') WHEN 2 THEN tracking_id || '1' ELSE 'XX' || tracking_id END"

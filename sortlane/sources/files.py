@@ -34,10 +34,21 @@ def image_listing(spark: SparkSession, folder: str, kinds=("png", "jpg", "jpeg",
     return files.select("path", "length", "modificationTime").where(F.lower("path").rlike(r"\.(" + "|".join(kinds) + ")$"))
 
 
-def csv_line(*cells: Column) -> Column:
-    """A CSV line with all cells quoted; embedded quotes are doubled, nulls empty."""
-    quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.concat_ws(",", *map(quote, cells))
+#: Header of the batch export (fixed values).
+BATCH_HEADER = ("File", "Success", "Tracking Number", "Order ID", "Buyer Name", "Weight", "Quantity", "Error")
+
+
+def batch_rows(results: DataFrame, file: Column, error: Column, fields: list[Column]) -> DataFrame:
+    """The eight cells of the batch export: fields are empty where there is an error, and the reverse."""
+    cell = lambda c: F.when(error.isNull(), c.cast("string"))
+    cells = [file, F.when(error.isNull(), "Yes").otherwise("No"), *map(cell, fields), error]
+    return results.select(*(F.coalesce(c.cast("string"), F.lit("")).alias(h) for h, c in zip(BATCH_HEADER, cells, strict=True)))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as it is read back from the Parquet files at ``path``, to which it is written."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

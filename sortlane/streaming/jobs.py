@@ -25,7 +25,11 @@ log = logging.getLogger(__name__)
 
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder below the one that the cluster shares; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sortlane-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="sortlane-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

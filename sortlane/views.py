@@ -72,6 +72,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT * FROM (VALUES ('front_chassis', CAST(-30 AS DOUBLE), CAST(30 AS DOUBLE), CAST(280 AS DOUBLE)), ('rear_chassis_pos', CAST(150 AS DOUBLE), CAST(180 AS DOUBLE), CAST(180 AS DOUBLE)), ('rear_chassis_neg', CAST(-180 AS DOUBLE), CAST(-150 AS DOUBLE), CAST(180 AS DOUBLE))) AS m(name, angle_min, angle_max, min_distance_mm)""",
     ),
+    "robot_masks": (
+        ('events',),
+        """SELECT event_id, user_id AS robot_id, CASE WHEN event_id % 17 = 0 THEN ' ' ELSE 'sector ' || CAST(event_id AS STRING) END AS name, CAST(event_id * 37 % 370 - 180 AS DOUBLE) AS angle_min,
+  CAST(event_id * 37 % 370 - 180 + event_id % 60 - 2 AS DOUBLE) AS angle_max, CAST(event_id * 13 % 520 AS DOUBLE) AS min_distance_mm FROM events WHERE event_type = 'signup'""",
+    ),
     "label_results": (
         ('orders',),
         """SELECT o_orderkey AS id, 'img_' || CAST(o_custkey AS STRING) || '.jpg' AS image_name, CASE WHEN o_orderstatus = 'P' THEN 'Extraction Failed' ELSE 'RTS Code Corrected' END AS status, CAST(o_orderkey % 8 AS STRING) || '/7' AS confidence, CASE WHEN o_orderkey % 9 = 0 THEN CAST(0 AS DOUBLE) ELSE o_totalprice / 100000 END AS processing_time FROM orders""",
