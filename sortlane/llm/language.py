@@ -27,6 +27,8 @@ from .common import staged
 MARK, WORD = "▁", re.compile(r"[^\W\d_]+")
 #: The classifier is fitted on about this many labelled rows at most, chosen by a hash of the key.
 MAX_TRAINING_ROWS = 4000
+#: It knows so many labels at most, those with the most words in these rows.
+MAX_LANGUAGES = 500
 UNKNOWN, SMOOTHING, ITERATIONS, LONG, MEMO, BLOCK = 1e-7, 200.0, 2, 40, 600_000, 4000
 
 
@@ -43,7 +45,9 @@ class Lattice:
         for i in range(self.size):
             p = sp.id_to_piece(i)
             if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and p == p.lower():
-                self.automaton.add_word(p, i << 5 | len(p))
+                if len(p) > 255:
+                    raise ValueError("a piece of more than 255 characters")
+                self.automaton.add_word(p, i << 8 | len(p))
         self.automaton.make_automaton()
 
     def matches(self, words: list[str]) -> tuple[np.ndarray, ...]:
@@ -54,7 +58,7 @@ class Lattice:
         got = np.array(list(self.automaton.iter("\n".join(marked))), np.int64).reshape(-1, 2)
         word = np.searchsorted(ends, got[:, 0], side="right")
         end = got[:, 0] - (ends[word] - lengths[word] - 1) + 1
-        piece, n = got[:, 1] >> 5, got[:, 1] & 31
+        piece, n = got[:, 1] >> 8, got[:, 1] & 255
         w2 = np.repeat(np.arange(len(words)), lengths)
         e2 = np.arange(len(w2)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
         word, end, n = np.concatenate([word, w2]), np.concatenate([end, e2]), np.concatenate([n, np.ones(len(w2), np.int64)])
@@ -98,14 +102,14 @@ class Lattice:
         text = MARK + text
         by_end: dict[int, list[tuple[int, int]]] = {}
         for end, code in self.automaton.iter(text):
-            by_end.setdefault(end + 1, []).append((code >> 5, code & 31))
+            by_end.setdefault(end + 1, []).append((code >> 8, code & 255))
         f, scale = {0: np.ones(theta.shape[1])}, 0.0
         for e in range(1, len(text) + 1):
             x = f[e - 1] * theta[self.size]
             for piece, n in by_end.get(e, ()):
                 x = x + f[e - n] * theta[piece]
             f[e] = x
-            f.pop(e - 32, None)
+            f.pop(e - 256, None)
             if (m := float(x.max())) < 1e-100:
                 scale += math.log(m)
                 f = {k: v / m for k, v in f.items()}
@@ -140,11 +144,18 @@ def letters(text: str | None) -> list[str]:
     return [w for w in WORD.findall(text.lower()) if w.isascii() or any(map(str.isalpha, w))] if text else []
 
 
+def parts(word: str) -> list[str]:
+    """The word itself, or parts of LONG letters of a longer one: training counts those as words."""
+    return [word] if len(word) <= LONG else [word[i : i + LONG] for i in range(0, len(word), LONG)]
+
+
 def train(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAINING_ROWS, iterations: int = ITERATIONS) -> LanguageModel:
     """Fit on rows with text and label; rows with null text or label are skipped.
 
     At most about ``max_rows`` rows are used: those whose key hash is below the
     share that gives this number.  Without such rows the model knows no language.
+    Repeated rows count as often as they stand there, texts are taken whole, other columns
+    are not looked at.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     share = min(1.0, max_rows / max(1, rows.count()))
@@ -155,13 +166,14 @@ def train(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
         seen: dict[str, Counter] = {}
         for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(y, Counter()).update(w for w in letters(x) if len(w) <= LONG)
+                seen.setdefault(y, Counter()).update(part for w in letters(x) for part in parts(w))
         for y, words in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([y] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
     counted = rows.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = staged(counted, "words")
-    languages = sorted(r.lang for r in words.select("lang").distinct().collect())
+    most = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    languages = sorted(r.lang for r in most.collect())
     size = lattice(vocabulary).size
     theta = np.full((size + 1, max(1, len(languages))), 1.0 / size)
     theta[size] = UNKNOWN
@@ -196,7 +208,8 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
     """``key, lang_pred, score`` of each row; ``und`` and 0 without a letter (or text).
 
     ``score`` is the posterior of the predicted language with equal priors; ties go
-    to the first name in alphabetical order.
+    to the first name in alphabetical order.  Null and repeated keys are kept, each row is
+    judged by its whole text, and other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages numbers
 
