@@ -75,8 +75,8 @@ def base_failed() -> F.Column:
 
 
 def rule_failed() -> F.Column:
-    """What counts against a host: the base rules, many symbols, mostly repeated
-    lines, or words of an unusual mean length."""
+    """What counts against a host: the base rules, a symbol in ten words, a repeated line
+    in thirty words, or words of an unusual mean length."""
     n = F.col("n_words")
     return base_failed() | (10 * F.col("n_symbols") > n) | (30 * F.col("n_dup_lines") > n) | (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)
 
@@ -84,16 +84,17 @@ def rule_failed() -> F.Column:
 def host_verdicts(rows: DataFrame, rate: float = HOST_RATE) -> DataFrame:
     """``host, n_docs, n_failed, shrunk, host_ok`` from rows with ``host`` and ``failed``.
 
-    The prior is fitted over hosts with the method of moments; where the rates
-    do not spread (or there are fewer than two hosts), the prior weighs nothing
-    but the mean.  A null host is a host of its own.
+    The prior is fitted over hosts with the method of moments: the spread of their rates,
+    less what sampling alone would spread them by.  Where nothing is left (or there are fewer
+    than two hosts), the prior weighs nothing but the mean.  A null host is a host of its own.
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     r = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.sum("n_failed").alias("f"), F.sum("n_docs").alias("n"), F.count("*").alias("k"), F.sum(r).alias("s1"), F.sum(r * r).alias("s2")).first()
+    prior = hosts.agg(F.sum("n_failed").alias("f"), F.sum("n_docs").alias("n"), F.count("*").alias("k"), F.sum(r).alias("s1"), F.sum(r * r).alias("s2"), F.sum(1 / F.col("n_docs")).alias("inverse")).first()
     mean = prior.f / prior.n if prior.n else 0.0
     centre = prior.s1 / prior.k if prior.k else 0.0
     spread = (prior.s2 - prior.k * centre * centre) / (prior.k - 1) if prior.k and prior.k > 1 else 0.0
+    spread -= mean * (1 - mean) * prior.inverse / prior.k if prior.k else 0.0
     strength = max(mean * (1 - mean) / spread - 1, 0.0) if spread > 1e-12 else 1e9
     shrunk = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
     return hosts.withColumn("shrunk", shrunk).withColumn("host_ok", F.col("shrunk") < rate)

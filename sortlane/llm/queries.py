@@ -114,7 +114,8 @@ figures AS (
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM figures),
 failed AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR 30 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS failed FROM judged),
 hosts AS (SELECT source, count(*) AS n, count_if(failed) AS f FROM failed GROUP BY source),
-prior AS (SELECT sum(f) / sum(n) AS mean, var_samp(f / n) AS spread FROM hosts),
+rates AS (SELECT sum(f) / sum(n) AS mean, var_samp(f / n) AS v, avg(1 / n) AS inverse FROM hosts),
+prior AS (SELECT mean, v - mean * (1 - mean) * inverse AS spread FROM rates),
 strength AS (SELECT mean, CASE WHEN spread > 1e-12 THEN greatest(mean * (1 - mean) / spread - 1, 0) ELSE 1e9 END AS s FROM prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (f + mean * s) / (n + s) < 0.6 AS kept
