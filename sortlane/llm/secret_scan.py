@@ -128,25 +128,25 @@ def masked(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every reported span replaced by ``mask``; all rows and columns stay.
 
     Rows without any candidate pass by without a shuffle.  Overlapping spans
-    become one mask.  Null text stays null.
+    become one mask.  Null text stays null; repeated rows stay, and columns of any name.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     candidate = F.lit(False)
     for k in KINDS:
         candidate = candidate | possible(t, k)
-    hit = staged(with_row_id(docs.where(candidate)), "candidates")
-    spans = scan(hit, "__row", text).where(F.size("spans") > 0).select(F.col("__row"), F.explode("spans").alias("s")).select("__row", "s.start", "s.end")
+    hit = staged(with_row_id(docs.where(candidate).select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"))), "candidates")
+    spans = scan(hit, "__row", "t").where(F.size("spans") > 0).select(F.col("__row"), F.explode("spans").alias("s")).select("__row", "s.start", "s.end")
     w = Window.partitionBy("__row").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     joined = spans.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     blocks = joined.groupBy("__row", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    listed = blocks.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    s = F.col("__spans")
+    listed = blocks.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    s = F.col("spans")
     prior = lambda i: F.coalesce(F.get(s, i - 1)["end"], F.lit(0))
-    kept = F.transform(s, lambda x, i: F.concat(F.substring(F.col(text), (prior(i) + 1).cast("int"), (x["start"] - prior(i)).cast("int")), F.lit(mask)))
-    tail = F.substring(F.col(text), (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(F.col(text)))
-    new = F.when(s.isNull(), F.col(text)).otherwise(F.concat(F.array_join(kept, ""), tail))
-    changed = hit.join(listed, "__row", "left").withColumn(text, new).select(*docs.columns)
+    kept = F.transform(s, lambda x, i: F.concat(F.substring(F.col("t"), (prior(i) + 1).cast("int"), (x["start"] - prior(i)).cast("int")), F.lit(mask)))
+    tail = F.substring(F.col("t"), (F.element_at(s, -1)["end"] + 1).cast("int"), F.length("t"))
+    new = F.when(s.isNull(), F.col("t")).otherwise(F.concat(F.array_join(kept, ""), tail))
+    changed = hit.join(listed, "__row", "left").select(*((new if c == text else F.col("row")[c]).alias(c) for c in docs.columns))
     return docs.where(~candidate).unionByName(changed)
 
 
