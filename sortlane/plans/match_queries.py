@@ -74,7 +74,10 @@ def _best(least: int, extra: str = "") -> str:
     return f"s AS (SELECT t, d.word, d.pos, 200.0 * n / (length(lower(t)) + length(lower(d.word))) AS score FROM x JOIN {_BRGY} ON true JOIN lcs ON a = lower(t) AND b = lower(d.word)), m AS (SELECT t, word FROM s WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, pos) = 1)"
 
 
-@query("join_fuzzy_barangay", "places", f"WITH RECURSIVE x AS (SELECT DISTINCT barangay_text AS t FROM places), p AS (SELECT DISTINCT lower(t) AS a, lower(word) AS b FROM x, {_BRGY}), {_LCS}, {_best(80)} SELECT scan_id, coalesce(word, barangay_text) AS barangay FROM places LEFT JOIN m ON t = barangay_text")
+_BARANGAY = f"WITH RECURSIVE x AS (SELECT DISTINCT barangay_text AS t FROM places), p AS (SELECT DISTINCT lower(t) AS a, lower(word) AS b FROM x, {_BRGY}), {_LCS}, {_best(80)} SELECT scan_id, coalesce(word, barangay_text) AS barangay FROM places LEFT JOIN m ON t = barangay_text"
+
+
+@query("join_fuzzy_barangay", "places", _BARANGAY)
 def _(places):
     found = match.best_ratio(places, "barangay_text", dic.barangays(places.sparkSession))
     return found.select("scan_id", F.coalesce("matched", "barangay_text").alias("barangay"))
@@ -83,7 +86,12 @@ def _(places):
 _D_TEXT = "CASE scan_id % 4 WHEN 0 THEN 'Nort' WHEN 1 THEN 'Souht' WHEN 2 THEN 'Centrai' ELSE 'Subdivison' END"
 
 
-@query("join_fuzzy_district", "places", f"WITH RECURSIVE r AS (SELECT scan_id, CASE WHEN scan_id % 2 = 0 THEN 'Muzon' ELSE 'Tungko' END AS brgy, {_D_TEXT} AS t FROM places), p AS (SELECT DISTINCT lower(t) AS a, lower(district) AS b FROM r, {_DIST}), {_LCS}, s AS (SELECT DISTINCT brgy, t, district, pos, 200.0 * n / (length(a) + length(b)) AS score FROM r JOIN {_DIST} ON barangay = brgy JOIN lcs ON a = lower(t) AND b = lower(district)), m AS (SELECT brgy, t, district FROM s WHERE score >= 80 QUALIFY row_number() OVER (PARTITION BY brgy, t ORDER BY score DESC, pos) = 1) SELECT scan_id, coalesce(district, t) AS district FROM r LEFT JOIN m USING (brgy, t)")
+def _district(source: str) -> str:
+    """The best district of its barangay for rows ``scan_id, brgy, t``."""
+    return f"WITH RECURSIVE r AS ({source}), p AS (SELECT DISTINCT lower(t) AS a, lower(district) AS b FROM r, {_DIST}), {_LCS}, s AS (SELECT DISTINCT brgy, t, district, pos, 200.0 * n / (length(a) + length(b)) AS score FROM r JOIN {_DIST} ON barangay = brgy JOIN lcs ON a = lower(t) AND b = lower(district)), m AS (SELECT brgy, t, district FROM s WHERE score >= 80 QUALIFY row_number() OVER (PARTITION BY brgy, t ORDER BY score DESC, pos) = 1) SELECT scan_id, coalesce(district, t) AS district FROM r LEFT JOIN m USING (brgy, t)"
+
+
+@query("join_fuzzy_district", "places", _district(f"SELECT scan_id, CASE WHEN scan_id % 2 = 0 THEN 'Muzon' ELSE 'Tungko' END AS brgy, {_D_TEXT} AS t FROM places"))
 def _(places):
     rows = places.select("scan_id", F.when(C("scan_id") % 2 == 0, "Muzon").otherwise("Tungko").alias("barangay"), F.expr(_D_TEXT).alias("t"))
     found = match.best_ratio(rows, "t", dic.districts(places.sparkSession).withColumnRenamed("district", "word"), keys=("barangay",))

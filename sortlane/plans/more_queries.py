@@ -13,9 +13,11 @@ from ..sources import files
 from ..sources.generator import labels
 from ..streaming.jobs import work_folder
 from .catalog import query
-from .match_queries import _EXPECT, _VAR, _values
+from .match_queries import _BRGY, _EXPECT, _LCS, _VAR, _values
 
 C = F.col
+#: A quantity of one digit that stands in a barangay's name makes its line score as an address line.
+_STRAY = "CASE WHEN quantity IN (1, 6, 7) THEN 'Quantity: ' || quantity END"
 
 
 @query("src_order_truth", "order_truth", "SELECT tracking_id, order_id, weight, quantity FROM order_truth")
@@ -84,14 +86,17 @@ def _(t):
     return lines.select("line", "n", extract.anchor_of("line").alias("anchor")).where("anchor IS NOT NULL")
 
 
-@query("ext_anchor_fields_job", "label_text", "SELECT scan_id, order_id, 'FEX-BUL-SJDM-MZN' || (scan_id % 4 + 1) || '-GY0' || (scan_id % 4 + 1) AS sort_code, CASE WHEN weight_g BETWEEN 100 AND 7000 THEN CAST(weight_g AS VARCHAR) END AS weight, CASE WHEN quantity IS NOT NULL THEN CAST(quantity AS VARCHAR) END AS quantity FROM scans")
-def _(t):
-    return extract.anchored_fields(t, "scan_id", "raw_text").select("scan_id", "order_id", "sort_code", "weight", "quantity")
+_RIDER_LINE = r"upper(nullif(regexp_extract(regexp_extract(raw_text, 'Rider: [^\n]*'), '(?i)([A-Z]{1,2}[0-9]{1,2})(?:[^A-Za-z0-9_]|$)', 1), ''))"
+
+
+@query("ext_anchor_fields_job", "label_text scans", f"SELECT scan_id, order_id, {_RIDER_LINE} AS rider_id, 'FEX-BUL-SJDM-MZN' || (scan_id % 4 + 1) || '-GY0' || (scan_id % 4 + 1) AS sort_code, CASE WHEN weight_g BETWEEN 100 AND 7000 THEN CAST(weight_g AS VARCHAR) END AS weight, CASE WHEN quantity IS NOT NULL THEN CAST(quantity AS VARCHAR) END AS quantity, CASE WHEN scan_id % 3 = 0 THEN 'Carlos Johnson' ELSE 'Thomas Gonzalez' END AS buyer_name, nullif(concat_ws(', ', buyer_address, {_STRAY}), '') AS buyer_address FROM scans JOIN label_text USING (scan_id)")
+def _(t, _scans):
+    return extract.anchored_fields(t, "scan_id", "raw_text")
 
 
 @query("ext_name_fallback", "label_text", "SELECT scan_id, CASE WHEN scan_id % 3 = 0 THEN 'Carlos Johnson' ELSE 'Thomas Gonzalez' END AS name FROM scans")
 def _(t):
-    return extract.name_lines(t, "scan_id", "raw_text")
+    return extract.name_lines(extract.label_lines(t, "scan_id", "raw_text"), "scan_id")
 
 
 @query("ext_buyer_simple", "label_text", "SELECT scan_id, CASE WHEN scan_id % 3 = 0 THEN 'Carlos Johnson' ELSE 'Thomas Gonzalez' END AS name FROM scans")
@@ -105,23 +110,28 @@ def _(t):
 @query("ext_buyer_info", "scans", "SELECT scan_id, 'Carlos Johnson' AS name, CASE WHEN buyer_address IS NULL THEN NULL ELSE 'Lot ' || scan_id || ', Brgy. Muzon' END AS address FROM scans")
 def _(scans):
     text = F.concat_ws("\n", F.lit("BUYER"), F.lit("Carlos Johnson PDG"), F.when(C("buyer_address").isNotNull(), F.concat(F.lit("Lot "), C("scan_id").cast("string"), F.lit("\nBrgy. Muzon"))), F.lit("COD"), F.lit("Zip Code 3023"), F.lit("ignored"))
-    rows = scans.select("scan_id", text.alias("t")).withColumn("lines", F.filter(extract.lines_of(C("t")), lambda x: x != ""))
-    name, address = extract.buyer_info(C("t"), C("lines"))
-    return rows.select("scan_id", name.alias("name"), address.alias("address"))
+    return extract.buyer_zones(extract.label_lines(scans.select("scan_id", text.alias("t")), "scan_id", "t"), "scan_id")
+
+
+_KNOWN = _values([(w.lower(), 75) for w in dic.barangay_names()] + [(w.lower(), 85) for w in dic.PLACES], "k(w, least)")
 
 
-@query("str_address_score", "places", None)
+def _windows(pairs: str) -> str:
+    """The partial ratio of distinct pairs (x, y): the best window of the shorter text's length."""
+    return f"q AS ({pairs}), o AS (SELECT x, y, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS l FROM q), wd AS (SELECT x, y, s AS a, unnest(list_transform(range(1 - length(s), length(l)), lambda i: substr(l, CAST(greatest(i, 0) AS INT) + 1, CAST(least(i + length(s), length(l)) - greatest(i, 0) AS INT)))) AS b FROM o), p AS (SELECT DISTINCT a, b FROM wd), {_LCS}, part AS (SELECT x, y, max(200.0 * n / (length(a) + length(b))) AS s FROM wd JOIN lcs USING (a, b) GROUP BY x, y)"
+
+
+_TOKENS = r"SELECT scan_id, lower(regexp_replace(unnest(regexp_split_to_array(barangay_text || ' Bulacan 3023', '\s+')), '[^A-Za-z0-9_]', '', 'g')) AS t FROM places"
+
+
+@query("str_address_score", "places", f"WITH RECURSIVE t AS ({_TOKENS}), {_windows(f'SELECT DISTINCT t AS x, w AS y FROM t, {_KNOWN}')}, h AS (SELECT DISTINCT x FROM part JOIN {_KNOWN} ON w = y WHERE s >= least) SELECT scan_id, round(avg(CASE WHEN x IS NULL THEN 0 ELSE 1 END), 6) AS score FROM t LEFT JOIN h ON x = t GROUP BY scan_id")
 def _(places):
     """Share of a line's tokens that come near a barangay (75) or a city or province (85)."""
-    spark = places.sparkSession
-    words = dic.barangays(spark).select(F.lower("word").alias("w"), F.lit(75.0).alias("least")).unionByName(spark.createDataFrame([("san jose del monte", 85.0), ("bulacan", 85.0)], "w string, least double"))
-    lines = places.select("scan_id", F.concat("barangay_text", F.lit(" Bulacan 3023")).alias("line"))
-    tokens = lines.select("scan_id", F.explode(F.split("line", r"\s+")).alias("t")).withColumn("t", F.lower(F.regexp_replace("t", r"[^\w]", "")))
-    hits = tokens.select("t").where("t <> ''").distinct().join(match.small(words), sim.partial_ratio(C("t"), C("w")) >= C("least"), "left_semi").withColumn("hit", F.lit(1.0))
-    return tokens.join(hits, "t", "left").groupBy("scan_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("score"))
+    spark, lines = places.sparkSession, places.select("scan_id", F.concat("barangay_text", F.lit(" Bulacan 3023")).alias("line"))
+    return match.address_score(lines, "scan_id", "line", dic.barangays(spark), dic.places(spark)).withColumn("score", F.round("score", 6))
 
 
-@query("udf_partial_ratio_job", "places", None)
+@query("udf_partial_ratio_job", "places", f"WITH RECURSIVE {_windows(f'SELECT DISTINCT lower(barangay_text) AS x, lower(word) AS y FROM places, {_BRGY}')}, best AS (SELECT x, max(s) AS s FROM part GROUP BY x) SELECT scan_id, round(s, 6) AS s FROM places JOIN best ON x = lower(barangay_text)")
 def _(places):
     """The native form serves; the key keeps the inventory's name."""
     pairs = places.select(F.lower("barangay_text").alias("x")).distinct().join(match.small(dic.barangays(places.sparkSession).select(F.lower("word").alias("y"))), F.lit(True))

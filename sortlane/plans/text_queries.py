@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import extract, match, store
 from ..operators.enrich import enriched
 from ..sources import dictionaries as dic
+from ..sources import files
+from ..streaming.jobs import work_folder
 from .catalog import query
-from .match_queries import _SORT
+from .match_queries import _BARANGAY, _D_TEXT, _EXPECT, _R_TEXT, _RIDERS, _S_TEXT, _SORT, _district
+from .match_queries import _first as _first_code
+from .more_queries import _STRAY
 
 C = F.col
 _FIX = f"translate({{s}}, '{tx.CONFUSED}', '{tx.DIGITS}')"
@@ -92,14 +95,14 @@ def _(t):
     return t.select("scan_id", *(v.alias(k) for k, v in extract.fallbacks(C("raw_text"), given).items()))
 
 
-@query("ext_buyer_block", "label_text", "SELECT scan_id, CASE WHEN scan_id % 3 = 0 THEN 'Carlos Johnson' ELSE 'Thomas Gonzalez' END AS name, buyer_address AS address FROM label_text JOIN scans USING (scan_id)".replace("label_text JOIN scans USING (scan_id)", "scans"))
-def _(t):
-    return extract.with_buyer(t, "raw_text").select("scan_id", C("buyer_name").alias("name"), C("buyer_address").alias("address"))
+@query("ext_buyer_block", "scans label_text", f"SELECT scan_id, CASE WHEN scan_id % 3 = 0 THEN 'Carlos Johnson' ELSE 'Thomas Gonzalez' END AS name, nullif(concat_ws(', ', buyer_address, {_STRAY}), '') AS address FROM scans")
+def _(_scans, t):
+    return extract.buyer_blocks(extract.label_lines(t, "scan_id", "raw_text"), "scan_id").select("scan_id", C("buyer_name").alias("name"), C("buyer_address").alias("address"))
 
 
 @query("ext_ph_address", "label_text", "SELECT scan_id, CASE WHEN buyer_address IS NOT NULL THEN buyer_address END AS address FROM scans")
 def _(t):
-    return t.withColumn("lines", extract.lines_of(C("raw_text"))).select("scan_id", extract.address_of(C("raw_text"), C("lines")).alias("address"))
+    return extract.addresses(t, "scan_id", "raw_text").select("scan_id", C("buyer_address").alias("address"))
 
 
 @query("top_longest_brgy_line", "label_text", "WITH l AS (SELECT scan_id, unnest(string_split(raw_text, chr(10))) AS line FROM label_text) SELECT scan_id, arg_max(line, length(line)) AS line FROM l WHERE contains(lower(line), 'brgy') GROUP BY scan_id")
@@ -157,7 +160,11 @@ _CODE2 = _first(extract.SIMPLE["rts_code_pattern"][0], 1)
 _FOUND = " + ".join(f"CASE WHEN {_first(*extract.SIMPLE[k])} IS NOT NULL THEN 1 ELSE 0 END" for k in ("tracking_number", "ph_number", "order_id"))
 
 
-@query("math_conf7", "label_text", f"WITH r AS (SELECT scan_id, {_FOUND} AS n, upper(coalesce({_CODE}, {_CODE2})) AS t FROM label_text), m AS (SELECT t, word FROM (SELECT DISTINCT t FROM r), {_SORT} WHERE levenshtein(t, word) <= 5 QUALIFY row_number() OVER (PARTITION BY t ORDER BY levenshtein(t, word), pos) = 1) SELECT scan_id, (n + CASE WHEN word IS NULL THEN 0 ELSE 3 END) || '/7' AS confidence, CASE WHEN word IS NULL THEN 'Extraction Failed' ELSE 'RTS Code Corrected, Address Inferred from RTS' END AS status FROM r LEFT JOIN m USING (t)")
+def _points(source: str, columns: str, more: str = "") -> str:
+    return f"WITH r AS (SELECT scan_id, {_FOUND} AS n, upper(coalesce({_CODE}, {_CODE2})) AS t FROM {source}), m AS (SELECT t, word FROM (SELECT DISTINCT t FROM r), {_SORT} WHERE levenshtein(t, word) <= 5 QUALIFY row_number() OVER (PARTITION BY t ORDER BY levenshtein(t, word), pos) = 1) SELECT scan_id, {columns}(n + CASE WHEN word IS NULL THEN 0 ELSE 3 END) || '/7' AS confidence, CASE WHEN word IS NULL THEN 'Extraction Failed' ELSE 'RTS Code Corrected, Address Inferred from RTS' END AS status FROM r LEFT JOIN m USING (t){more}"
+
+
+@query("math_conf7", "label_text", _points("label_text", ""))
 def _(t):
     fields = extract.pattern_fields(C("raw_text"), extract.SIMPLE)
     rows = t.select("scan_id", *(v.alias(k) for k, v in fields.items())).withColumn("t", F.upper(F.coalesce("rts_code_label", "rts_code_pattern")))
@@ -166,7 +173,7 @@ def _(t):
     return rows.select("scan_id", points.alias("confidence"), status.alias("status"))
 
 
-@query("pipe_reconcile_labels", "label_text", None)
+@query("pipe_reconcile_labels", "label_text", _points(f"(SELECT scan_id, {_chain('raw_text')} AS raw_text FROM label_text)", "word AS rts_code, barangay, district, ", f" LEFT JOIN {_EXPECT} ON code = word"))
 def _(t):
     """Typo fixes, extraction, code matching, address and score in one plan."""
     fields = extract.pattern_fields(tx.typos_fixed(C("raw_text"), dic.TYPOS), extract.SIMPLE)
@@ -178,40 +185,67 @@ def _(t):
 
 
 def corrected(rows):
-    """Address cleaned, tracking number, rider and sort code corrected, quantity derived, payment normalised."""
-    spark = rows.sparkSession
-    tracking, ok = tx.validated(C("tracking_id"), tx.TRACKING)
-    rows = rows.withColumns({"buyer_address": tx.clean_address(C("buyer_address")), "tracking_id": F.when(ok, tracking).otherwise(C("tracking_id")), "payment_type": F.when(F.lower("payment_type") == "cop", "COD").otherwise(C("payment_type"))})
-    rows = match.first_ratio(rows, "rider_id", dic.riders(spark)).withColumn("rider_id", F.coalesce("matched", "rider_id")).drop("matched")
-    rows = match.first_ratio(rows, "rts_code", dic.sort_codes(spark)).withColumn("rts_code", F.coalesce("matched", "rts_code")).drop("matched")
+    """Address cleaned, barangay and its district, tracking and phone number, rider and sort code
+    corrected, quantity derived, payment normalised; only of the columns that the rows have."""
+    spark, has = rows.sparkSession, set(rows.columns)
+    fixed = {}
+    for column, pattern in (("tracking_id", tx.TRACKING), ("ph_number", tx.PHONE)):
+        if column in has:
+            value, ok = tx.validated(C(column), pattern)
+            fixed[column] = F.when(ok, value).otherwise(C(column))
+    rows = rows.withColumns(fixed | {"buyer_address": tx.clean_address(C("buyer_address")), "payment_type": F.when(F.lower("payment_type") == "cop", "COD").otherwise(C("payment_type"))})
+    matchers = [(lambda x: match.first_ratio(x, "rider_id", dic.riders(spark)), "rider_id"), (lambda x: match.first_ratio(x, "rts_code", dic.sort_codes(spark)), "rts_code")]
+    if {"barangay", "district"} <= has:
+        matchers += [(lambda x: match.best_ratio(x, "barangay", dic.barangays(spark)), "barangay"), (lambda x: match.best_ratio(x, "district", dic.districts(spark).withColumnRenamed("district", "word"), keys=("barangay",)), "district")]
+    for matched, column in matchers:
+        rows = matched(rows).withColumn(column, F.coalesce("matched", column)).drop("matched")
     return rows.withColumn("quantity", F.coalesce("quantity", F.greatest(F.lit(1), F.floor(C("weight_g") / 500).cast("int"))))
 
 
 def scan_fields(t):
-    """Fields of label text by the label patterns, looser ones for gaps, and the buyer block.
+    """Fields of label text by the label patterns, looser ones for gaps, the buyer block, and what
+    other lines give where that has none.
 
-    Kept on executors (memory, then disk): dictionary matching reads the fields once for
-    the distinct texts and once to join back, and must not extract them again.
+    The fields are written once as a narrow table: matching reads them for the distinct
+    texts and to join back, and must not extract them again.
     """
-    text = C("raw_text")
+    spark, text = t.sparkSession, C("raw_text")
     fields = extract.regex_fields(text)
-    fields = fields | extract.fallbacks(text, fields) | {"buyer_name": C("buyer_name"), "buyer_address": F.coalesce("buyer_address", extract.address_of(text, C("__lines")))}
-    return extract.with_buyer(t, "raw_text").select("scan_id", "confidence", "engine", *(v.alias(k) for k, v in fields.items())).persist(StorageLevel.MEMORY_AND_DISK)
+    loose = extract.fallbacks(text, fields)
+    blocks = extract.buyer_blocks(extract.label_lines(t, "scan_id", "raw_text"), "scan_id").withColumnRenamed("buyer_name", "block_name").withColumnRenamed("buyer_address", "block_address")
+    rows = t.join(blocks, "scan_id", "left")
+    fields = fields | loose | {"buyer_name": C("block_name"), "loose_name": loose["buyer_name"], "buyer_address": F.coalesce("block_address", extract.whole_address(text))}
+    rest = F.when(fields["buyer_name"].isNull() | fields["buyer_address"].isNull(), text)
+    rows = files.written(rows.select("scan_id", "confidence", "engine", *(v.alias(k) for k, v in fields.items()), rest.alias("rest")), work_folder(spark))
+    lines = extract.label_lines(rows.where("rest IS NOT NULL"), "scan_id", "rest")
+    near = extract.near_addresses(lines, "scan_id").withColumnRenamed("buyer_address", "near")
+    rows = rows.join(near, "scan_id", "left").join(extract.name_lines(lines, "scan_id"), "scan_id", "left")
+    return rows.withColumns({"buyer_name": F.coalesce("buyer_name", "name", "loose_name"), "buyer_address": F.coalesce("buyer_address", "near")}).drop("name", "loose_name", "near", "rest")
 
 
-@query("pipe_correct_fields", "label_text", "SELECT scan_id, tracking_id, rider_id, payment AS payment_type, quantity FROM (SELECT scan_id, tracking_id, rider_id, CASE WHEN payment_type = 'cop' THEN 'COD' ELSE payment_type END AS payment, coalesce(quantity, greatest(1, weight_g // 500)) AS quantity FROM scans)")
-def _(t):
-    rows = corrected(scan_fields(t))
-    rider = tx.first_match(C("raw_text"), r"Rider: (\S+)", 1)
-    rows = rows.drop("rider_id").join(match.first_ratio(t.select("scan_id", rider.alias("r")), "r", dic.riders(t.sparkSession)).select("scan_id", C("matched").alias("rider_id")), "scan_id")
-    return rows.select("scan_id", "tracking_id", "rider_id", "payment_type", "quantity")
+_PH = "CASE WHEN scan_id % 3 = 0 THEN 'FE ' || lpad(CAST(scan_id AS STRING), 12, 'O') WHEN scan_id % 3 = 1 THEN 'FE ' || lpad(CAST(scan_id AS STRING), 12, '0') ELSE 'none' END"
+_NOISY = f"SELECT s.scan_id, {_T} AS tracking_id, {_PH} AS ph_number, {_R_TEXT} AS rider_id, {_S_TEXT} AS rts_code, barangay_text AS barangay, {_D_TEXT} AS district, '##' || buyer_address AS buyer_address, payment_type, weight_g, quantity FROM scans s JOIN places p ON p.scan_id = s.scan_id".replace("scan_id %", "s.scan_id %").replace("CAST(scan_id", "CAST(s.scan_id")
+_FIXED = lambda t, p: f"CASE WHEN NOT regexp_full_match({t}, '{p}') AND regexp_full_match({_FIX.format(s=t)}, '{p}') THEN {_FIX.format(s=t)} ELSE {t} END"
+
+
+@query("pipe_correct_fields", "scans places", f"SELECT n.scan_id, {_FIXED('n.tracking_id', 'FE[0-9]{10}')} AS tracking_id, {_FIXED('n.ph_number', 'FE [0-9]{12}')} AS ph_number, r.code AS rider_id, c.code AS rts_code, b.barangay, d.district, substr(n.buyer_address, 3) AS buyer_address, CASE WHEN payment_type = 'cop' THEN 'COD' ELSE payment_type END AS payment_type, coalesce(quantity, greatest(1, weight_g // 500)) AS quantity FROM ({_NOISY}) n JOIN ({_first_code(_RIDERS, f'SELECT scan_id, {_R_TEXT} AS t FROM scans')}) r USING (scan_id) JOIN ({_first_code(_SORT, f'SELECT scan_id, {_S_TEXT} AS t FROM scans')}) c USING (scan_id) JOIN ({_BARANGAY}) b USING (scan_id) JOIN ({_district(f'SELECT scan_id, barangay AS brgy, {_D_TEXT} AS t FROM ({_BARANGAY})')}) d USING (scan_id)")
+def _(scans, places):
+    """Every field with an error of its kind, corrected."""
+    rows = scans.join(places, "scan_id").select(
+        "scan_id", F.expr(_T).alias("tracking_id"), F.expr(_PH).alias("ph_number"), F.expr(_R_TEXT).alias("rider_id"), F.expr(_S_TEXT).alias("rts_code"), C("barangay_text").alias("barangay"),
+        F.expr(_D_TEXT).alias("district"), F.concat(F.lit("##"), "buyer_address").alias("buyer_address"), "payment_type", "weight_g", "quantity",
+    )
+    return corrected(rows).drop("weight_g")
+
+
+_RIDER = _first_code(_RIDERS, f"SELECT scan_id, coalesce({_first(extract.PATTERNS['rider_id'][0], 1, flags='(?i)')}, upper({_first('(?:Rider:|ID:)[ ]*([A-Z]{1,2}[0-9]{1,2})', 1, flags='(?i)')})) AS t FROM label_text")
 
 
-@query("pipe_scan_record", "label_text order_truth", "SELECT s.scan_id, s.tracking_id, s.order_id, coalesce(o.address, s.buyer_address) AS buyer_address, coalesce(TRY_CAST(replace(o.weight, 'g', '') AS INT), s.weight_g) AS weight_g, coalesce(TRY_CAST(o.quantity AS INT), s.quantity, greatest(1, s.weight_g // 500)) AS quantity, CASE WHEN o.tracking_id IS NOT NULL THEN false WHEN s.confidence < 0.7 THEN true ELSE s.buyer_address IS NULL END AS needs_review FROM scans s LEFT JOIN order_truth o USING (tracking_id)")
+@query("pipe_scan_record", "label_text order_truth", f"SELECT s.scan_id, s.tracking_id, s.order_id, 'FEX-BUL-SJDM-MZN' || (s.scan_id % 4 + 1) || '-GY0' || (s.scan_id % 4 + 1) AS rts_code, coalesce(r.code, o.rider) AS rider_id, CASE WHEN s.scan_id % 3 = 0 THEN 'Carlos Johnson' ELSE 'Thomas Gonzalez' END AS buyer_name, coalesce(o.address, s.buyer_address, {_STRAY.replace('quantity IN', 's.quantity IN').replace('|| quantity', '|| s.quantity')}) AS buyer_address, coalesce(TRY_CAST(replace(o.weight, 'g', '') AS INT), s.weight_g) AS weight_g, coalesce(TRY_CAST(o.quantity AS INT), s.quantity, greatest(1, s.weight_g // 500)) AS quantity, CASE WHEN s.payment_type = 'cop' THEN 'COD' ELSE s.payment_type END AS payment_type, s.confidence, CASE WHEN o.tracking_id IS NOT NULL THEN false WHEN s.confidence < 0.7 THEN true ELSE coalesce(s.buyer_address, {_STRAY.replace('quantity IN', 's.quantity IN').replace('|| quantity', '|| s.quantity')}) IS NULL END AS needs_review FROM scans s LEFT JOIN order_truth o USING (tracking_id) JOIN ({_RIDER}) r USING (scan_id)")
 def _(t, orders):
     """Label text to reviewed record: fields, corrections, order enrichment, review flag."""
     rows = corrected(scan_fields(t))
-    scored = match.name_score(rows.where("buyer_name IS NOT NULL"), "scan_id", "buyer_name", dic.names(t.sparkSession))
-    rows = rows.join(scored, "scan_id", "left")
+    names = rows.select("buyer_name").where("buyer_name IS NOT NULL").distinct()
+    rows = rows.join(match.name_score(names, "buyer_name", "buyer_name", dic.names(t.sparkSession)), "buyer_name", "left")
     done = enriched(rows, orders, keep_name=C("score") >= 0.8)
-    return done.withColumn("needs_review", store.needs_review(C("order_found"))).select("scan_id", "tracking_id", "order_id", "buyer_address", "weight_g", "quantity", "needs_review")
+    return done.withColumn("needs_review", store.needs_review(C("order_found"))).select("scan_id", "tracking_id", "order_id", "rts_code", "rider_id", "buyer_name", "buyer_address", "weight_g", "quantity", "payment_type", "confidence", "needs_review")

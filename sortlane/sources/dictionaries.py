@@ -89,6 +89,10 @@ def names(spark: SparkSession) -> DataFrame:
     return words(spark, FIRST_NAMES).unionByName(words(spark, LAST_NAMES))
 
 
+def places(spark: SparkSession) -> DataFrame:
+    return words(spark, PLACES)
+
+
 def variations(spark: SparkSession, items: dict[str, str] = BARANGAY_VARIATIONS) -> DataFrame:
     return spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate(items.items())], "pos int, variation string, canonical string")
 

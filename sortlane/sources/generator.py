@@ -21,7 +21,7 @@ def labels(keys: DataFrame, key: str) -> DataFrame:
     k = F.col(key)
     digits = lambda salt, n: F.lpad(draw(k, salt, 10**n).cast("string"), n, "0")
     letters = F.concat(*(F.substring(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (draw(k, f"o{i}", 36) + 1).cast("int"), F.lit(1)) for i in range(6)))
-    weight = (100 + draw(k, "weight", 7000)).cast("int")
+    weight = (100 + draw(k, "weight", 6901)).cast("int")
     rows = district_rows()
     place = draw(k, "place", len(rows)) + 1
     of = lambda i: F.element_at(F.array(*(F.lit(r[i]) for r in rows)), place.cast("int"))

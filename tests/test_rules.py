@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sortlane.functions import similarity as sim
 from sortlane.functions import text as tx
-from sortlane.operators import lidar, match
+from sortlane.operators import extract, lidar, match, store
 from sortlane.sources import dictionaries as dic
 from sortlane.sources.files import read_orders
 
@@ -82,3 +82,88 @@ def test_mask(spark):
 def test_orders(spark, tmp_path):
     (tmp_path / "o.json").write_text('{"a.jpg": {"tracking_id": "FE1", "weight": "5g"}, "b.jpg": {"weight": "1g"}, "c.jpg": {"tracking_id": "FE1", "weight": "7g"}}')
     assert [(r.tracking_id, r.weight, r.image) for r in read_orders(spark, str(tmp_path / "o.json")).collect()] == [("FE1", "7g", "c.jpg")]
+
+
+def test_masks_of_many_sectors(spark):
+    points = spark.createDataFrame([(1, 0.0, 200.0)], "point_id int, angle double, distance double")
+    mask = spark.createDataFrame([(f"s{i}", float(i), float(i + 1), 280.0) for i in range(11)], "name string, angle_min double, angle_max double, min_distance_mm double")
+    with pytest.raises(ValueError):
+        lidar.body_masked(points, mask)
+    both = mask.withColumn("robot", F.lit(1)).unionByName(mask.limit(10).withColumn("robot", F.lit(2))).unionByName(spark.createDataFrame([("", 0.0, 1.0, 1.0, 3)], "name string, angle_min double, angle_max double, min_distance_mm double, robot int"))
+    assert {r.robot: r.mask_valid for r in lidar.checked_masks(both, "robot").collect()} == {1: False, 2: True, 3: False}
+
+
+LABEL = """FLASH EXPRESS
+Buyer
+COD
+Carlos Johnson
+zzz www
+Muzon North
+nothing here
+Brgy. Tungko
+Zip Code 3023
+Brgy. Behind"""
+
+
+def test_buyer_blocks(spark):
+    rows = spark.createDataFrame([(1, LABEL), (2, "Buyer\n12\nDistrict Name\nab"), (3, None), (4, "no buyer\nCarlos Johnson"), (5, "x\nBUYER\nAl Bo")], "k int, t string")
+    got = {r.k: (r.buyer_name, r.buyer_address) for r in extract.buyer_blocks(extract.label_lines(rows, "k", "t"), "k").collect()}
+    assert got == {1: ("Carlos Johnson", "Muzon North, Brgy. Tungko"), 5: ("Al Bo", None)}
+
+
+def test_name_lines_need_known_names(spark):
+    rows = spark.createDataFrame([(1, "x\nQwerty Zxcvbn is here\nshort\nMaria Santos lives here"), (2, "Qwerty Zxcvbn is here"), (3, "")], "k int, t string")
+    assert {r.k: r.name for r in extract.name_lines(extract.label_lines(rows, "k", "t"), "k").collect()} == {1: "Maria Santos"}
+
+
+def test_addresses(spark):
+    texts = [(1, "12 Mabini St, Brgy. Muzon, San Jose del Monte, Bulacan 3023"), (2, "Carlos Johnson\nLot 5\nbrgy Tungko\nSJDM 3024\nFE123\nPDG"), (3, "brgy only\nno code"), (4, None)]
+    got = {r.k: r.buyer_address for r in extract.addresses(spark.createDataFrame(texts, "k int, t string"), "k", "t").collect()}
+    assert got == {1: texts[0][1], 2: "Lot 5, brgy Tungko, SJDM 3024", 3: None, 4: None}
+
+
+def test_anchors_equal_brute_force(spark):
+    def partial(a, b):
+        short, long = sorted((a, b), key=len)
+        m = len(short)
+        windows = [long[max(i, 0) : i + m] for i in range(1 - m, len(long))]
+        return max(200 * lcs(short, w) / (m + len(w)) for w in windows)
+
+    def brute(line):
+        clean = "".join(c for c in line if c.isalnum() or c in "_ ").lower().strip()
+        for name, texts in extract.ANCHORS.items():
+            if 3 <= len(clean) <= 6 * min(map(len, texts)) and any(partial(clean, t) >= 80 for t in texts):
+                return name
+        return None
+
+    random.seed(4)
+    lines = ["Order ID: FE1", "0rder lD", "Rider: GY01", "RTS Sort Code:", "s0rt c0de", "Buyer", "8uyer", "Weight: 5g", "Quantlty", "COD", "x", "", "Brgy. Muzon"]
+    lines += ["".join(random.choice("ordebuyiwtgqs :") for _ in range(random.randint(1, 30))) for _ in range(200)]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", extract.anchor_of("line").alias("a")).collect()
+    assert {r.line: r.a for r in got} == {x: brute(x) for x in lines}
+
+
+def test_generated_labels(spark):
+    from sortlane.sources.generator import labels
+
+    rows = labels(spark.range(500).withColumnRenamed("id", "k"), "k").collect()
+    assert len(rows) == 500 and len({r.tracking_id for r in rows}) == 500
+    assert all(100 <= r.weight_g <= 7000 and r.quantity == max(1, r.weight_g // 500) for r in rows)
+
+
+def test_latency_report_equals_sorted_values(spark):
+    random.seed(9)
+    values = {g: [random.choice([5.0, 7.5, random.random() * 400]) for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 101), ("d", 40))}
+    got = {r.g: r for r in store.latency_report(spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("e", None)], "g string, v double"), "g", "v").collect()}
+    for g, vs in values.items():
+        vs, n = sorted(vs), len(vs)
+        assert got[g].n == n and got[g].p95 == vs[int(n * 0.95)] and got[g].median == pytest.approx((vs[(n - 1) // 2] + vs[n // 2]) / 2, abs=1e-6)
+
+
+def test_appends_keep_rejects_apart(spark, tmp_path):
+    path, new = f"{tmp_path}/t", spark.createDataFrame([(1, 0.5), (2, 7.0), (3, 0.1), (3, 0.2)], "id long, confidence double")
+    new = new.withColumns({c: F.lit(1) for c in ("weight_g", "quantity", "processing_time_ms")})
+    new.where("id = 1").write.parquet(path)
+    rejected = store.append(new, path, f"{tmp_path}/log", "id")
+    assert sorted((r.id, r.reason) for r in rejected.collect()) == [(1, "duplicate"), (2, "check"), (3, "duplicate in batch")]
+    assert sorted((r.id, r.confidence) for r in spark.read.parquet(path).collect()) == [(1, 0.5), (3, 0.1)]
