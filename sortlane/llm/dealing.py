@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text for each range of the hash space.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
 LOW = np.uint64(32)
 
 
-def ranges_for(docs: DataFrame, text: str = "text") -> int:
-    """Number of ranges for a corpus."""
+def ranges_for(docs: DataFrame, text: str = "text", size: int | None = None) -> int:
+    """Number of ranges (of ``size`` bytes of text each) for a corpus."""
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, -(-n_bytes // RANGE_BYTES))
+    return max(1, -(-n_bytes // (size or RANGE_BYTES)))
 
 
 def placed(h: np.ndarray, ranges: int) -> np.ndarray:
