@@ -2,110 +2,157 @@
 
 The network predicts every word from the two words on either side: the
 embeddings of the four neighbours, one hidden layer, and a two-step softmax (group of the
-word, then the word in its group).  Words are hashed into a vocabulary of fixed
-size.  It is trained in numpy, data-parallel: each task improves the shared
-weights on its part of the corpus, Spark averages the weights by block, and the
-next round begins with the average.  A document's score is the sum of the
+word, then the word in its group).  The vocabulary is the corpus' most frequent words,
+counted over all documents; rarer words fall into classes by their length.  It is trained
+in numpy, data-parallel: documents are dealt into shards by a hash of key and text, a
+shard is small whatever the corpus, each improves the start weights on its documents, and
+Spark averages the weights by block.  A document's score is the sum of the
 conditional log-probabilities of all its words.
+
+Neither shards nor the order within depend on how the input is partitioned.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
-from .common import WORD_PATTERN, Memo
+from .common import dropped, no_cycle_collection, staged
+from .dealing import ranges_for
 
-_WORD = re.compile(WORD_PATTERN)
-GROUPS, SIDE, DIMS, SALTS = 64, 2, 16, 64
+GROUPS, SIDE, DIMS, TAIL = 64, 2, 16, 64
 WORDS = GROUPS * GROUPS
+KNOWN = WORDS - TAIL
 EDGE = WORDS  # the id of places outside the text
-#: Training: rounds of averaging, rate, words a step.
-ROUNDS, RATE, STEP = 2, 0.3, 4096
-SHAPES = {"embed": (WORDS + 1, 2 * SIDE, DIMS), "hidden": (DIMS, DIMS), "group": (GROUPS, DIMS), "word": (WORDS, DIMS), "bias": (WORDS + GROUPS,)}
+#: Training: rounds of averaging, rate, words a step, shards summed at once, weights a block.
+ROUNDS, RATE, STEP, FAN, BLOCK = 1, 0.03, 4096, 64, 1 << 14
+SHAPES = {"embed": (2 * SIDE, WORDS + 1, DIMS), "hidden": (DIMS, DIMS), "group": (GROUPS, DIMS), "word": (WORDS, DIMS), "bias": (WORDS + GROUPS,)}
+#: Bytes of text of a shard.
+SHARD_BYTES = 16 << 20
+#: Logits stay below this, so that sums of exponentials are finite.
+MOST_LOGIT = np.float32(60)
+#: No weight moves further in one step.
+MOST_STEP = np.float32(0.25)
+
+
+class Vocabulary(dict):
+    """Ids of known words; any other word (in UTF-8) gets the class of its length."""
+
+    def __missing__(self, word: bytes) -> int:
+        return KNOWN + min(len(word), TAIL) - 1
 
 
-def start(seed: int = 0) -> dict[str, np.ndarray]:
+@dataclass
+class Model:
+    vocabulary: Vocabulary = field(default_factory=Vocabulary)
+    weights: dict[str, np.ndarray] = field(default_factory=lambda: start())
+
+
+def start(counts: np.ndarray | None = None, seed: int = 0) -> dict[str, np.ndarray]:
+    """Start weights; the biases give each word its share of ``counts`` (equal shares without)."""
     rng = np.random.default_rng(seed)
     w = {k: (rng.normal(size=s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
     w["hidden"] += np.eye(DIMS, dtype=np.float32)
-    w["bias"][:] = 0
+    n = (np.zeros(WORDS) if counts is None else counts).reshape(GROUPS, GROUPS) + 0.5
+    w["bias"][:WORDS], w["bias"][WORDS:] = np.log(n / n.sum(1, keepdims=True)).ravel(), np.log(n.sum(1) / n.sum())
     return w
 
 
-def word_ids(text: str | None, memo: Memo) -> np.ndarray:
-    words = _WORD.findall(text.lower()) if text else []
-    got = list(map(memo.young.get, words))
-    if None in got:
-        for i, x in enumerate(got):
-            if x is None:
-                if (x := memo.get(words[i])) is None:
-                    memo.put(words[i], x := zlib.crc32(words[i].encode("utf-8", "replace")) % WORDS)
-                got[i] = x
-    return np.array(got, np.int64)
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8, A to Z in lower case, cut at ASCII white space."""
+    return text.lower().split() if text else []
+
 
+def contexts(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, and those of the neighbours of each: two before, two behind."""
+    gap = np.full(SIDE, EDGE, np.int64)
+    padded = np.concatenate([gap, *(y for x in each for y in (x, gap))])
+    at = np.flatnonzero(padded != EDGE)
+    return padded[at], np.stack([padded[at + d] for d in range(-SIDE, SIDE + 1) if d])
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """Ids of the neighbours of each word: two before, two behind."""
-    padded = np.concatenate([[EDGE] * SIDE, ids, [EDGE] * SIDE])
-    return np.stack([padded[i : i + len(ids)] for i in range(2 * SIDE + 1) if i != SIDE], 1)
+
+def ids_of(texts: list[bytes | None], vocabulary: Vocabulary) -> list[np.ndarray]:
+    with no_cycle_collection():
+        return [np.fromiter(map(vocabulary.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
+
+
+def _exp(logits: np.ndarray) -> np.ndarray:
+    np.minimum(logits, MOST_LOGIT, out=logits)
+    return np.exp(logits, out=logits)
+
+
+def _by_group(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by group, and where each group begins in it."""
+    group = ids // GROUPS
+    order = np.argsort(group, kind="stable")
+    return order, np.searchsorted(group[order], np.arange(GROUPS + 1))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _hidden(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pre = w["embed"][0][around[0]]
+    for i in range(1, 2 * SIDE):
+        pre += w["embed"][i][around[i]]
+    return pre, np.tanh(pre @ w["hidden"])
 
 
 def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log-probability of each word given its neighbours."""
-    h = np.tanh(sum(w["embed"][around[:, i], i] for i in range(2 * SIDE)) @ w["hidden"])
-    group, inner = ids // GROUPS, ids % GROUPS
-    out = _log_softmax(h @ w["group"].T + w["bias"][WORDS:])[np.arange(len(ids)), group]
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    order, bounds = _by_group(ids)
+    ids, rows = ids[order], np.arange(len(ids))
+    _, h = _hidden(w, around[:, order])
+    p = _exp(h @ w["group"].T + w["bias"][WORDS:])
+    out = np.log(p[rows, ids // GROUPS] / p.sum(1))
     for g in range(GROUPS):
-        at = order[bounds[g] : bounds[g + 1]]
-        if len(at):
+        at = slice(bounds[g], bounds[g + 1])
+        if bounds[g] < bounds[g + 1]:
             own = slice(g * GROUPS, (g + 1) * GROUPS)
-            out[at] += _log_softmax(h[at] @ w["word"][own].T + w["bias"][own])[np.arange(len(at)), inner[at]]
-    return out
+            p = _exp(h[at] @ w["word"][own].T + w["bias"][own])
+            out[at] += np.log(p[rows[: len(p)], ids[at] - g * GROUPS] / p.sum(1))
+    back = np.empty(len(ids), np.float64)
+    back[order] = out
+    return back
+
+
+def gradients(w: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray) -> Iterator[tuple[str, object, np.ndarray]]:
+    """The gradient of the negative sum of log-probabilities: name, place in the weights, values."""
+    order, bounds = _by_group(ids)
+    ids, around, rows = ids[order], around[:, order], np.arange(len(ids))
+    pre, h = _hidden(w, around)
+    p = _exp(h @ w["group"].T + w["bias"][WORDS:])
+    p /= p.sum(1, keepdims=True)
+    p[rows, ids // GROUPS] -= 1
+    back = p @ w["group"]
+    found = [("group", slice(None), p.T @ h), ("bias", slice(WORDS, None), p.sum(0))]
+    for g in range(GROUPS):
+        at, own = slice(bounds[g], bounds[g + 1]), slice(g * GROUPS, (g + 1) * GROUPS)
+        if bounds[g] < bounds[g + 1]:
+            p = _exp(h[at] @ w["word"][own].T + w["bias"][own])
+            p /= p.sum(1, keepdims=True)
+            p[rows[: len(p)], ids[at] - g * GROUPS] -= 1
+            back[at] += p @ w["word"][own]
+            found += [("word", own, p.T @ h[at]), ("bias", own, p.sum(0))]
+    back *= 1 - h * h
+    inward = back @ w["hidden"].T
+    found.append(("hidden", slice(None), pre.T @ back))
+    for i in range(2 * SIDE):  # sums by word
+        by_word = np.argsort(around[i], kind="stable")
+        sorted_ids = around[i][by_word]
+        first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+        found.append(("embed", (i, sorted_ids[first]), np.add.reduceat(inward[by_word], first, axis=0)))
+    yield from found
 
 
 def improve(w: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, rate: float = RATE) -> None:
     """One step of gradient descent on a batch."""
-    pre = sum(w["embed"][around[:, i], i] for i in range(2 * SIDE))
-    h = np.tanh(pre @ w["hidden"])
-    group, inner, rows = ids // GROUPS, ids % GROUPS, np.arange(len(ids))
-    p = np.exp(_log_softmax(h @ w["group"].T + w["bias"][WORDS:]))
-    p[rows, group] -= 1
-    back = p @ w["group"]
-    steps = [("group", slice(None), p.T @ h), ("bias", slice(WORDS, None), p.sum(0))]
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in np.unique(group):
-        at, own = order[bounds[g] : bounds[g + 1]], slice(g * GROUPS, (g + 1) * GROUPS)
-        p = np.exp(_log_softmax(h[at] @ w["word"][own].T + w["bias"][own]))
-        p[np.arange(len(at)), inner[at]] -= 1
-        back[at] += p @ w["word"][own]
-        steps += [("word", own, p.T @ h[at]), ("bias", own, p.sum(0))]
-    back *= 1 - h * h
-    inward = back @ w["hidden"].T
-    scale = rate / np.sqrt(len(ids))
-    for name, own, gradient in steps:
-        w[name][own] -= scale * gradient
-    w["hidden"] -= scale * (pre.T @ back)
-    inward *= scale
-    for i in range(2 * SIDE):
-        used, at = np.unique(around[:, i], return_inverse=True)
-        for d in range(DIMS):  # sums by word; faster than adding row by row
-            w["embed"][used, i, d] -= np.bincount(at, inward[:, d], len(used))
+    scale = np.float32(rate / np.sqrt(len(ids)))
+    for name, at, values in gradients(w, ids, around):
+        w[name][at] -= np.clip(scale * values, -MOST_STEP, MOST_STEP)
 
 
 def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -121,65 +168,107 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, one_in: int = 1) -> dict[str, np.ndarray]:
-    """Weights trained on every row with text, or on the rows whose key hash is 0 modulo
-    ``one_in`` if that is over 1; every task that saw words sends its weights, weighed by their number.
-
-    Null text is skipped; without words the start weights come back.
+def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
+    """The KNOWN most frequent words of all rows (ties by the word), and how often each id
+    occurs; the driver gets no more than those numbers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for x in b.column(0).cast(pa.binary()).to_pylist():
+                seen.update(words_of(x))
+            if len(seen) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                seen = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    found = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = staged(found, "word-counts")
+    top = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    lengths = counted.groupBy(F.least(F.length("word"), F.lit(TAIL)).alias("size")).agg(F.sum("n").alias("n")).collect()
+    dropped(docs.sparkSession, counted)
+    counts = np.zeros(WORDS)
+    for r in lengths:
+        counts[KNOWN + r["size"] - 1] += r.n
+    for i, r in enumerate(top):
+        counts[i] = r.n
+        counts[KNOWN + min(len(r.word), TAIL) - 1] -= r.n
+    return Vocabulary({bytes(r.word): i for i, r in enumerate(top)}), counts
+
+
+def _learner(shared, known):
+    """What a shard does: improve the shared weights on its documents; one row a block of weights."""
+
+    def learn(group: pa.Table) -> pa.Table:
+        own, seen, rng = _shaped(shared.value.copy()), 0, np.random.default_rng(0)
+        texts = group.sort_by([("o", "ascending"), ("text", "ascending")]).column("text").cast(pa.large_binary())
+        for lo in range(0, len(texts), 128):
+            ids, around = contexts(ids_of(texts.slice(lo, 128).to_pylist(), known.value))
+            order = rng.permutation(len(ids))
+            for i in range(0, len(ids), STEP):
+                at = order[i : i + STEP]
+                improve(own, ids[at], around[:, at])
+            seen += len(ids)
+        flat = _flat(own)
+        parts = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)] if seen else []
+        n, shard = len(parts), group.column("shard")[0].as_py() if group.num_rows else 0
+        return pa.Table.from_arrays([pa.array(range(n), pa.int32()), pa.array([shard] * n, pa.int64()), pa.array([float(seen)] * n, pa.float64()), pa.array(parts, pa.binary())], ["block", "shard", "n", "w"])
+
+    return learn
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """The mean of a block's weights over some shards, weighed by their words."""
+    group = group.sort_by("shard")
+    n = group.column("n").to_numpy()
+    mean = sum(np.frombuffer(x.as_py(), np.float32) * (k / n.sum()) for x, k in zip(group.column("w"), n.tolist(), strict=True))
+    return pa.Table.from_arrays([group.column("block")[:1], group.column("up")[:1], pa.array([float(n.sum())]), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["block", "shard", "n", "w"])
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> Model:
+    """A model trained on every word of every row with text.
+
+    Null text is skipped, repeated rows count as often as they stand there, texts are taken
+    whole, other columns are not looked at; without words the start weights come back.
     """
-    rows = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(one_in)) == 0)).select(text)
-    w, context = start(), docs.sparkSession.sparkContext
-    block = 1 << 14
+    words, context = docs.where(F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("o"), F.col(text).alias("text")), docs.sparkSession.sparkContext
+    shards = ranges_for(words, size=SHARD_BYTES)
+    vocabulary, counts = count_words(words)
+    model = Model(vocabulary, start(counts))
+    known = context.broadcast(model.vocabulary)  # KNOWN words
+    dealt = words.withColumn("shard", F.pmod(F.xxhash64("o"), F.lit(shards)))
     for _ in range(rounds):
-        shared = context.broadcast(_flat(w))  # fixed size
-
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, memo, seen = _shaped(shared.value.copy()), Memo(200_000), 0
-            for b in batches:
-                for lo in range(0, b.num_rows, 64):
-                    ids = [x for t in b.slice(lo, 64).column(0).to_pylist() if len(x := word_ids(t, memo))]
-                    if not ids:
-                        continue
-                    around, ids = np.concatenate(list(map(contexts, ids))), np.concatenate(ids)
-                    order = np.random.default_rng(seen).permutation(len(ids))
-                    for i in range(0, len(ids), STEP):
-                        improve(own, ids[order[i : i + STEP]], around[order[i : i + STEP]])
-                    seen += len(ids)
-            if seen:
-                flat, salt = _flat(own).astype(np.float64) * seen, TaskContext.get().partitionId() % SALTS
-                parts = [flat[i : i + block].tobytes() for i in range(0, len(flat), block)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], ["block", "salt", "n", "w"])
-
-        def add(pdf):
-            return pdf.iloc[:1].assign(n=pdf["n"].sum(), w=[sum(np.frombuffer(x) for x in pdf["w"]).tobytes()])
-
-        schema = "block int, salt int, n double, w binary"
-        sums = rows.mapInArrow(learn, schema).groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+        shared = context.broadcast(_flat(model.weights))  # fixed size
+        schema, left = "block int, shard long, n double, w binary", shards
+        sums = dealt.groupBy("shard").applyInArrow(_learner(shared, known), schema)
+        while left > 1:
+            sums, left = sums.withColumn("up", F.floor(F.col("shard") / FAN)).groupBy("block", "up").applyInArrow(_added, schema), -(-left // FAN)
         got = sorted(sums.collect(), key=lambda r: r.block)  # as many numbers as weights
         if not got:
             break
-        w = _shaped(np.concatenate([np.frombuffer(bytes(r.w)) / r.n for r in got]))
-    return w
+        model.weights = _shaped(np.concatenate([np.frombuffer(bytes(r.w), np.float32) for r in got]))
+    return model
 
 
-def score(docs: DataFrame, weights: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_words, log_prob`` (sum over all words) and ``mean_log_prob`` of every row.
 
-    Null text and text without words have 0 words, sum 0 and a null mean.
+    Null text and text without words have 0 words, sum 0 and a null mean; repeated rows get
+    the same score; texts are taken whole, other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_flat(weights))  # fixed size
+    context = docs.sparkSession.sparkContext
+    shared, known = context.broadcast(_flat(model.weights)), context.broadcast(model.vocabulary)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, memo = _shaped(shared.value), Memo(200_000)
+        w = _shaped(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 b = batch.slice(lo, 64)
-                each = [word_ids(t, memo) for t in b.column(1).to_pylist()]
+                each = ids_of(b.column(1).cast(pa.binary()).to_pylist(), known.value)
                 n = np.array(list(map(len, each)))
-                ids = np.concatenate(each)
-                around = np.concatenate([contexts(x) for x in each]).astype(np.int64)
-                p = np.concatenate([log_probabilities(w, ids[i : i + 20_000], around[i : i + 20_000]) for i in range(0, len(ids), 20_000)] or [np.zeros(0)])
-                total = np.bincount(np.repeat(np.arange(len(n)), n), p, len(n))
+                ids, around = contexts(each)
+                p = np.concatenate([log_probabilities(w, ids[i : i + 20_000], around[:, i : i + 20_000]) for i in range(0, len(ids), 20_000)] or [np.zeros(0)])
+                total = np.bincount(np.repeat(np.arange(len(n)), n), p, len(n)).astype(np.float64)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total), mean], ["key", "n_words", "log_prob", "mean_log_prob"])
 
