@@ -24,7 +24,7 @@ def docs(spark):
 
 def slow_score(model, text):
     """Sum of log-probabilities, word by word, from the definition."""
-    ids, w = [model.vocabulary[x] for x in m.words_of((text or "").encode())], {k: v.astype(float) for k, v in model.weights.items()}
+    ids, w = [model.vocabulary.get(x, m.KNOWN + min(len(x), m.TAIL) - 1) for x in m.words_of((text or "").encode())], {k: v.astype(float) for k, v in model.weights.items()}
     total = 0.0
     for i, word in enumerate(ids):
         near = [ids[i + d] if 0 <= i + d < len(ids) else m.EDGE for d in (-2, -1, 1, 2)]

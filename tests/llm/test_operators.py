@@ -284,30 +284,3 @@ def test_embeddings_of_several_lengths(spark, monkeypatch):
     for block in (512, 32):  # 32: the second length gets a search of its own
         monkeypatch.setattr(embeddings, "BLOCK", block)
         assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near(df).collect()} == {i: (true[i], want[i]) for i in want}
-
-
-def test_pipeline_near_copies_equal_brute_force(spark):
-    import corpus_pipeline
-
-    rng = random.Random(8)
-    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for k in range(6)]
-    rows += [(10, rows[0][1] + "".join(f" e{i}" for i in range(22))), (11, rows[1][1] + "".join(f" f{i}" for i in range(26))), (12, rows[2][1] + " g")]
-    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
-    shares = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
-    assert 0.8 < shares[0, 10] < 0.85 and shares[1, 11] < 0.8
-    want = brute_components(sets, [p for p, x in shares.items() if x >= 0.8])
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {k for k in sets if want[k] == k}
-
-
-def test_pipeline(spark, docs, empty, tmp_path):
-    import corpus_pipeline
-
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    rows = corpus_pipeline.run(spark, str(tmp_path))
-    assert rows.count() > 20
-    again = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        again = stage(spark, again, str(tmp_path))
-        assert again.columns == docs.columns, name
-    assert again.where(F.col("text").contains("one")).count() >= 1
