@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +67,30 @@ def cooled_down(df: DataFrame, key: str, gap_seconds: float) -> DataFrame:
     """``key, ts`` of alarms: the first candidate, then each one more than ``gap_seconds``
     after the last *alarm*.
 
-    The rule is greedy, so candidates of a key are folded in order.  A fold
-    restarts wherever the gap before a candidate is longer than the cool-down
-    (such a candidate always fires), which keeps each folded array short.
+    The rule is greedy, so a task walks through the sorted candidates of a key and jumps from
+    alarm to alarm; it holds one batch and the last alarm, however many candidates a key has.
     """
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    w = Window.partitionBy(key).orderBy("ts")
-    new = F.coalesce(seconds - F.lag(seconds).over(w) > gap_seconds, F.lit(True)).cast("int")
-    rows = df.select(key, "ts").withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(*_ALL)))
-    runs = rows.groupBy(key, "__run").agg(F.array_sort(F.collect_list("ts")).alias("all"))
-    second = lambda t: t.cast("timestamp").cast("double")
-    start = F.slice("all", 1, 1)
-    step = lambda acc, t: F.when(second(t) - second(F.element_at(acc, -1)) > gap_seconds, F.concat(acc, F.array(t))).otherwise(acc)
-    fired = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), start, step)
-    return runs.select(key, F.explode(fired).alias("ts"))
+    rows = df.select(key, "ts").where(F.col("ts").isNotNull())
+    gap = int(gap_seconds * 1_000_000)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), 0
+        for b in batches:
+            keys, ts, fired = b.column(0).to_pylist(), b.column(1).cast(pa.int64()).to_numpy(), []
+            new = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else [0]
+            for lo, hi in zip(new[:-1], new[1:], strict=True):
+                at = lo
+                if keys[lo] == now:
+                    at += int(np.searchsorted(ts[lo:hi], last + gap, side="right"))
+                now = keys[lo]
+                while at < hi:
+                    fired.append(at)
+                    last = int(ts[at])
+                    at += int(np.searchsorted(ts[at:hi], last + gap, side="right"))
+            yield b.take(pa.array(fired, pa.int64()))
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, "ts")
+    return ordered.mapInArrow(walk, rows.schema)
 
 
 def mode_as_of(commands: DataFrame, modes: DataFrame, key: str, first: str = "manual") -> DataFrame:

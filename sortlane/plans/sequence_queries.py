@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sequence
+from ..operators import lidar, sequence
 from .catalog import query
 
 C = F.col
@@ -44,9 +44,19 @@ def _(c):
     return sequence.sessions(c, "robot_id", 3600)
 
 
-@query("win_cooldown", "frames", "WITH RECURSIVE h AS (SELECT robot_id, ts, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) AS i FROM frames WHERE outcome = 'hit'), f(robot_id, i, ts, last_ts, fired) AS (SELECT robot_id, i, ts, ts, true FROM h WHERE i = 1 UNION ALL SELECT h.robot_id, h.i, h.ts, CASE WHEN epoch(h.ts) - epoch(f.last_ts) > 7200 THEN h.ts ELSE f.last_ts END, epoch(h.ts) - epoch(f.last_ts) > 7200 FROM f JOIN h ON h.robot_id = f.robot_id AND h.i = f.i + 1) SELECT robot_id, ts FROM f WHERE fired")
-def _(frames):
-    return sequence.cooled_down(frames.where("outcome = 'hit'"), "robot_id", 7200)
+def _greedy(hits: str) -> str:
+    """Alarms of ``hits`` (robot_id, ts, event_id) by the rule, one after the other."""
+    return f"WITH RECURSIVE h AS (SELECT robot_id, ts, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) AS i FROM ({hits})), f(robot_id, i, ts, last_ts, fired) AS (SELECT robot_id, i, ts, ts, true FROM h WHERE i = 1 UNION ALL SELECT h.robot_id, h.i, h.ts, CASE WHEN epoch(h.ts) - epoch(f.last_ts) > 7200 THEN h.ts ELSE f.last_ts END, epoch(h.ts) - epoch(f.last_ts) > 7200 FROM f JOIN h ON h.robot_id = f.robot_id AND h.i = f.i + 1) SELECT robot_id, ts FROM f WHERE fired"
+
+
+_MODES = "SELECT robot_id, ts, arg_max(mode, event_id) AS mode FROM mode_changes GROUP BY robot_id, ts"
+
+
+@query("win_cooldown", "lidar_points mode_changes", _greedy(f"SELECT p.robot_id, p.ts, p.point_id AS event_id FROM lidar_points p ASOF LEFT JOIN ({_MODES}) m ON p.robot_id = m.robot_id AND p.ts >= m.ts WHERE p.distance > 0 AND p.distance < 500 AND m.mode = 'auto'"))
+def _(points, modes):
+    """Warnings: something nearer than 500 mm while the robot drives itself, then a pause."""
+    near = lidar.in_range(points).where(F.col("distance") < 500).select("robot_id", "ts", C("point_id").alias("event_id"), F.lit("auto").alias("source"))
+    return sequence.cooled_down(sequence.mode_as_of(near, modes, "robot_id").where("accepted"), "robot_id", 7200)
 
 
 @query("join_mode_asof", "commands mode_changes", "WITH m AS (SELECT robot_id, ts, arg_max(mode, event_id) AS mode FROM mode_changes GROUP BY robot_id, ts) SELECT c.event_id, c.robot_id, c.ts, c.source, coalesce(m.mode, 'manual') AS mode, c.source = coalesce(m.mode, 'manual') AS accepted FROM commands c ASOF LEFT JOIN m ON c.robot_id = m.robot_id AND c.ts >= m.ts")

@@ -11,6 +11,7 @@ from ..streaming import jobs
 from ..views import sql, view
 from .catalog import QUERIES, SQL
 from .lidar_queries import _minima, _quoted
+from .sequence_queries import _greedy
 
 C = F.col
 NTZ = "timestamp_ntz"
@@ -72,7 +73,7 @@ def _(spark, d):
     return jobs.run(jobs.cooled_down(hits, 7200), "append").select("robot_id", C("ts").cast(NTZ).alias("ts"))
 
 
-SQL["st_cooldown"] = SQL["win_cooldown"]
+SQL["st_cooldown"] = sql("frames", _greedy("SELECT * FROM frames WHERE outcome = 'hit'"))
 
 
 @stream_query("st_heartbeat_sessions", "commands", None)

@@ -8,6 +8,7 @@ number, and the newest row of each key is the state.
 from __future__ import annotations
 
 import logging
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -101,42 +102,54 @@ def heartbeat_sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def debounced(stream: DataFrame, n: int = 3) -> DataFrame:
-    """Every ``n``-th hit of a run fires; the length of the run is the state of a robot."""
+    """Every ``n``-th hit of a run fires; the length of the run and the place of the last frame
+    are the state of a robot.  A frame that arrives behind that place is too late and is left out."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        streak, seen, seen_id = state.get if state.exists else (0, -math.inf, 0)
         fired = []
-        for event_id, outcome in zip(rows["event_id"], rows["outcome"], strict=True):
+        for ts, event_id, outcome in _in_order(parts, ["ts", "event_id", "outcome"]):
+            now = ts.timestamp()
+            if (now, event_id) <= (seen, seen_id):
+                continue
+            seen, seen_id = now, event_id
             if outcome == "hit":
                 streak += 1
                 if streak % n == 0:
                     fired.append((key[0], event_id, streak))
             elif outcome != "skip":
                 streak = 0
-        state.update((streak,))
+        state.update((streak, seen, seen_id))
         yield pd.DataFrame(fired, columns=["robot_id", "event_id", "streak"])
 
-    return stream.groupBy("robot_id").applyInPandasWithState(step, "robot_id long, event_id long, streak long", "streak long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("robot_id").applyInPandasWithState(step, "robot_id long, event_id long, streak long", "streak long, seen double, seen_id long", "append", GroupStateTimeout.NoTimeout)
 
 
 def cooled_down(stream: DataFrame, gap_seconds: float) -> DataFrame:
-    """An alarm, then none until more than ``gap_seconds`` after it; the last alarm is the state."""
+    """An alarm, then none until more than ``gap_seconds`` after it; the last alarm is the state.
+    A candidate from before it is too late and never fires."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         fired = []
-        for ts in sorted(pd.concat(list(parts))["ts"]):
+        for (ts,) in _in_order(parts, ["ts"]):
             now = ts.timestamp()
             if last is None or now - last > gap_seconds:
                 last = now
                 fired.append((key[0], ts))
-        state.update((last,))
+        if last is not None:
+            state.update((last,))
         yield pd.DataFrame(fired, columns=["robot_id", "ts"])
 
     return stream.groupBy("robot_id").applyInPandasWithState(step, "robot_id long, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def _in_order(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    """The rows of one micro-batch of a key in the order of ``columns``; only those are held."""
+    rows = pd.concat([x[columns] for x in parts]).sort_values(columns)
+    return rows.itertuples(index=False, name=None)
+
+
 def with_callbacks(stream: DataFrame, callbacks: list[Callable[[DataFrame, int], None]]) -> None:
     """Give every micro-batch to each callback; one that fails is logged, the others go on."""
     folder = work_folder(stream.sparkSession)
