@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 CONFUSED, DIGITS = "OIZSBoizsbLl|", "0125801258111"
 #: Field patterns of the two couriers (fixed values).
 TRACKING, ORDER, PHONE = r"^FE\d{10}$", r"^FE\d{6}[A-Z0-9]{6}$", r"^FE \d{12}$"
+#: Field patterns by courier (fixed values), and grams for each unit of quantity.
+COURIER_FIELDS = {
+    "flash": {"tracking": r"^FE\d{10}$", "order": r"^FE\d{6}[A-Z0-9]{6}$", "phone": r"^FE \d{12}$"},
+    "spx": {"tracking": r"^SPX\d{9}$", "order": r"^SH[0-9A-Z]{10}$", "phone": r"^SPX\d{12}$"},
+}
+GRAMS = {"flash": 500, "spx": 400}
 #: Names of colours and detection algorithms on screen (fixed values).
 COLOURS = {1: "Red", 2: "Green", 3: "Blue", 4: "Yellow"}
 NAMED = {"ALGORITHM_FACE_RECOGNITION": "Face", "ALGORITHM_OBJECT_TRACKING": "Object", "ALGORITHM_TAG_RECOGNITION": "Tag"}
@@ -25,6 +31,14 @@ def validated(s: Column, pattern: str) -> tuple[Column, Column]:
     return value, F.coalesce(s.rlike(pattern) | fixed.rlike(pattern), F.lit(False))
 
 
+def quantity_of(weight: Column, courier: Column) -> Column:
+    """At least one, else a unit for each full weight of the courier's rule; null for other couriers."""
+    grams = F.lit(None).cast("int")
+    for name, n in GRAMS.items():
+        grams = F.when(courier == name, n).otherwise(grams)
+    return F.when(grams.isNotNull(), F.greatest(F.lit(1), F.floor(weight / grams).cast("int")))
+
+
 def first_match(s: Column, pattern: str, group: int = 0) -> Column:
     """Null where the pattern does not occur."""
     return F.nullif(F.regexp_extract(s, pattern, group), F.lit(""))

@@ -188,14 +188,15 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return distinct_rows(df, columns).groupBy("field").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
-def manifest(labels: DataFrame, courier: str, barangay: str) -> DataFrame:
+def manifest(labels: DataFrame, courier: str, barangay: str, district: str, amount: str) -> DataFrame:
     """Figures of a batch in all and by courier, in one pass."""
-    out = labels.groupingSets([[], [F.col(courier)]], F.col(courier)).agg(
+    return labels.groupingSets([[], [F.col(courier)]], F.col(courier)).agg(
         F.count("*").alias("labels"),
         F.sum("weight_g").alias("total_weight"),
         F.round(F.avg("weight_g"), 6).alias("avg_weight"),
         F.count_if(F.col("payment_type") == "COD").alias("cod_count"),
+        F.sum(amount).alias("cod_sum"),
         F.countDistinct(barangay).alias("barangays"),
+        F.countDistinct(district).alias("districts"),
         F.grouping(courier).alias("is_total"),
     )
-    return out

@@ -20,14 +20,13 @@ C = F.col
 _STRAY = "CASE WHEN quantity IN (1, 6, 7) THEN 'Quantity: ' || quantity END"
 
 
-@query("src_order_truth", "order_truth", "SELECT tracking_id, order_id, weight, quantity FROM order_truth")
+@query("src_order_truth", "order_truth", "SELECT tracking_id, order_id, rts_code, rider, buyer_name, address, weight, quantity FROM order_truth")
 def _(orders):
-    """Orders written as JSON objects of objects and read back."""
+    """Orders written as JSON objects of objects, one a line, and read back."""
     folder = work_folder(orders.sparkSession)
-    value = F.struct(*orders.columns)
-    parts = orders.groupBy(F.pmod(F.xxhash64("tracking_id"), F.lit(64)).alias("p")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat("tracking_id", F.lit(".jpg")), value)))).alias("value"))
-    parts.select("value").repartition(64).write.text(folder)
-    return files.read_orders(orders.sparkSession, folder).select("tracking_id", "order_id", "weight", "quantity")
+    one = F.create_map(F.concat("tracking_id", F.lit(".jpg")), F.struct(*orders.columns))
+    orders.select(F.to_json(one).alias("value")).write.text(folder)
+    return files.read_orders(orders.sparkSession, folder, by_line=True).select(*orders.columns)
 
 
 @query("src_courier_dims", "scans", f"WITH d AS (SELECT * FROM {_values([(r[1], r[2], r[4]) for r in dic.district_rows()], 'v(barangay, district, rider_id)')}), s AS (SELECT rider_id, count(*) AS n FROM scans GROUP BY rider_id) SELECT barangay, district, coalesce(n, 0) AS n FROM d LEFT JOIN s USING (rider_id)")

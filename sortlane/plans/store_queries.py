@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import quantity_of
 from ..operators import store
 from .catalog import query
 
@@ -141,9 +142,14 @@ def _(scans):
     return scans.groupBy("tracking_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("agg_batch_manifest", "scans", "SELECT engine, count(*) AS labels, sum(weight_g) AS total_weight, round(avg(weight_g), 6) AS avg_weight, count_if(payment_type = 'COD') AS cod_count, count(DISTINCT rider_id) AS barangays, CAST(grouping(engine) AS INT) AS is_total FROM scans GROUP BY GROUPING SETS ((), (engine))")
+_AMOUNT = "CASE WHEN payment_type = 'COD' THEN 100 + scan_id % 5000 ELSE 0 END"
+
+
+@query("agg_batch_manifest", "scans", f"SELECT engine, count(*) AS labels, sum(weight_g) AS total_weight, round(avg(weight_g), 6) AS avg_weight, count_if(payment_type = 'COD') AS cod_count, sum({_AMOUNT}) AS cod_sum, count(DISTINCT rider_id) AS barangays, count(DISTINCT order_id) AS districts, CAST(grouping(engine) AS INT) AS is_total FROM scans GROUP BY GROUPING SETS ((), (engine))")
 def _(scans):
-    return store.manifest(scans, "engine", "rider_id").withColumn("is_total", C("is_total").cast("int"))
+    """Engines stand for couriers, riders and orders for barangays and districts."""
+    rows = scans.withColumn("cod_amount", F.expr(_AMOUNT))
+    return store.manifest(rows, "engine", "rider_id", "order_id", "cod_amount").withColumn("is_total", C("is_total").cast("int"))
 
 
 @query("agg_token_confidence", "detections", "SELECT robot_id, round(coalesce(avg(CASE WHEN obj_id > 0 THEN obj_id * 20 END), 0) / 100, 6) AS confidence FROM detections GROUP BY robot_id")
@@ -267,9 +273,10 @@ def _(scans):
     return scans.select("scan_id", F.when(F.lower("payment_type") == "cop", "COD").otherwise(C("payment_type")).alias("payment_type"))
 
 
-@query("math_quantity", "scans", "SELECT scan_id, greatest(1, weight_g // 500) AS quantity FROM scans")
+@query("math_quantity", "scans", "SELECT scan_id, CASE scan_id % 3 WHEN 0 THEN greatest(1, weight_g // 500) WHEN 1 THEN greatest(1, weight_g // 400) END AS quantity FROM scans")
 def _(scans):
-    return scans.select("scan_id", F.greatest(F.lit(1), F.floor(C("weight_g") / 500).cast("int")).alias("quantity"))
+    courier = F.when(C("scan_id") % 3 == 0, "flash").when(C("scan_id") % 3 == 1, "spx").otherwise("other")
+    return scans.select("scan_id", quantity_of(C("weight_g"), courier).alias("quantity"))
 
 
 @query("math_qty_check", "scans", "SELECT scan_id, greatest(1, weight_g // 500) AS quantity, coalesce(quantity <> greatest(1, weight_g // 500), true) AS inconsistent FROM scans")

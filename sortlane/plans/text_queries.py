@@ -31,10 +31,35 @@ def _(d):
 _T = "CASE scan_id % 4 WHEN 0 THEN tracking_id WHEN 1 THEN replace(tracking_id, '0', 'O') WHEN 2 THEN tracking_id || '1' ELSE 'XX' || tracking_id END"
 
 
-@query("str_validate_fix", "scans", f"WITH r AS (SELECT scan_id, {_T} AS t FROM scans) SELECT scan_id, CASE WHEN NOT regexp_full_match(t, 'FE[0-9]{{10}}') AND regexp_full_match({_FIX.format(s='t')}, 'FE[0-9]{{10}}') THEN {_FIX.format(s='t')} ELSE t END AS value, regexp_full_match(t, 'FE[0-9]{{10}}') OR regexp_full_match({_FIX.format(s='t')}, 'FE[0-9]{{10}}') AS ok FROM r")
+#: Field values of both couriers with the errors of their kinds: right, letters for digits, too long, strange.
+_FIELDS = {
+    ("flash", "tracking"): _T,
+    ("flash", "order"): "CASE scan_id % 3 WHEN 0 THEN order_id WHEN 1 THEN replace(order_id, '0', 'O') ELSE lower(order_id) END",
+    ("flash", "phone"): "CASE WHEN scan_id % 2 = 0 THEN 'FE ' || lpad(CAST(scan_id AS STRING), 12, 'O') ELSE 'FE' || CAST(scan_id AS STRING) END",
+    ("spx", "tracking"): "CASE WHEN scan_id % 2 = 0 THEN 'SPX' || lpad(CAST(scan_id AS STRING), 9, '0') ELSE 'SPX' || lpad(CAST(scan_id AS STRING), 9, 'O') END",
+    ("spx", "order"): "'SH' || lpad(CAST(scan_id AS STRING), 10, 'A')",
+    ("spx", "phone"): "CASE WHEN scan_id % 2 = 0 THEN 'SPX' || lpad(CAST(scan_id AS STRING), 12, '0') ELSE 'SPX' END",
+}
+
+
+def _validated_sql(courier: str, field: str) -> str:
+    t, p = f"({_FIELDS[courier, field]})", tx.COURIER_FIELDS[courier][field].strip("^$").replace("\\d", "[0-9]")
+    fixed, fits = _FIX.format(s=t), lambda x: f"regexp_full_match({x}, '{p}')"
+    return f"SELECT scan_id, '{courier}' AS courier, '{field}' AS field, CASE WHEN NOT {fits(t)} AND {fits(fixed)} THEN {fixed} ELSE {t} END AS value, {fits(t)} OR {fits(fixed)} AS ok FROM scans"
+
+
+@query("str_validate_fix", "scans", " UNION ALL ".join(_validated_sql(*k) for k in _FIELDS))
 def _(scans):
-    value, ok = tx.validated(C("t"), tx.TRACKING)
-    return scans.select("scan_id", F.expr(_T).alias("t")).select("scan_id", value.alias("value"), ok.alias("ok"))
+    out = []
+    for (courier, field), text in _FIELDS.items():
+        out.append(F.struct(F.lit(courier).alias("courier"), F.lit(field).alias("field"), F.expr(text).alias("t")))
+    rows = scans.select("scan_id", F.explode(F.array(*out)).alias("x")).select("scan_id", "x.*")
+    value = ok = F.lit(None)
+    for courier, field in _FIELDS:
+        v, o = tx.validated(C("t"), tx.COURIER_FIELDS[courier][field])
+        mine = (C("courier") == courier) & (C("field") == field)
+        value, ok = F.when(mine, v).otherwise(value), F.when(mine, o).otherwise(ok)
+    return rows.select("scan_id", "courier", "field", value.alias("value"), ok.alias("ok"))
 
 
 def _chain(s: str) -> str:

@@ -18,14 +18,15 @@ def read_scans(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCAN_SCHEMA).parquet(path)
 
 
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of orders by image: rows without a tracking id go, of repeated ids the last stays."""
+def read_orders(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """JSON objects of orders by image, one a file or one a line: rows without a tracking id go,
+    of repeated ids the last stays."""
     order = T.StructType([T.StructField(c, T.StringType()) for c in ORDER_FIELDS])
-    text = spark.read.text(path, wholetext=True)
-    entries = text.select(F.posexplode(F.map_entries(F.from_json("value", T.MapType(T.StringType(), order)))).alias("pos", "e"))
-    rows = entries.select("pos", F.col("e.key").alias("image"), "e.value.*").where("tracking_id IS NOT NULL AND tracking_id <> ''")
-    last = rows.groupBy("tracking_id").agg(F.max("pos").alias("pos"))
-    return rows.join(last, ["tracking_id", "pos"]).drop("pos")
+    text = spark.read.text(path, wholetext=not by_line).select(F.monotonically_increasing_id().alias("at"), "value")
+    entries = text.select("at", F.posexplode(F.map_entries(F.from_json("value", T.MapType(T.StringType(), order)))).alias("pos", "e"))
+    rows = entries.select(F.struct("at", "pos").alias("place"), F.col("e.key").alias("image"), "e.value.*").where("tracking_id IS NOT NULL AND tracking_id <> ''")
+    values = [c for c in rows.columns if c not in ("place", "tracking_id")]
+    return rows.groupBy("tracking_id").agg(F.max_by(F.struct(*values), "place").alias("v")).select("tracking_id", "v.*")
 
 
 def image_listing(spark: SparkSession, folder: str, kinds=("png", "jpg", "jpeg", "tiff", "bmp")) -> DataFrame:
