@@ -4,9 +4,10 @@ Matches of each kind come from one ``regexp_extract_all`` and one ``split`` by t
 pattern; a running sum of the lengths of gaps and matches gives their places in
 code points.  Base kinds are reported as they are.  Weak candidates (account
 names, loosely named secrets, endpoints) are reported only where complementary
-parts stand within the same scope.  That interval join is an equi-join on
-(row, bin): each bin keeps the first and the last place of each role, which is
-enough, as the nearest part of a role in the bin before is its last, in the
+parts stand within the same scope: one block of lines (blocks are set apart by an empty
+line), and at most SCOPE code points between their starts.  That interval join is an
+equi-join on (row, block, bin): each bin keeps the first and the last place of each role,
+which is enough, as the nearest part of a role in the bin before is its last, in the
 bin behind its first.
 """
 
@@ -40,7 +41,7 @@ WEAK = {
 KINDS = BASE | WEAK
 ORDER = {k: i for i, k in enumerate(KINDS)}
 ROLES = ("access", "secret", "endpoint")
-#: Parts that start at most this many code points apart belong to one scope.
+#: Parts of one block of lines that start at most this many code points apart belong to one scope.
 SCOPE = 400
 MASK = "[SECRET]"
 
@@ -62,22 +63,27 @@ def possible(text: Column, kind: str) -> Column:
     return (text.contains("=") | text.contains(":")) & text.rlike(KINDS[kind][0])
 
 
+def _empty_lines(text: Column) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit("\n\n"), F.lit("")))) / 2).cast("int")
+
+
 def _matches(text: Column, kind: str) -> Column:
     pattern, group, least, _ = KINDS[kind]
     run = F.lit(_runs(kind))
     value = F.regexp_extract_all(text, run, F.lit(group))
     zipped = F.arrays_zip(F.regexp_extract_all(text, run, F.lit(0)).alias("m"), value.alias("v"), F.split(text, _runs(kind), -1).alias("gap"))
-    one = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("len"), (F.length(x["v"]) >= least).alias("counts"))
-    none = F.array().cast("array<struct<kind:string,i:int,gap:int,len:int,counts:boolean>>")
+    one = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), _empty_lines(x["gap"]).alias("blank"), F.length(x["m"]).alias("len"), (F.length(x["v"]) >= least).alias("counts"))
+    none = F.array().cast("array<struct<kind:string,i:int,gap:int,blank:int,len:int,counts:boolean>>")
     return F.when(possible(text, kind), F.transform(F.filter(zipped, lambda x: x["m"].isNotNull()), one)).otherwise(none)
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
-    """``__row, kind, start, end`` (long, code points, end exclusive) from rows with ``__row`` and ``parts``."""
+    """``__row, kind, start, end, block`` (long, code points, end exclusive) from rows with ``__row`` and ``parts``."""
     part = rows.select("__row", F.explode("parts").alias("p")).select("__row", "p.*")
     ran = Window.partitionBy("__row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum((F.col("gap") + F.col("len")).cast("long")).over(ran)
-    return part.withColumn("end", end).where("counts").select("__row", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
+    placed = part.withColumns({"end": end, "block": F.sum(F.col("blank").cast("long")).over(ran)})
+    return placed.where("counts").select("__row", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "block")
 
 
 def _role_map(column: Column, value=lambda k: KINDS[k][3]) -> Column:
@@ -92,10 +98,10 @@ def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     an account needs a secret, a secret an account or an endpoint, an endpoint both."""
     placed = spans.withColumns({"role": _role_map(F.col("kind")), "bin": F.floor(F.col("start") / scope)})
     ends = [f(F.when(F.col("role") == r, F.col("start"))).alias(f"{n}_{r}") for r in ROLES for n, f in (("first", F.min), ("last", F.max))]
-    bins = placed.groupBy("__row", "bin").agg(*ends)
+    bins = placed.groupBy("__row", "block", "bin").agg(*ends)
     weak = placed.where(F.col("kind").isin(*WEAK)).withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
     near = lambda r: F.coalesce(F.bool_or((F.abs(F.col(f"first_{r}") - F.col("start")) <= scope) | (F.abs(F.col(f"last_{r}") - F.col("start")) <= scope)), F.lit(False))
-    judged = weak.join(bins, ["__row", "bin"]).groupBy("__row", "kind", "role", "start", "end").agg(*(near(r).alias(f"has_{r}") for r in ROLES))
+    judged = weak.join(bins, ["__row", "block", "bin"]).groupBy("__row", "kind", "role", "start", "end", "block").agg(*(near(r).alias(f"has_{r}") for r in ROLES))
     ok = F.when(F.col("role") == "access", F.col("has_secret")).when(F.col("role") == "secret", F.col("has_access") | F.col("has_endpoint")).otherwise(F.col("has_access") & F.col("has_secret"))
     return judged.where(ok).select("__row", "kind", "start", "end")
 
@@ -109,7 +115,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     t = F.coalesce(F.col(text), F.lit(""))
     rows = staged(with_row_id(docs.select(F.col(key).alias("__key"), F.concat(*(_matches(t, k) for k in KINDS)).alias("parts"))), "parts")
     found = staged(spans_of(rows.where(F.size("parts") > 0)), "spans")
-    reported = found.where(F.col("kind").isin(*BASE)).unionByName(linked(found, scope))
+    reported = found.where(F.col("kind").isin(*BASE)).drop("block").unionByName(linked(found, scope))
     no = _role_map(F.col("kind"), lambda k: ORDER[k])
     listed = reported.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", no.alias("no"), "kind", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,no:int,kind:string,end:bigint>>")
@@ -161,13 +167,14 @@ def sql(scope: int = SCOPE) -> str:
     roles = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v[3]}'" for k, v in KINDS.items()) + " END"
     nos = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for k, i in ORDER.items()) + " END"
     base, weak = (", ".join(f"'{k}'" for k in x) for x in (BASE, WEAK))
-    near = lambda r: f"EXISTS (SELECT 1 FROM spans o WHERE o.doc_id = w.doc_id AND o.role = '{r}' AND abs(o.start - w.start) <= {scope})"
+    near = lambda r: f"EXISTS (SELECT 1 FROM spans o WHERE o.doc_id = w.doc_id AND o.role = '{r}' AND o.block = w.block AND abs(o.start - w.start) <= {scope})"
     return f"""
     WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     parts AS (SELECT *, row_number() OVER () AS n FROM ({parts})),
     placed AS (SELECT doc_id, kind, length(v) >= least AS counts, length(m) AS len,
-        sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop FROM parts),
-    spans AS (SELECT doc_id, kind, {roles} AS role, {nos} AS no, CAST(stop - len AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed WHERE counts),
+        sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop,
+        sum((length(gap) - length(replace(gap, chr(10) || chr(10), ''))) // 2) OVER (PARTITION BY doc_id, kind ORDER BY n ROWS UNBOUNDED PRECEDING) AS block FROM parts),
+    spans AS (SELECT doc_id, kind, {roles} AS role, {nos} AS no, CAST(stop - len AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, block FROM placed WHERE counts),
     reported AS (SELECT * FROM spans WHERE kind IN ({base}) UNION ALL
         SELECT * FROM spans w WHERE kind IN ({weak}) AND CASE role WHEN 'access' THEN {near("secret")}
             WHEN 'secret' THEN {near("access")} OR {near("endpoint")} ELSE {near("access")} AND {near("secret")} END),

@@ -107,7 +107,7 @@ def test_quality(spark, docs, empty):
 
 
 def test_secrets(spark, empty):
-    cases = ['x token = "abcdefgh1234" y', "token: secret: abcdefgh", "AKIAABCDEFGHIJKL AKIAshort AKIAAAAAAAAAAAAAA9", "f" * 31 + " " + "0a" * 16, "PassWord='aaaabbbb' é🙂 api_key:zzzzzzzzz", None, "", "login: bob1 pwd: hunter2hunter2", "login: bob1", "login: bob1 " + "x " * 300 + "pwd: hunter2hunter2"]
+    cases = ['x token = "abcdefgh1234" y', "token: secret: abcdefgh", "AKIAABCDEFGHIJKL AKIAshort AKIAAAAAAAAAAAAAA9", "f" * 31 + " " + "0a" * 16, "PassWord='aaaabbbb' é🙂 api_key:zzzzzzzzz", None, "", "login: bob1 pwd: hunter2hunter2", "login: bob1", "login: bob1 " + "x " * 300 + "pwd: hunter2hunter2", "login: bob1\n\npwd: hunter2hunter2", "a\n\n\nlogin: bob1\nlogin: bob2\npwd: hunter2hunter2"]
     rows = spark.createDataFrame(list(enumerate(cases)) + [(0, cases[0]), (None, cases[0])], "doc_id long, text string")
     got = secret_scan.scan(rows).collect()
     assert len(got) == len(cases) + 2
@@ -118,6 +118,7 @@ def test_secrets(spark, empty):
         assert [(s.start, s.no, s.kind, s.end) for s in r.spans if s.kind in kinds] == want
     weak = {r.doc_id: {s.kind for s in r.spans} for r in got}
     assert weak[7] == {"weak_access", "weak_secret"} and not weak[8] and not weak[9]
+    assert not weak[10] and weak[11] == {"weak_access", "weak_secret"}  # an empty line parts two scopes
     masked = {r.doc_id: r.text for r in secret_scan.masked(rows.where("doc_id > 0")).collect()}
     assert masked[4] == "[SECRET]' é🙂 [SECRET]" and masked[5] is None and masked[8] == cases[8] and len(masked) == len(cases) - 1
     assert secret_scan.scan(empty).count() == 0 and secret_scan.masked(empty).count() == 0
@@ -284,3 +285,19 @@ def test_embeddings_of_several_lengths(spark, monkeypatch):
     for block in (512, 32):  # 32: the second length gets a search of its own
         monkeypatch.setattr(embeddings, "BLOCK", block)
         assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near(df).collect()} == {i: (true[i], want[i]) for i in want}
+
+
+def test_embeddings_of_a_large_group(spark):
+    """A group of 2,000 different near copies among others, with ties, extra columns and repeated rows."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2600, 12))
+    x[300:2300] = x[0] + 0.1 * rng.normal(size=(2000, 12))
+    x[2400:2410] = x[2300]
+    rows = [(i, [float(v) for v in r], i, "v", 1.0) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[7]], "vec_id long, embedding array<double>, id long, h string, sim double")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.triu(y @ y.T >= 0.9, 1)
+    want, true = brute_components(range(2600), np.argwhere(links).tolist()), links.sum(0) + links.sum(1)
+    got = embeddings.near(df).collect()
+    assert len(got) == 2601
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id != 7} == {i: (int(true[i]), want[i]) for i in range(2600) if i != 7}
