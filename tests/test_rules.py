@@ -167,3 +167,16 @@ def test_appends_keep_rejects_apart(spark, tmp_path):
     rejected = store.append(new, path, f"{tmp_path}/log", "id")
     assert sorted((r.id, r.reason) for r in rejected.collect()) == [(1, "duplicate"), (2, "check"), (3, "duplicate in batch")]
     assert sorted((r.id, r.confidence) for r in spark.read.parquet(path).collect()) == [(1, 0.5), (3, 0.1)]
+
+
+def test_matches_with_a_dictionary_that_is_not_small(spark, monkeypatch):
+    """By shuffle on the length, the matches are the same as with a broadcast dictionary."""
+    random.seed(6)
+    texts = spark.createDataFrame([("".join(random.choice("muzongt ") for _ in range(random.randint(1, 9))),) for _ in range(60)] + [("Muzonn",), ("GY0l",), (None,), ("N0RTH",), ("",)], "t string")
+    runs = [
+        lambda: match.best_ratio(texts, "t", dic.barangays(spark), 60.0), lambda: match.first_ratio(texts, "t", dic.riders(spark)), lambda: match.best_code(texts, "t", dic.riders(spark)),
+        lambda: match.nearest_edit(texts, "t", dic.riders(spark), 3), lambda: match.best_variation(texts, "t", dic.variations(spark, dic.DISTRICT_VARIATIONS)),
+    ]
+    wide = [sorted(map(str, f().collect())) for f in runs]
+    monkeypatch.setattr(match, "MOST_WORDS", 2)
+    assert [sorted(map(str, f().collect())) for f in runs] == wide
