@@ -314,7 +314,8 @@ def _open(hits: DataFrame, comps: DataFrame, signs: DataFrame, percent: int) ->
     tagged = staged(hits.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component"), "tagged")
     by_comp = tagged.groupBy("tok", "comp").agg(F.count("*").alias("k"))
     mixed = by_comp.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("tok", F.col("top.comp").alias("main"), F.col("top.k").alias("k"))
-    rows = tagged.join(mixed, "tok").withColumns({"minor": F.col("comp") != F.col("main"), "few": F.ceil((F.col("c") - F.col("k")) / BLOCK).cast("int"), "rest": F.ceil(F.col("k") / BLOCK).cast("int")})
+    # written first, so that the join's sides are plain shuffles and a hot shingle can be split
+    rows = tagged.join(staged(mixed, "mixed"), "tok").withColumns({"minor": F.col("comp") != F.col("main"), "few": F.ceil((F.col("c") - F.col("k")) / BLOCK).cast("int"), "rest": F.ceil(F.col("k") / BLOCK).cast("int")})
     h = F.xxhash64("cid", "tok")
     rows = rows.withColumn("blk", F.when(F.col("minor"), F.pmod(h, F.col("few"))).otherwise(F.col("few") + F.pmod(h, F.col("rest"))).cast("int"))
     upto = lambda lo, hi, f: F.transform(F.sequence(lo, hi - 1), f)
