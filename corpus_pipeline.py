@@ -7,7 +7,7 @@ documents; ``n_chars`` follows the text where a stage changes it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortlane.llm.common import staged, table
@@ -25,7 +25,10 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language that the model knows, go."""
+    """Documents without a letter, or of no language that the model knows, go.
+
+    So do null and empty texts.  Repeated rows share their fate; each row is judged by its whole text.
+    """
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = language_model(docs.where(~held))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
@@ -34,39 +37,62 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents stays."""
-    rows = staged(similar(docs, size=SHINGLE, percent=PERCENT), "similar")
-    gone = rows.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    """One document of each group of linked documents stays: that of the smallest id (null
+    last), of equal ids an earlier row.
+
+    Rows that share an id, or have none, are told apart by a number of their own, so each is
+    judged by its own text.  Rows without words all stay.
+    """
+    key, numbered = "doc_id", docs
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        key = unused(docs, "row_number")
+        numbered = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    linked = staged(similar(numbered.select(key, "text"), key=key, size=SHINGLE, percent=PERCENT).select(F.col(key).alias("k"), "component_id"), "similar")
+    if key == "doc_id":
+        gone = linked.where("component_id <> k").select("k")
+    else:
+        named = linked.join(numbered.select(F.col(key).alias("k"), "doc_id"), "k")
+        first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first"))
+        gone = linked.join(first, "component_id").where("k <> first.k").select("k")
+    gone = staged(gone, "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        repeated = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = repeated.unionByName(kept.where("doc_id is null"))
-    return kept
+    return numbered.join(gone, numbered[key] == gone["k"], "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages leave the texts; a document of which nothing is left goes."""
+    """Repeated passages leave the texts; a document of which nothing is left goes.
+
+    Null and empty texts stay as they are.
+    """
     rows = dedup(docs, whole_rows=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
-    return _with_text(rows.select("row.*", text.alias("__text")), docs)
+    length = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    return rows.select(*({"text": text, "n_chars": _like(docs, length)}.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
-    return _with_text(masked(docs).withColumn("__text", F.col("text")), docs)
+    """Secrets are masked; every document stays, null texts stay null."""
+    rows = masked(docs)
+    if "n_chars" not in docs.columns:
+        return rows
+    return rows.withColumn("n_chars", _like(docs, F.coalesce(F.length("text"), F.col("n_chars")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences: one row a piece."""
+    """The sequences: one row a piece; every row has a piece at least (null text: the end id)."""
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    length = F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None
-    new = {"text": F.col("__text")} | ({"n_chars": length} if length is not None else {})
-    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the table lacks."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _like(docs: DataFrame, length: Column | None) -> Column | None:
+    return None if length is None else length.cast(docs.schema["n_chars"].dataType)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_copies), ("substring dedup", repeated_passages), ("secret scans", secret_masks), ("best-fit packing", packing)]
