@@ -6,19 +6,28 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quantity_of
 from ..operators import store
+from ..sources import files
+from ..streaming.jobs import work_folder
 from .catalog import query
 
 C = F.col
 
 
-@query("src_scans", "scans", "SELECT scan_id, tracking_id, order_id, rider_id, buyer_name, buyer_address, payment_type, engine, ts, weight_g, quantity, processing_time_ms, confidence FROM scans")
-def _(scans):
-    return scans.select("scan_id", "tracking_id", "order_id", "rider_id", "buyer_name", "buyer_address", "payment_type", "engine", "ts", "weight_g", "quantity", "processing_time_ms", "confidence")
+@query("src_scans", "scans label_text", "SELECT s.scan_id, tracking_id, order_id, 'FEX-BUL-SJDM-MZN' || (s.scan_id % 4 + 1) || '-GY0' || (s.scan_id % 4 + 1) AS rts_code, rider_id, buyer_name, buyer_address, payment_type, s.engine, sha256(raw_text) AS raw_sha256, ts, weight_g, quantity, processing_time_ms, s.confidence FROM scans s JOIN label_text USING (scan_id)")
+def _(scans, texts):
+    """The scan store: written with its schema and read by it."""
+    folder, code = work_folder(scans.sparkSession), (C("scan_id") % 4 + 1).cast("string")
+    rows = scans.join(texts.select("scan_id", "raw_text"), "scan_id").withColumn("rts_code", F.concat(F.lit("FEX-BUL-SJDM-MZN"), code, F.lit("-GY0"), code))
+    rows.select(*(C(f.name).cast(f.dataType) for f in files.SCAN_SCHEMA)).write.parquet(folder)
+    return files.read_scans(scans.sparkSession, folder).withColumn("raw_sha256", F.sha2("raw_text", 256)).drop("raw_text")
 
 
-@query("src_session_registry", "scans", "SELECT rider_id AS session_name, count(*) AS point_count, min(ts) AS created_at FROM scans GROUP BY rider_id")
+@query("src_session_registry", "scans", "SELECT engine || rider_id AS session_name, 'sessions/' || engine || rider_id || '/' AS path, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM scans GROUP BY engine, rider_id")
 def _(scans):
-    return scans.groupBy(C("rider_id").alias("session_name")).agg(F.count("*").alias("point_count"), F.min("ts").alias("created_at"))
+    """Sessions with folder, start, end and number of scans."""
+    name = F.concat("engine", "rider_id")
+    rows = scans.groupBy("engine", "rider_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
+    return rows.select(name.alias("session_name"), F.concat(F.lit("sessions/"), name, F.lit("/")).alias("path"), "start_ts", "end_ts", "n")
 
 
 @query("src_detections", "detections", "SELECT event_id, robot_id, algorithm, obj_id, x, y, width, height FROM detections")
