@@ -104,8 +104,13 @@ def _(t):
     return t.select("scan_id", tx.first_match(F.concat(F.lit("RTS-BUL-"), "raw_text"), "RTS-[A-Z0-9-]+").alias("code"))
 
 
-@query("ext_header", "label_text", f"SELECT scan_id, replace({_first('(FE[ ]*[0-9]{10})(?:[^0-9]|$)', 1)}, ' ', '') AS tracking_id, {_first(extract.PATTERNS['order_id'][0], flags='(?i)')} AS order_id, {_first(extract.SORT_CODE, flags='(?i)')} AS rts_code, {_first(extract.PATTERNS['rider_id'][0], 1, flags='(?i)')} AS rider_id FROM label_text")
+#: Every other label has an order id of the second form.
+_HEADER = "(CASE WHEN scan_id % 2 = 0 THEN raw_text ELSE replace(raw_text, 'Order ID: FE', 'Order ID: FE12') END)"
+
+
+@query("ext_header", "label_text", f"SELECT scan_id, replace({_first('(FE[ ]*[0-9]{10})(?:[^0-9]|$)', 1)}, ' ', '') AS tracking_id, coalesce({_first(extract.PATTERNS['order_id'][0], flags='(?i)', s=_HEADER)}, {_first('(FE[0-9]{8}[A-Z][A-Za-z0-9_]+)', 1, flags='(?i)', s=_HEADER)}) AS order_id, {_first(extract.SORT_CODE, flags='(?i)', s=_HEADER)} AS rts_code, {_first(extract.PATTERNS['rider_id'][0], 1, flags='(?i)', s=_HEADER)} AS rider_id FROM label_text")
 def _(t):
+    t = t.withColumn("raw_text", F.expr(_HEADER))
     return t.select("scan_id", *(v.alias(k) for k, v in extract.header_fields(C("raw_text")).items()))
 
 
@@ -189,13 +194,23 @@ def _points(source: str, columns: str, more: str = "") -> str:
     return f"WITH r AS (SELECT scan_id, {_FOUND} AS n, upper(coalesce({_CODE}, {_CODE2})) AS t FROM {source}), m AS (SELECT t, word FROM (SELECT DISTINCT t FROM r), {_SORT} WHERE levenshtein(t, word) <= 5 QUALIFY row_number() OVER (PARTITION BY t ORDER BY levenshtein(t, word), pos) = 1) SELECT scan_id, {columns}(n + CASE WHEN word IS NULL THEN 0 ELSE 3 END) || '/7' AS confidence, CASE WHEN word IS NULL THEN 'Extraction Failed' ELSE 'RTS Code Corrected, Address Inferred from RTS' END AS status FROM r LEFT JOIN m USING (t){more}"
 
 
-@query("math_conf7", "label_text", _points("label_text", ""))
+_B, _D = (_first(extract.STRICT[k][0], extract.STRICT[k][1]) for k in ("barangay", "district"))
+_LIKE = "(1 - levenshtein(upper(b), upper(barangay)) / greatest(length(b), length(barangay)) + 1 - levenshtein(upper(d), upper(district)) / greatest(length(d), length(district))) / 2"
+_LARGER = f"WITH a AS (SELECT scan_id, {_FOUND} AS n, {_B} AS b, {_D} AS d FROM label_text), c AS ({_points('label_text', 'word, ')}), j AS (SELECT scan_id, n, word, c.confidence, c.status, {_LIKE} AS likeness FROM c JOIN a USING (scan_id) LEFT JOIN {_EXPECT} ON code = word) SELECT scan_id, confidence, status, (n + CASE WHEN word IS NULL THEN 0 WHEN likeness > 0.7 THEN 5 ELSE 3 END) || '/7' AS larger, CASE WHEN word IS NULL THEN 'Extraction Failed' WHEN likeness > 0.7 THEN 'RTS Code Corrected, Address Validated' WHEN likeness IS NOT NULL THEN 'RTS Code Corrected, Address Corrected by RTS' ELSE 'RTS Code Corrected, Address Inferred from RTS' END AS larger_status FROM j"
+
+
+@query("math_conf7", "label_text", _LARGER)
 def _(t):
-    fields = extract.pattern_fields(C("raw_text"), extract.SIMPLE)
+    """The score of the simple reader, and the larger form that weighs the address too."""
+    text = C("raw_text")
+    fields = extract.pattern_fields(text, extract.SIMPLE) | {f"x_{k}": tx.first_match(text, *extract.STRICT[k]) for k in ("barangay", "district")}
     rows = t.select("scan_id", *(v.alias(k) for k, v in fields.items())).withColumn("t", F.upper(F.coalesce("rts_code_label", "rts_code_pattern")))
     rows = match.nearest_edit(rows, "t", dic.sort_codes(t.sparkSession), 5)
-    points, status = extract.confidence_points({k: C(k) for k in fields}, C("matched"))
-    return rows.select("scan_id", points.alias("confidence"), status.alias("status"))
+    known = match.small(dic.districts(t.sparkSession).select(C("sort_code").alias("matched"), C("barangay").alias("e_barangay"), C("district").alias("e_district")))
+    rows = rows.join(known, "matched", "left")
+    likeness = extract.address_likeness(C("x_barangay"), C("x_district"), C("e_barangay"), C("e_district"))
+    (points, status), (larger, told) = (extract.confidence_points({k: C(k) for k in fields}, C("matched"), x) for x in (None, likeness))
+    return rows.select("scan_id", points.alias("confidence"), status.alias("status"), larger.alias("larger"), told.alias("larger_status"))
 
 
 @query("pipe_reconcile_labels", "label_text", _points(f"(SELECT scan_id, {_chain('raw_text')} AS raw_text FROM label_text)", "word AS rts_code, barangay, district, ", f" LEFT JOIN {_EXPECT} ON code = word"))
