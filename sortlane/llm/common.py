@@ -96,21 +96,6 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
-def word_hashes(words: list[str], memo: Memo):
-    """64-bit hashes of words."""
-    import numpy as np
-    import xxhash
-
-    got = list(map(memo.young.get, words))
-    if None in got:
-        for i, x in enumerate(got):
-            if x is None:
-                if (x := memo.get(words[i])) is None:
-                    memo.put(words[i], x := xxhash.xxh64_intdigest(words[i]))
-                got[i] = x
-    return np.array(got, np.uint64)
-
-
 def window_hashes(words, size: int):
     """64-bit hashes of all windows of ``size`` consecutive word hashes."""
     import numpy as np

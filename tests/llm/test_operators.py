@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 from sortlane.llm import embeddings, jaccard, language, packing, piece_codec, quality, secret_scan, substrings  # noqa: E402
