@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 from .components import components
 
-THRESHOLD, NEIGHBOURS, BACKWARD, TREES, BITS, LEAF, ROUNDS, BLOCK = 0.9, 6, 6, 4, 8, 128, 2, 512
+THRESHOLD, NEIGHBOURS, BACKWARD, TREES, LEAF, BLOCK = 0.9, 6, 6, 4, 128, 512
+#: Rounds end when this share of a graph's edges or less is new, or after so many.
+UPDATES, MOST_ROUNDS = 0.05, 8
 AUDIT, AUDIT_BLOCK, GOAL, MOST_SEARCHES, FRUITLESS = 256, 4096, 0.97, 4, 2
 log = logging.getLogger(__name__)
 
@@ -46,27 +48,38 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), v.cast("array<float>").alias("v") if "float" in dict(vectors.dtypes)[vector] else v.cast("array<double>").alias("v"))
 
 
-def _leaves(classes: DataFrame, dims: int, seed: int, k: int) -> DataFrame:
-    """``u, v, sim``: the best ``k`` neighbours (of other components) in blocks of vectors that a random projection brings together."""
-    rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(dims, BITS + 1))
+def bits_for(n: int) -> int:
+    """Signs of a code: about as many codes as blocks of LEAF vectors."""
+    return min(40, max(4, (max(n, 1) // LEAF).bit_length()))
+
+
+def _leaves(classes: DataFrame, dims: int, seed: int, k: int, bits: int) -> DataFrame:
+    """``u, v, sim``: the best ``k`` neighbours (of other components) in blocks of vectors that random
+    projections bring together.  All TREES projections are dealt in one shuffle."""
+    planes = np.random.default_rng(seed).normal(size=(TREES, dims, bits + 1))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                p = _matrix(b.column(1)) @ planes
-                code = ((p[:, :BITS] > 0) << np.arange(BITS)).sum(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(code.astype(np.int64)), pa.array(p[:, BITS])], ["id", "v", "component", "code", "p"])
+            x = _matrix(b.column(1)) if b.num_rows else ()
+            for t in range(TREES if b.num_rows else 0):
+                p = x @ planes[t]
+                code = ((p[:, :bits] > 0) << np.arange(bits, dtype=np.int64)).sum(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t] * b.num_rows, pa.int32()), pa.array(code.astype(np.int64)), pa.array(p[:, bits])], ["id", "v", "component", "tree", "code", "p"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, LEAF):
-                part = b.slice(lo, LEAF)
-                yield _best_of(part.column(0).to_numpy(), _matrix(part.column(1)), part.column(2).to_numpy(), k)
+            tree = b.column(3).to_numpy()
+            ends = [*np.flatnonzero(np.diff(tree)) + 1, len(tree)]
+            for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                for lo in range(start, end, LEAF):
+                    part = b.slice(lo, min(LEAF, end - lo))
+                    if part.num_rows > 1:
+                        yield _best_of(part.column(0).to_numpy(), _matrix(part.column(1)), part.column(2).to_numpy(), k)
 
     kind = dict(classes.dtypes)["v"]
-    placed = classes.select("id", "v", "component").mapInArrow(place, f"id long, v {kind}, component long, code long, p double")
-    return placed.repartitionByRange("code", "p").sortWithinPartitions("code", "p").mapInArrow(best, "u long, v long, sim double")
+    placed = classes.select("id", "v", "component").mapInArrow(place, f"id long, v {kind}, component long, tree int, code long, p double")
+    order = ["tree", "code", "p"]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(best, "u long, v long, sim double")
 
 
 def _best_of(ids: np.ndarray, x: np.ndarray, component: np.ndarray, k: int, least: np.ndarray | None = None) -> pa.RecordBatch:
@@ -84,7 +97,10 @@ def _best_of(ids: np.ndarray, x: np.ndarray, component: np.ndarray, k: int, leas
 
 
 def _kept(offers: DataFrame, k: int) -> DataFrame:
-    one = offers.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    """The best ``k`` offers of each vector; ``old`` tells which were in the graph before."""
+    if "old" not in offers.columns:
+        offers = offers.withColumn("old", F.lit(False))
+    one = offers.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
     return one.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= k).drop("r")
 
 
@@ -231,14 +247,20 @@ def _true_links(classes: DataFrame, chosen: pd.DataFrame, threshold: float) -> i
     return classes.select("id", "v", "weight").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _graph(of: DataFrame, dims: int, seed: int, k: int, offers: DataFrame | None = None, inner: DataFrame | None = None) -> DataFrame:
-    """``u, v, sim``: the best ``k`` of other components after some rounds, from new projections and ``offers``."""
-    for t in range(TREES):
-        new = _leaves(of, dims, seed + t, k)
-        offers = new if offers is None else offers.unionByName(new)
-    graph = staged(_kept(offers, k), "graph")
-    for _ in range(ROUNDS):
-        graph = staged(_kept(graph.unionByName(_round(graph, of, k, inner)), k), "graph")
+def _graph(of: DataFrame, dims: int, bits: int, seed: int, k: int, offers: DataFrame | None = None, inner: DataFrame | None = None) -> DataFrame:
+    """``u, v, sim``: the best ``k`` of other components, from new projections and ``offers``, refined
+    until hardly any edge is new."""
+    new = _leaves(of, dims, seed, k, bits)
+    offers = new if offers is None else offers.unionByName(new)
+    graph = staged(_kept(offers, k).drop("old"), "graph")
+    for _ in range(MOST_ROUNDS):
+        offers = graph.withColumn("old", F.lit(True)).unionByName(_round(graph, of, k, inner).withColumn("old", F.lit(False)))
+        before, now = graph, staged(_kept(offers, k), "graph")
+        fresh = now.agg(F.avg(F.when(F.col("old"), 0.0).otherwise(1.0))).first()[0] or 0.0
+        graph = now.drop("old")
+        dropped(of.sparkSession, before)
+        if fresh <= UPDATES:
+            break
     return graph
 
 
@@ -246,7 +268,7 @@ def _links(graph: DataFrame, threshold: float) -> DataFrame:
     return staged(graph.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
 
 
-def _joined(of: DataFrame, graph: DataFrame, dims: int, seed: int, k: int, threshold: float) -> DataFrame:
+def _joined(of: DataFrame, graph: DataFrame, dims: int, bits: int, seed: int, k: int, threshold: float) -> DataFrame:
     """``node, component`` by the links of ``graph`` and those that its saturated lists have no place for.
 
     Vectors with ``k`` links search outside their component until FRUITLESS searches in a row join nothing.
@@ -257,14 +279,14 @@ def _joined(of: DataFrame, graph: DataFrame, dims: int, seed: int, k: int, thres
     if not full.limit(1).count():
         return comps
     inner = graph.join(full, F.col("u") == F.col("id"), "left_semi").join(full.select(F.col("id").alias("w")), F.col("v") == F.col("w"), "left_semi")
-    seed, fruitless = seed + TREES, 0
+    seed, fruitless = seed + 1, 0
     while fruitless < FRUITLESS:
         outside = staged(of.drop("component").join(full, "id", "left_semi").join(comps, F.col("id") == F.col("node")).drop("node"), "outside")
         if outside.select("component").distinct().limit(2).count() < 2:
             break
-        beyond = _graph(outside, dims, seed, k, inner=inner)
+        beyond = _graph(outside, dims, bits, seed, k, inner=inner)
         more = _links(beyond, threshold)
-        seed += TREES
+        seed += 1
         if more.limit(1).count():
             edges, fruitless = edges.unionByName(more), 0
             comps = staged(components(edges), "components")
@@ -273,12 +295,12 @@ def _joined(of: DataFrame, graph: DataFrame, dims: int, seed: int, k: int, thres
     return comps
 
 
-def _searched(classes: DataFrame, dims: int, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """``node, component`` and ``id, others`` of vectors of one length."""
-    of, graph = classes.withColumn("component", F.col("id")), None
+def _searched(classes: DataFrame, dims: int, n: int, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """``node, component`` and ``id, others`` of the ``n`` vectors of one length."""
+    of, graph, bits = classes.withColumn("component", F.col("id")), None, bits_for(n)
     for search in range(MOST_SEARCHES):
-        graph = _graph(of, dims, 1000 * search, k, graph)
-        comps = _joined(of, graph, dims, 1000 * search, k, threshold)
+        graph = _graph(of, dims, bits, 1000 * search, k, graph)
+        comps = _joined(of, graph, dims, bits, 1000 * search, k, threshold)
         others = staged(_counted(of, comps, threshold), "others")
         recall = audit(of, others, threshold)
         log.info("search %d: audited recall %.4f", search, recall)
@@ -288,29 +310,35 @@ def _searched(classes: DataFrame, dims: int, threshold: float, k: int) -> tuple[
     return exact(classes, F.lit(0), threshold)
 
 
+def vector_key(v: str) -> Column:
+    """160 bits that stand for a vector."""
+    return F.struct(F.xxhash64(v), F.xxhash64(F.reverse(v)), F.hash(v))
+
+
 def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
     """``key, n_links, component_id, kept`` of every row.
 
     Null and zero vectors, such with null or non-finite numbers and rows with a null
     key link with nothing.  Only vectors of equal length link; each length has a search of
     its own, but lengths of at most BLOCK different vectors, save the most frequent one, are
-    compared whole.  Equal vectors link.
+    compared whole.  Equal vectors link.  Ties in similarity go to the smaller id and change no
+    result; of repeated keys one row's vector counts for all; other columns are not looked at.
     """
     every = usable(vectors, key, vector)
-    hashed = every.withColumn("h", F.xxhash64("v"))
+    hashed = every.withColumn("h", vector_key("v"))
     classes = staged(hashed.groupBy("h").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("weight")), "classes")
     size = F.size("v")
     lengths = staged(classes.groupBy(size.alias("d")).count(), "lengths")
-    first = [r.d for r in lengths.orderBy(F.desc("count"), "d").limit(1).collect()]
-    large = first + [r.d for r in lengths.where((F.col("count") > BLOCK) & ~F.col("d").isin(first)).collect()]
-    found = [_searched(classes.where(size == d), d, threshold, k) for d in large]
-    if not large or lengths.where((F.col("count") > 1) & ~F.col("d").isin(large)).limit(1).count():
-        found.append(exact(classes.where(~size.isin(large)), size, threshold))
+    first = {r.d: r["count"] for r in lengths.orderBy(F.desc("count"), "d").limit(1).collect()}
+    large = first | {r.d: r["count"] for r in lengths.where((F.col("count") > BLOCK) & ~F.col("d").isin(*first)).collect()}
+    found = [_searched(classes.where(size == d), d, n, threshold, k) for d, n in large.items()]
+    if not large or lengths.where((F.col("count") > 1) & ~F.col("d").isin(*large)).limit(1).count():
+        found.append(exact(classes.where(~size.isin(*large)), size, threshold))
     comps, others = (reduce(DataFrame.unionByName, x) for x in zip(*found, strict=True))
     named = classes.join(comps, F.col("id") == F.col("node"), "left").join(others, "id", "left")
     table = staged(named.select("h", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named")
     base = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
-    fine = usable(base, "key", "v").select("id", F.xxhash64("v").alias("h"))
+    fine = usable(base, "key", "v").select("id", vector_key("v").alias("h"))
     linked = staged(fine, "hashed").join(table, "h").select("id", "n_links", "component_id").dropDuplicates(["id"])
     rows = base.select("key").join(linked, F.col("key") == F.col("id"), "left")
     out = rows.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("key").cast("long")).alias("component_id"))
