@@ -20,10 +20,15 @@ RANGE_BYTES = 4 << 20
 LOW = np.uint64(32)
 
 
-def ranges_for(docs: DataFrame, text: str = "text", size: int | None = None) -> int:
-    """Number of ranges (of ``size`` bytes of text each) for a corpus."""
+def ranges_for(docs: DataFrame, text: str = "text") -> int:
+    """Number of ranges for a corpus: one for RANGE_BYTES of text, but one a shuffle partition at least."""
+    return max(parts_for(docs, RANGE_BYTES, text), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def parts_for(docs: DataFrame, size: int, text: str = "text") -> int:
+    """Number of parts of about ``size`` bytes of text each."""
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, -(-n_bytes // (size or RANGE_BYTES)))
+    return max(1, -(-n_bytes // size))
 
 
 def placed(h: np.ndarray, ranges: int) -> np.ndarray:

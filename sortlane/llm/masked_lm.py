@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, no_cycle_collection, staged
-from .dealing import ranges_for
+from .dealing import parts_for
 
 GROUPS, SIDE, DIMS, TAIL = 64, 2, 16, 64
 WORDS = GROUPS * GROUPS
 KNOWN = WORDS - TAIL
 EDGE = WORDS  # the id of places outside the text
 #: Training: rounds of averaging, rate, words a step, shards summed at once, weights a block.
-ROUNDS, RATE, STEP, FAN, BLOCK = 1, 0.03, 4096, 64, 1 << 14
+ROUNDS, RATE, STEP, FAN, BLOCK = 1, 0.08, 1 << 14, 64, 1 << 14
 SHAPES = {"embed": (2 * SIDE, WORDS + 1, DIMS), "hidden": (DIMS, DIMS), "group": (GROUPS, DIMS), "word": (WORDS, DIMS), "bias": (WORDS + GROUPS,)}
 #: Bytes of text of a shard.
 SHARD_BYTES = 16 << 20
@@ -44,8 +45,10 @@ MOST_STEP = np.float32(0.25)
 class Vocabulary(dict):
     """Ids of known words; any other word (in UTF-8) gets the class of its length."""
 
-    def __missing__(self, word: bytes) -> int:
-        return KNOWN + min(len(word), TAIL) - 1
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
+        length = np.fromiter(map(len, words), np.int32, len(words))
+        return np.where(found < 0, KNOWN + np.minimum(length, TAIL) - 1, found)
 
 
 @dataclass
@@ -69,17 +72,19 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def contexts(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words, and those of the neighbours of each: two before, two behind."""
-    gap = np.full(SIDE, EDGE, np.int64)
-    padded = np.concatenate([gap, *(y for x in each for y in (x, gap))])
-    at = np.flatnonzero(padded != EDGE)
-    return padded[at], np.stack([padded[at + d] for d in range(-SIDE, SIDE + 1) if d])
+def contexts(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of the words of some texts, one after the other, the ids of the neighbours of each: two before, two behind."""
+    at = np.arange(len(ids)) + np.repeat(SIDE * np.arange(1, len(count) + 1), count)  # a gap of SIDE places before each text
+    padded = np.full(len(ids) + SIDE * (len(count) + 1), EDGE, np.int32)
+    padded[at] = ids
+    return np.stack([padded[at + d] for d in range(-SIDE, SIDE + 1) if d])
 
 
-def ids_of(texts: list[bytes | None], vocabulary: Vocabulary) -> list[np.ndarray]:
+def ids_of(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words of the texts, and the number of words of each text."""
     with no_cycle_collection():
-        return [np.fromiter(map(vocabulary.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
+        each = list(map(words_of, texts))
+        return vocabulary.ids(list(chain.from_iterable(each))), np.array(list(map(len, each)), np.int64)
 
 
 def _exp(logits: np.ndarray) -> np.ndarray:
@@ -152,7 +157,8 @@ def improve(w: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray, rate:
     """One step of gradient descent on a batch."""
     scale = np.float32(rate / np.sqrt(len(ids)))
     for name, at, values in gradients(w, ids, around):
-        w[name][at] -= np.clip(scale * values, -MOST_STEP, MOST_STEP)
+        values *= scale
+        w[name][at] -= np.clip(values, -MOST_STEP, MOST_STEP, out=values)
 
 
 def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -202,8 +208,9 @@ def _learner(shared, known):
     def learn(group: pa.Table) -> pa.Table:
         own, seen, rng = _shaped(shared.value.copy()), 0, np.random.default_rng(0)
         texts = group.sort_by([("o", "ascending"), ("text", "ascending")]).column("text").cast(pa.large_binary())
-        for lo in range(0, len(texts), 128):
-            ids, around = contexts(ids_of(texts.slice(lo, 128).to_pylist(), known.value))
+        for lo in range(0, len(texts), 256):
+            ids, count = ids_of(texts.slice(lo, 256).to_pylist(), known.value)
+            around = contexts(ids, count)
             order = rng.permutation(len(ids))
             for i in range(0, len(ids), STEP):
                 at = order[i : i + STEP]
@@ -232,7 +239,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     whole, other columns are not looked at; without words the start weights come back.
     """
     words, context = docs.where(F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("o"), F.col(text).alias("text")), docs.sparkSession.sparkContext
-    shards = ranges_for(words, size=SHARD_BYTES)
+    shards = parts_for(words, SHARD_BYTES)
     vocabulary, counts = count_words(words)
     model = Model(vocabulary, start(counts))
     known = context.broadcast(model.vocabulary)  # KNOWN words
@@ -264,9 +271,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 b = batch.slice(lo, 64)
-                each = ids_of(b.column(1).cast(pa.binary()).to_pylist(), known.value)
-                n = np.array(list(map(len, each)))
-                ids, around = contexts(each)
+                ids, n = ids_of(b.column(1).cast(pa.binary()).to_pylist(), known.value)
+                around = contexts(ids, n)
                 p = np.concatenate([log_probabilities(w, ids[i : i + 20_000], around[:, i : i + 20_000]) for i in range(0, len(ids), 20_000)] or [np.zeros(0)])
                 total = np.bincount(np.repeat(np.arange(len(n)), n), p, len(n)).astype(np.float64)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)

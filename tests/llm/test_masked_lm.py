@@ -61,7 +61,10 @@ def test_query_equals_brute_force(spark):
 def test_gradients_equal_differences():
     rng = np.random.default_rng(1)
     w = {k: v.astype(np.float64) for k, v in m.start(rng.integers(0, 50, m.WORDS)).items()}
-    ids, around = m.contexts([np.array([5, 70, 71, 5, m.KNOWN + 3]), np.array([9]), np.array([70, 70])])
+    ids = np.array([5, 70, 71, 5, m.KNOWN + 3, 9, 70, 70])
+    around = m.contexts(ids, np.array([5, 0, 1, 2]))
+    edge = m.EDGE
+    assert around.T.tolist()[4:7] == [[71, 5, edge, edge], [edge, edge, edge, edge], [edge, edge, 70, edge]]
     loss = lambda: -m.log_probabilities(w, ids, around).sum()
     total = {k: np.zeros_like(v) for k, v in w.items()}
     for name, at, values in m.gradients(w, ids, around):
