@@ -141,7 +141,11 @@ class LanguageModel:
 
 
 def letters(text: str | None) -> list[str]:
-    return [w for w in WORD.findall(text.lower()) if w.isascii() or any(map(str.isalpha, w))] if text else []
+    if not text:
+        return []
+    low = text.lower()
+    words = WORD.findall(low)
+    return words if low.isascii() else [w for w in words if w.isascii() or any(map(str.isalpha, w))]
 
 
 def parts(word: str) -> list[str]:
