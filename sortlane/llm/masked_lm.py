@@ -183,7 +183,7 @@ def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.nda
         for b in batches:
             for x in b.column(0).cast(pa.binary()).to_pylist():
                 seen.update(words_of(x))
-            if len(seen) > 200_000:
+            if len(seen) > 400_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
                 seen = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
@@ -269,11 +269,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _shaped(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                b = batch.slice(lo, 64)
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
                 ids, n = ids_of(b.column(1).cast(pa.binary()).to_pylist(), known.value)
                 around = contexts(ids, n)
-                p = np.concatenate([log_probabilities(w, ids[i : i + 20_000], around[:, i : i + 20_000]) for i in range(0, len(ids), 20_000)] or [np.zeros(0)])
+                p = np.concatenate([log_probabilities(w, ids[i : i + 32_768], around[:, i : i + 32_768]) for i in range(0, len(ids), 32_768)] or [np.zeros(0)])
                 total = np.bincount(np.repeat(np.arange(len(n)), n), p, len(n)).astype(np.float64)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total), mean], ["key", "n_words", "log_prob", "mean_log_prob"])
