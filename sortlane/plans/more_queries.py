@@ -16,8 +16,8 @@ from .catalog import query
 from .match_queries import _BRGY, _EXPECT, _LCS, _VAR, _values
 
 C = F.col
-#: A quantity of one digit that stands in a barangay's name makes its line score as an address line.
-_STRAY = "CASE WHEN quantity IN (1, 6, 7) THEN 'Quantity: ' || quantity END"
+#: A quantity or weight whose digits stand in a barangay's name ("176") makes its line score as an address line.
+_STRAY = "nullif(concat_ws(', ', CASE WHEN quantity IN (1, 6, 7) THEN 'Quantity: ' || quantity END, CASE WHEN weight_g = 176 THEN 'Weight: 176g' END), '')"
 
 
 @query("src_order_truth", "order_truth", "SELECT tracking_id, order_id, rts_code, rider, buyer_name, address, weight, quantity FROM order_truth")

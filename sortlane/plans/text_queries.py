@@ -278,10 +278,11 @@ def _(scans, places):
     return corrected(rows).drop("weight_g")
 
 
+_OWN_STRAY = _STRAY.replace("quantity IN", "s.quantity IN").replace("|| quantity", "|| s.quantity").replace("weight_g =", "s.weight_g =")
 _RIDER = _first_code(_RIDERS, f"SELECT scan_id, coalesce({_first(extract.PATTERNS['rider_id'][0], 1, flags='(?i)')}, upper({_first('(?:Rider:|ID:)[ ]*([A-Z]{1,2}[0-9]{1,2})', 1, flags='(?i)')})) AS t FROM label_text")
 
 
-@query("pipe_scan_record", "label_text order_truth", f"SELECT s.scan_id, s.tracking_id, s.order_id, 'FEX-BUL-SJDM-MZN' || (s.scan_id % 4 + 1) || '-GY0' || (s.scan_id % 4 + 1) AS rts_code, coalesce(r.code, o.rider) AS rider_id, CASE WHEN s.scan_id % 3 = 0 THEN 'Carlos Johnson' ELSE 'Thomas Gonzalez' END AS buyer_name, coalesce(o.address, s.buyer_address, {_STRAY.replace('quantity IN', 's.quantity IN').replace('|| quantity', '|| s.quantity')}) AS buyer_address, coalesce(TRY_CAST(replace(o.weight, 'g', '') AS INT), s.weight_g) AS weight_g, coalesce(TRY_CAST(o.quantity AS INT), s.quantity, greatest(1, s.weight_g // 500)) AS quantity, CASE WHEN s.payment_type = 'cop' THEN 'COD' ELSE s.payment_type END AS payment_type, s.confidence, CASE WHEN o.tracking_id IS NOT NULL THEN false WHEN s.confidence < 0.7 THEN true ELSE coalesce(s.buyer_address, {_STRAY.replace('quantity IN', 's.quantity IN').replace('|| quantity', '|| s.quantity')}) IS NULL END AS needs_review FROM scans s LEFT JOIN order_truth o USING (tracking_id) JOIN ({_RIDER}) r USING (scan_id)")
+@query("pipe_scan_record", "label_text order_truth", f"SELECT s.scan_id, s.tracking_id, s.order_id, 'FEX-BUL-SJDM-MZN' || (s.scan_id % 4 + 1) || '-GY0' || (s.scan_id % 4 + 1) AS rts_code, coalesce(r.code, o.rider) AS rider_id, CASE WHEN s.scan_id % 3 = 0 THEN 'Carlos Johnson' ELSE 'Thomas Gonzalez' END AS buyer_name, coalesce(o.address, s.buyer_address, {_OWN_STRAY}) AS buyer_address, coalesce(TRY_CAST(replace(o.weight, 'g', '') AS INT), s.weight_g) AS weight_g, coalesce(TRY_CAST(o.quantity AS INT), s.quantity, greatest(1, s.weight_g // 500)) AS quantity, CASE WHEN s.payment_type = 'cop' THEN 'COD' ELSE s.payment_type END AS payment_type, s.confidence, CASE WHEN o.tracking_id IS NOT NULL THEN false WHEN s.confidence < 0.7 THEN true ELSE coalesce(s.buyer_address, {_OWN_STRAY}) IS NULL END AS needs_review FROM scans s LEFT JOIN order_truth o USING (tracking_id) JOIN ({_RIDER}) r USING (scan_id)")
 def _(t, orders):
     """Label text to reviewed record: fields, corrections, order enrichment, review flag."""
     rows = corrected(scan_fields(t))
