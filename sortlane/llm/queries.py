@@ -189,3 +189,13 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, e.b FROM reach r JOIN l
 SELECT m.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(least(m.vec_id, coalesce(c, m.vec_id)) AS BIGINT) AS component_id, m.vec_id = least(m.vec_id, coalesce(c, m.vec_id)) AS kept
 FROM embeddings m LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = m.vec_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = m.vec_id
 """
+
+
+def op11_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    rows = shard(table(spark, sf_dir, "documents"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+QUERIES["op11_virtual_slots"] = op11_virtual_slots

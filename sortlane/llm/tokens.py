@@ -31,6 +31,10 @@ import pyarrow as pa
 #: this byte behind the word stands for it.  Text that holds it is not ordinary.
 END = "\0"
 _ORDINARY = re.compile(r"[\t-\r -~¡-įı-ſ‐-‧€]*")
+#: The pattern below steps back through a run of white space, up to a limit of its engine of a million;
+#: a text with a run this long runs through the library, which has no such limit.
+LONG_SPACE = 100_000
+_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")
 #: Fixed value: where a byte-level pre-tokeniser cuts.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False}
@@ -109,6 +113,8 @@ class Encoder:
     def ordinary(self, text: str) -> bool:
         if self.table is None or END in text or (self.special and self.special.search(text)):
             return False
+        if len(text) >= LONG_SPACE and _SPACE.search(text):
+            return False
         return text.isascii() or _ORDINARY.fullmatch(text) is not None
 
     def encode(self, text: str) -> np.ndarray:

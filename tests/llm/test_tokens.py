@@ -32,7 +32,7 @@ def random_texts(n):
 def docs(spark):
     rng = random.Random(5)
     prose = ["".join(rng.choice("aeioukst  .,") for _ in range(rng.randint(2, 900))) for _ in range(40)]
-    rows = [(i, t, "x", 1, "p") for i, t in enumerate(ODD + prose + ["so long " * 9000])]
+    rows = [(i, t, "x", 1, "p") for i, t in enumerate(ODD + prose + ["so long " * 9000, "blank" + " " * 1_000_000 + "text", "lines" + "\n" * 1_000_000 + "text"])]
     rows += [(900, None, None, None, None), (None, "no id here at all", "x", 2, "p"), rows[1], (1, "another text of the same id", None, None, None)]
     return spark.createDataFrame(rows, COLUMNS).repartition(3).cache()
 
@@ -45,6 +45,13 @@ def test_encoder_equals_the_library(name):
         assert e.encode(x).tolist() == want(x), x
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\t \n"])
+def test_white_space_of_any_length(run):
+    e, want = tokens.Encoder(P.path("byte_bpe_50k.json")), fresh("byte_bpe_50k.json")
+    for x in ("a" + run * (1_200_000 // len(run)) + "b", "a" + run * (tokens.LONG_SPACE // len(run) - 1) + "b c"):
+        assert e.encode(x).tolist() == want(x)
+
+
 def test_every_token_ends_as_itself():
     ranks = {("a", "b"): 0, ("b", "c"): 1, ("ab", "c"): 2, ("a", "bc"): 3}
     assert tokens._ends_as_itself(["a", "b", "c"], "abc", ranks)
