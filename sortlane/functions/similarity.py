@@ -2,8 +2,8 @@
 
 ``ratio`` is 200 times the longest common subsequence over the sum of the lengths.  The subsequence
 is counted bit-parallel in one fold: each dictionary word carries a map from
-character to the bits of its places (``masks``), so a pair costs one step for each
-character of the other string.  Words have 61 characters at most.
+character to the bits of its places (``masks``), BITS places a number, so a pair costs one step for each
+character of the other string and number of the word.  Strings may have any length.
 """
 
 from __future__ import annotations
@@ -18,22 +18,55 @@ def characters(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
+#: Places in a number: two of them and a carry still fit in 63 bits.
+BITS = 62
+
+
+def _power(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+
+
+def _numbers(length: Column) -> Column:
+    """0, 1, ... for each number that ``length`` places take, 0 at least."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(length / BITS).cast("int") - 1, F.lit(0)))
+
+
 def masks(word: Column) -> Column:
-    """Character -> bits of its places in the word."""
-    chars = characters(word)
-    bits = lambda c: F.aggregate(F.transform(chars, lambda d, i: F.when(d == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, bits(c))))
+    """Character -> bits of its places in the word, as an array of numbers."""
+    chars, none = characters(word), F.lit(0).cast("long")
+    bits = lambda c, k: F.aggregate(F.transform(F.slice(chars, k * BITS + 1, BITS), lambda d, i: F.when(d == c, _power(i)).otherwise(none)), none, lambda a, b: a.bitwiseOR(b))
+    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.transform(_numbers(F.size(chars)), lambda k: bits(c, k)))))
 
 
 def common_length(text: Column, mask: Column, length: Column) -> Column:
     """Length of the longest common subsequence of ``text`` and the word behind ``mask``."""
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), length.cast("int")) - 1
+    none = F.lit(0).cast("long")
 
     def step(s, c):
-        u = s.bitwiseAND(F.coalesce(F.try_element_at(mask, c), F.lit(0).cast("long")))
+        u = s.bitwiseAND(F.coalesce(F.get(F.try_element_at(mask, c), F.lit(0)), none))
         return (s + u).bitwiseOR(s - u).bitwiseAND(full)
 
-    return F.bit_count(full) - F.bit_count(F.aggregate(characters(text), full, step))
+    full = _power(length) - 1
+    short = F.bit_count(full) - F.bit_count(F.aggregate(characters(text), full, step))
+
+    # longer words: one number after the other, with the carry of the addition
+    wide = F.transform(_numbers(length), lambda k: _power(F.least(F.lit(BITS), length - k * BITS)) - 1)
+
+    def add(s, m):
+        def one(acc, k):
+            own = F.get(s, k)
+            u = own.bitwiseAND(F.get(m, k))
+            total = own + u + acc["carry"]
+            return F.struct(F.shiftright(total, BITS).alias("carry"), F.array_append(acc["out"], total.bitwiseOR(own - u).bitwiseAND(F.get(wide, k))).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), F.struct(none.alias("carry"), F.array().cast("array<long>").alias("out")), one)["out"]
+
+    def wide_step(s, c):
+        m = F.try_element_at(mask, c)
+        return F.when(m.isNull(), s).otherwise(add(s, m))
+
+    left = F.aggregate(F.aggregate(characters(text), wide, wide_step), F.lit(0), lambda n, x: n + F.bit_count(x))
+    return F.when(length <= BITS, short).otherwise(length - left)
 
 
 def ratio(text: Column, word: Column, mask: Column | None = None) -> Column:
