@@ -81,7 +81,7 @@ def may_reach(text: Column, word: Column, least: float) -> Column:
     bounds by the lengths, and by the edit distance, which insertions and deletions bound."""
     a, b = F.length(text), F.length(word)
     share = least / (200 - least)
-    return (F.least(a, b) >= share * F.greatest(a, b)) & (F.levenshtein(text, word) <= F.floor((1 - least / 100) * (a + b)))
+    return (F.least(a, b) >= share * F.greatest(a, b) - 1e-9) & (F.levenshtein(text, word) <= F.floor((100 - least) * (a + b) / 100 + 1e-9))
 
 
 def partial_ratio(text: Column, word: Column) -> Column:
