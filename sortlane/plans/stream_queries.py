@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import lidar
 from ..operators.enrich import enriched
 from ..sources.files import write_json
-from ..streaming import jobs
+from ..streaming import event_time, jobs
 from ..views import sql, view
 from .catalog import QUERIES, SQL
 from .lidar_queries import _minima, _quoted
@@ -36,16 +36,21 @@ def _(spark, d):
     return jobs.run(jobs.points(jobs.stream_view(spark, d, "lidar_points")), "append").select("point_id", F.round("angle", 6).alias("angle"), "x", "obstacle")
 
 
-@stream_query("st_scan_sectors", "lidar_points", _quoted(_minima("(SELECT *, date_trunc('day', ts) AS day FROM lidar_points)", "day, robot_id")))
+@stream_query("st_scan_sectors", "lidar_points", _quoted(_minima("lidar_points")))
 def _(spark, d):
-    rows = jobs.newest(jobs.run(jobs.sectors(jobs.stream_view(spark, d, "lidar_points")), "update"), "window", "robot_id")
-    return rows.select(C("window.start").cast(NTZ).alias("day"), "robot_id", *lidar.SECTORS)
+    """The sectors of each scan, given out once when the watermark has passed its end."""
+    points = jobs.replayed(view(spark, d, "lidar_points").select("scan_id", "point_id", "ts", "angle", "distance"), key="point_id")
+    return jobs.run(jobs.scan_sectors(points), "append").select("scan_id", *lidar.SECTORS)
 
 
-@stream_query("st_daily_stats", "lidar_points", "SELECT date_trunc('day', ts) AS day, count(*) AS n, round(avg(quality), 6) AS quality FROM lidar_points GROUP BY 1")
+@stream_query("st_daily_stats", "scans", None)
 def _(spark, d):
-    rows = jobs.newest(jobs.run(jobs.daily(jobs.stream_view(spark, d, "lidar_points")), "update"), "window")
-    return rows.select(C("window.start").cast(NTZ).alias("day"), "n", F.round("quality", 6).alias("quality"))
+    """Daily statistics of scans as they come in, with sketches of distinct parcels and riders."""
+    scans = view(spark, d, "scans").select("scan_id", "ts", "confidence", "processing_time_ms", "tracking_id", "rider_id")
+    return jobs.daily(jobs.replayed(scans, key="scan_id", end=False))
+
+
+SQL["st_daily_stats"] = SQL["agg_daily_stats"]
 
 
 @stream_query("st_latest_state", "status_updates", "SELECT robot_id, event_id, ts AS updated_at FROM status_updates QUALIFY row_number() OVER (PARTITION BY robot_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -59,9 +64,14 @@ def _(spark, d):
     return jobs.run(jobs.errors(jobs.stream_view(spark, d, "status_updates")), "append").drop("batch")
 
 
+def _frames(spark, d):
+    """Frames that arrive up to two hours late, in four micro-batches."""
+    return jobs.replayed(view(spark, d, "frames").select("robot_id", "event_id", "ts", "outcome"))
+
+
 @stream_query("st_debounce", "frames", None)
 def _(spark, d):
-    return jobs.run(jobs.debounced(jobs.stream_view(spark, d, "frames").select("robot_id", "event_id", "ts", "outcome")), "append").select("event_id", "robot_id", "streak")
+    return jobs.run(event_time.debounced(_frames(spark, d)), "append", jobs.ROCKS).select("event_id", "robot_id", "streak")
 
 
 SQL["st_debounce"] = SQL["win_debounce"]
@@ -69,8 +79,8 @@ SQL["st_debounce"] = SQL["win_debounce"]
 
 @stream_query("st_cooldown", "frames", None)
 def _(spark, d):
-    hits = jobs.stream_view(spark, d, "frames").where("outcome = 'hit'").select("robot_id", "ts")
-    return jobs.run(jobs.cooled_down(hits, 7200), "append").select("robot_id", C("ts").cast(NTZ).alias("ts"))
+    hits = _frames(spark, d).where("outcome = 'hit' or robot_id is null")
+    return jobs.run(event_time.cooled_down(hits, 7200), "append", jobs.ROCKS).select("robot_id", C("ts").cast(NTZ).alias("ts"))
 
 
 SQL["st_cooldown"] = sql("frames", _greedy("SELECT * FROM frames WHERE outcome = 'hit'"))
@@ -78,18 +88,21 @@ SQL["st_cooldown"] = sql("frames", _greedy("SELECT * FROM frames WHERE outcome =
 
 @stream_query("st_heartbeat_sessions", "commands", None)
 def _(spark, d):
-    rows = jobs.run(jobs.heartbeat_sessions(jobs.stream_view(spark, d, "commands"), "1 hour", "1 hour"), "complete")
-    return rows.select("robot_id", C("session_window.start").cast(NTZ).alias("start_ts"), "n")
+    commands = jobs.replayed(view(spark, d, "commands").select("robot_id", "event_id", "ts"))
+    rows = jobs.run(jobs.heartbeat_sessions(commands, 3600, "3 hours"), "append")
+    return rows.select("robot_id", C("start_ts").cast(NTZ).alias("start_ts"), C("end_ts").cast(NTZ).alias("end_ts"), "n")
 
 
-#: A session window ends a session at a gap of the whole hour; the batch rule only beyond it.
-SQL["st_heartbeat_sessions"] = "SELECT robot_id, start_ts, n FROM (" + SQL["win_heartbeat_sessions"].replace("<= 3600", "< 3600") + ")"
+SQL["st_heartbeat_sessions"] = SQL["win_heartbeat_sessions"]
 
 
-@stream_query("st_dedup_scans", "lidar_points", "SELECT scan_id, count(*) AS n FROM (SELECT DISTINCT scan_id FROM lidar_points) GROUP BY scan_id")
+@stream_query("st_dedup_scans", "lidar_points", "SELECT point_id, quality FROM lidar_points")
 def _(spark, d):
-    rows = jobs.run(jobs.unique(jobs.stream_view(spark, d, "lidar_points"), "scan_id"), "append")
-    return rows.groupBy("scan_id").agg(F.count("*").alias("n"))
+    """Every point comes again after eleven days with another value; the first stays."""
+    points = view(spark, d, "lidar_points").select("point_id", C("ts").cast("timestamp").alias("ts"), "quality")
+    again = points.select("point_id", (C("ts") + F.expr("INTERVAL 11 DAYS")).alias("ts"), (C("quality") + 1000).alias("quality"))
+    stream = jobs.replayed(points.unionByName(again), key="point_id", end=False)
+    return jobs.run(jobs.unique(stream, "point_id"), "append").select("point_id", "quality")
 
 
 @stream_query("st_enrich_orders", "scans order_truth", "SELECT s.scan_id, coalesce(o.address, s.buyer_address) AS buyer_address, o.tracking_id IS NOT NULL AS order_found FROM scans s LEFT JOIN order_truth o USING (tracking_id)")
@@ -125,12 +138,12 @@ def _(spark, d):
 @stream_query("cb_detection", "frames", None)
 def _(spark, d):
     folder = jobs.work_folder(spark)
-    fired = jobs.debounced(jobs.stream_view(spark, d, "frames").select("robot_id", "event_id", "ts", "outcome"))
+    fired = event_time.debounced(_frames(spark, d))
 
     def captured(rows, batch):
         write_json(rows.select("robot_id", F.concat(F.lit("auto_"), C("event_id").cast("string"), F.lit(".jpg")).alias("file")), f"{folder}/batch={batch}")
 
-    jobs.with_callbacks(fired, [captured])
+    jobs.with_callbacks(fired, [captured], jobs.ROCKS)
     return spark.read.schema("robot_id long, file string").json(folder).select("robot_id", "file")
 
 
