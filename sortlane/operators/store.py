@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versioned import VersionedTable
+from .selection import at_places
+
 RECENT = ("scan_id", "tracking_id", "ts", "confidence", "engine")
 DETAIL = ("scan_id", "tracking_id", "order_id", "rider_id", "buyer_name", "buyer_address", "weight_g", "quantity", "payment_type", "confidence", "engine")
 
@@ -55,10 +58,6 @@ def recent(scans: DataFrame, limit: int = 50) -> DataFrame:
     return scans.orderBy(F.desc("ts"), F.desc("scan_id")).limit(max(1, min(1000, limit))).select(*RECENT)
 
 
-def page(df: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(limit)
-
-
 def page_counts(df: DataFrame, condition: Column) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if(condition).alias("filtered"))
 
@@ -101,18 +100,12 @@ def accepted(new: DataFrame, stored: DataFrame, key: str, now: Column | None = N
     return rows.withColumn("__nth", nth).withColumn("reason", reason).drop("__k", "__known", "__nth")
 
 
-def append(new: DataFrame, path: str, log: str, key: str, now: Column | None = None) -> DataFrame:
-    """Append to the table at ``path`` the new rows that ``accepted`` lets pass; returns the rejected ones.
+def append(new: DataFrame, table: VersionedTable, batch: str, key: str, now: Column | None = None) -> DataFrame:
+    """Append the new rows that ``accepted`` lets pass, all of them or none; returns the rejected ones.
 
-    All new rows are written to ``log`` with their reason first, so that a second look at them
-    does not meet the rows just appended.
+    A batch that is run again changes nothing, and of two writers that bring the same key one is rejected.
     """
-    spark = new.sparkSession
-    judged = accepted(new, spark.read.parquet(path), key, now)
-    judged.write.parquet(log)
-    judged = spark.read.schema(judged.schema).parquet(log)
-    judged.where("reason IS NULL").drop("reason").write.mode("append").parquet(path)
-    return judged.where("reason IS NOT NULL")
+    return table.append(new, batch, lambda rows, stored: accepted(rows, stored, key, now))
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -159,21 +152,14 @@ def latency_profile(df: DataFrame, group: str, value: str) -> DataFrame:
 def latency_report(df: DataFrame, group: str, value: str, target: float = 200.0) -> DataFrame:
     """Mean, median, 95th percentile (the sorted value at place ``int(0.95 n)``), extremes and verdict.
 
-    Equal values are counted first, with partial sums, so a group is ordered by its distinct
-    values only.
+    Places are found by ``selection.at_places``, so a group may have any number of values.
     """
-    v = F.col(value)
-    counts = df.where(v.isNotNull()).groupBy(group, v.alias("v")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(group)
-    placed = counts.withColumns({"end": F.sum("k").over(w.orderBy("v")), "n": F.sum("k").over(w)})
-    at = lambda i: F.min(F.when(F.col("end") > i, F.col("v")))  # noqa: E731  the sorted value at a place
-    n = F.col("n")
-    out = placed.groupBy(group).agg(
-        F.sum("k").alias("n"), F.round(F.sum(F.col("v") * F.col("k")) / F.sum("k"), 6).alias("mean"),
-        F.round((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 6).alias("median"),
-        at(F.floor(n * F.lit(0.95))).alias("p95"), F.min("v").alias("min"), F.max("v").alias("max"),
-    )
-    return out.withColumn("verdict", F.when(F.col("p95") < target, "PASS").otherwise("FAIL"))
+    places = lambda n: {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "p95": F.floor(n * F.lit(0.95))}
+    found = at_places(df, group, value, places).withColumnRenamed(group, "__g")
+    figures = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = figures.join(found, F.col(group).eqNullSafe(F.col("__g")))
+    verdict = F.when(F.col("p95") < target, "PASS").otherwise("FAIL").alias("verdict")
+    return out.select(group, "n", "mean", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), "p95", "min", "max", verdict)
 
 
 def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

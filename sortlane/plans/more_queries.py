@@ -11,7 +11,7 @@ from ..operators import extract, match
 from ..sources import dictionaries as dic
 from ..sources import files
 from ..sources.generator import labels
-from ..streaming.jobs import work_folder
+from ..sources.files import work_folder
 from .catalog import query
 from .match_queries import _BRGY, _EXPECT, _LCS, _VAR, _values
 

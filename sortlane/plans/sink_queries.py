@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import lidar, store
 from ..sources import files
-from ..streaming.jobs import work_folder
+from ..sources.files import work_folder
+from ..sources.versioned import VersionedTable
 from .catalog import query
 
 C = F.col
@@ -18,9 +19,10 @@ def _(scans):
     """A stored table, and every scan offered again, most of them under a new id."""
     folder = work_folder(scans.sparkSession)
     new = scans.select(F.when(C("scan_id") % 3 == 0, C("scan_id")).otherwise(C("scan_id") + 100000000).alias("scan_id"), F.when(C("scan_id") % 10 == 0, C("confidence") + 1).otherwise(C("confidence")).alias("confidence"), "weight_g", "quantity", "processing_time_ms", F.when(C("scan_id") % 4 != 0, C("ts")).alias("ts"))
-    files.written(scans.select(new.columns), f"{folder}/scans")
-    rejected = store.append(new, f"{folder}/scans", f"{folder}/log", "scan_id", F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00")))
-    stored = scans.sparkSession.read.schema(new.schema).parquet(f"{folder}/scans").withColumn("outcome", F.lit("stored"))
+    table = VersionedTable(scans.sparkSession, folder, new.schema)
+    table.replace(lambda _: scans.select(new.columns), "first")
+    rejected = store.append(new, table, "again", "scan_id", F.to_timestamp_ntz(F.lit("2026-01-01 00:00:00")))
+    stored = table.rows().withColumn("outcome", F.lit("stored"))
     return stored.select("scan_id", "ts", "outcome").unionByName(rejected.select("scan_id", "ts", C("reason").alias("outcome")))
 
 
@@ -30,19 +32,21 @@ def _(scans):
     folder, name = work_folder(scans.sparkSession), F.concat("engine", "rider_id")
     sessions = scans.groupBy("engine", "rider_id").agg(F.min("ts").alias("start_ts")).select(name.alias("session_name"), "start_ts", F.concat(F.lit("sessions/"), name, F.lit("/")).alias("path"), "rider_id")
     new = sessions.drop("rider_id")
-    files.written(sessions.where("rider_id < 'GY10'").drop("rider_id"), f"{folder}/sessions")
-    rejected = store.append(new, f"{folder}/sessions", f"{folder}/log", "session_name")
-    stored = scans.sparkSession.read.schema(new.schema).parquet(f"{folder}/sessions").withColumn("outcome", F.lit("stored"))
+    table = VersionedTable(scans.sparkSession, folder, new.schema)
+    table.replace(lambda _: sessions.where("rider_id < 'GY10'").drop("rider_id"), "first")
+    rejected = store.append(new, table, "again", "session_name")
+    stored = table.rows().withColumn("outcome", F.lit("stored"))
     return stored.unionByName(rejected.withColumnRenamed("reason", "outcome"))
 
 
 @query("sink_upsert_label", "label_results", "SELECT id, image_name, status FROM label_results QUALIFY row_number() OVER (PARTITION BY image_name ORDER BY id DESC) = 1")
 def _(r):
     """A new version of the table, merged from the old version's files and new rows."""
-    folder = work_folder(r.sparkSession)
     rows = r.select("id", "image_name", "status")
-    old = files.written(rows.where("id % 2 = 0"), f"{folder}/version=1")
-    return files.written(store.upserted(old, rows.where("id % 2 = 1"), "image_name", "id"), f"{folder}/version=2")
+    table = VersionedTable(r.sparkSession, work_folder(r.sparkSession), rows.schema)
+    table.replace(lambda _: rows.where("id % 2 = 0"), "even")
+    table.replace(lambda stored: store.upserted(stored, rows.where("id % 2 = 1"), "image_name", "id"), "odd")
+    return table.rows()
 
 
 @query("sink_append_label", "label_results", "SELECT image_name, count(*) AS attempts, max(id) AS last_id FROM label_results GROUP BY image_name")

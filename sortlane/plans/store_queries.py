@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import quantity_of
-from ..operators import store
+from ..operators import pages, store
 from ..sources import files
-from ..streaming.jobs import work_folder
+from ..sources.files import work_folder
 from .catalog import query
 
 C = F.col
@@ -195,7 +195,10 @@ def _(scans):
 
 @query("top_page", "scans", "SELECT scan_id, tracking_id, ts FROM scans ORDER BY ts DESC, scan_id DESC LIMIT 25 OFFSET 50")
 def _(scans):
-    return store.page(scans, 25, 50, F.desc("ts"), F.desc("scan_id")).select("scan_id", "tracking_id", "ts")
+    """The third page of 25 rows, of a table stored in order."""
+    folder, order, rows = work_folder(scans.sparkSession), ("-ts", "-scan_id"), scans.select("scan_id", "tracking_id", "ts")
+    pages.store(rows, folder, order)
+    return pages.page(scans.sparkSession, folder, rows.schema, order, 25, 2)
 
 
 @query("top_last_labels", "label_results", "SELECT * FROM label_results ORDER BY id DESC LIMIT 100")

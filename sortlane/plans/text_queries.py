@@ -9,7 +9,7 @@ from ..operators import extract, match, store
 from ..operators.enrich import enriched
 from ..sources import dictionaries as dic
 from ..sources import files
-from ..streaming.jobs import work_folder
+from ..sources.files import work_folder
 from .catalog import query
 from .match_queries import _BARANGAY, _D_TEXT, _EXPECT, _R_TEXT, _RIDERS, _S_TEXT, _SORT, _district
 from .match_queries import _first as _first_code

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,15 +17,26 @@ SCAN_SCHEMA = T.StructType(
 ORDER_FIELDS = ("tracking_id", "order_id", "rts_code", "rider", "buyer_name", "address", "weight", "quantity", "seller")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder below the one that the cluster shares; a temporary one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="sortlane-work-")
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCAN_SCHEMA).parquet(path)
 
 
 def read_orders(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
     """JSON objects of orders by image, one a file or one a line: rows without a tracking id go,
-    of repeated ids the last stays."""
+    of repeated ids the last stays: files go by name, then objects by their place in the file."""
     order = T.StructType([T.StructField(c, T.StringType()) for c in ORDER_FIELDS])
-    text = spark.read.text(path, wholetext=not by_line).select(F.monotonically_increasing_id().alias("at"), "value")
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    text = spark.read.text(path, wholetext=not by_line).select(at.alias("at"), "value")
     entries = text.select("at", F.posexplode(F.map_entries(F.from_json("value", T.MapType(T.StringType(), order)))).alias("pos", "e"))
     rows = entries.select(F.struct("at", "pos").alias("place"), F.col("e.key").alias("image"), "e.value.*").where("tracking_id IS NOT NULL AND tracking_id <> ''")
     values = [c for c in rows.columns if c not in ("place", "tracking_id")]

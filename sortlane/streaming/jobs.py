@@ -9,29 +9,18 @@ number, and the newest row of each key is the state.
 from __future__ import annotations
 
 import logging
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lidar
+from ..sources.files import work_folder
 from ..views import VIEWS, _marked
 
 log = logging.getLogger(__name__)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one that the cluster shares; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        base = "file://" + tempfile.mkdtemp(prefix="sortlane-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def source(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """One table of ``sf_dir`` as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
