@@ -104,18 +104,49 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
+def common_characters(a: Column, b: Column) -> Column:
+    """Characters that both strings have, with repeats: no matching blocks can hold more."""
+
+    def take(acc, c):
+        at = F.position(c, acc["rest"])
+        rest = F.concat(F.left(acc["rest"], at - 1), F.substr(acc["rest"], at + 1))
+        return F.when(at > 0, F.struct((acc["n"] + 1).alias("n"), rest.alias("rest"))).otherwise(acc)
+
+    return F.aggregate(characters(a), F.struct(F.lit(0).alias("n"), b.alias("rest")), take)["n"]
+
+
+def blocks_may_reach(a: Column, b: Column, least: float) -> Column:
+    """A cheap condition that holds wherever ``matching_blocks_ratio`` is at least ``least``: lengths first, then characters."""
+    total = F.length(a) + F.length(b)
+    return (2 * F.least(F.length(a), F.length(b)) >= least * total - 1e-9) & (2 * common_characters(a, b) >= least * total - 1e-9)
+
+
+def matching_characters(a: str, b: str) -> int:
+    """Characters in matching blocks: those of the longest common substring (the first in ``a``, then in ``b``), and
+    of the parts to its left and to its right alike."""
+    found, parts = 0, [(0, len(a), 0, len(b))]
+    while parts:
+        lo, hi, left, right = parts.pop()
+        size, at, to, before = 0, lo, left, {}
+        for i in range(lo, hi):
+            runs = {}
+            for j in range(left, right):
+                if a[i] == b[j]:
+                    runs[j] = k = before.get(j - 1, 0) + 1
+                    if k > size:
+                        size, at, to = k, i - k + 1, j - k + 1
+            before = runs
+        if size:
+            found += size
+            parts += [(lo, at, left, to), (at + size, hi, to + size, right)]
+    return found
+
+
 @F.pandas_udf(T.DoubleType())
 def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the characters in matching blocks over the sum of lengths (no built-in does this)."""
-    from difflib import SequenceMatcher
-
-    memo: dict = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair not in memo:
-            memo[pair] = None if None in pair else SequenceMatcher(None, *pair).ratio()
-        out.append(memo[pair])
-    return pd.Series(out, dtype="float64")
+    """Twice the characters in matching blocks over the sum of lengths, 1 for two empty strings."""
+    share = lambda x, y: 2.0 * matching_characters(x, y) / (len(x) + len(y)) if x or y else 1.0
+    return pd.Series([None if x is None or y is None else share(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def with_masks(words: DataFrame, column: str) -> DataFrame:

@@ -57,6 +57,20 @@ def clean_address_short(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\bmi\s+(\d{4})\b", "$1"), r"\s+", " "))
 
 
+#: What the extended clean-up takes off in front, in order; what may follow a postal code; stray words before one.
+LEADING_JUNK = [r"^[\)\]\}\|]{0,2}\s*\d{1,2}\s*[,\s]+", r"^[a-z]\s+", r"^[^\w\d]+"]
+BEHIND_CODE = r"(\d{4})([^\w\s].*)?$"
+STRAY_WORD = r"\b(mi|iy)\s+(\d{4})\b"
+
+
+def clean_address_extended(s: Column) -> Column:
+    """Numbers, single letters and symbols in front go, what follows a last four-digit number, and stray words before one."""
+    for pattern in LEADING_JUNK:
+        s = F.regexp_replace(s, pattern, "")
+    t = F.regexp_replace(F.regexp_replace(s, BEHIND_CODE, "$1"), STRAY_WORD, "$2")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
 def name_valid(s: Column) -> Column:
     """Two to four words of four letters or more, each with a capital first, no digit or artefact."""
     words = F.filter(F.split(s, r"\s+"), lambda w: w != "")

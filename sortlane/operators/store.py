@@ -168,10 +168,17 @@ def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.where("value <> ''").distinct()
 
 
-def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``field, values``: sorted distinct non-empty values; for fields with few values, as one row
-    holds them all (``distinct_rows`` for others)."""
-    return distinct_rows(df, columns).groupBy("field").agg(F.array_sort(F.collect_list("value")).alias("values"))
+def distinct_values(df: DataFrame, columns: Sequence[str], most: int = 10_000) -> DataFrame:
+    """``field, values``: sorted distinct non-empty values of fields with few values.
+
+    One row holds all values of a field, so more than ``most`` are an error; ``distinct_rows`` serves such fields.
+    """
+    rows = distinct_rows(df, columns)
+    sized = rows.groupBy("field").agg(F.count("*").alias("n"))
+    large = sized.where(F.col("n") > most).select("field").limit(3).collect()
+    if large:
+        raise ValueError(f"more than {most} values: {', '.join(r.field for r in large)}")
+    return rows.groupBy("field").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
 def manifest(labels: DataFrame, courier: str, barangay: str, district: str, amount: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
@@ -29,24 +27,63 @@ def _(orders):
     return files.read_orders(orders.sparkSession, folder, by_line=True).select(*orders.columns)
 
 
-@query("src_courier_dims", "scans", f"WITH d AS (SELECT * FROM {_values([(r[1], r[2], r[4]) for r in dic.district_rows()], 'v(barangay, district, rider_id)')}), s AS (SELECT rider_id, count(*) AS n FROM scans GROUP BY rider_id) SELECT barangay, district, coalesce(n, 0) AS n FROM d LEFT JOIN s USING (rider_id)")
-def _(scans):
-    """The nested courier dictionary, read from JSON, with the number of scans of each district's rider."""
-    spark, folder = scans.sparkSession, work_folder(scans.sparkSession)
-    by_barangay: dict[str, list] = {}
-    for barangay, district, code, _rider in dic.DISTRICTS:
-        by_barangay.setdefault(barangay, []).append({"name": district, "code": code.split("-")[3]})
-    nested = {"couriers": {"one": {"dictionaries": {"districts": by_barangay}}}}
-    spark.createDataFrame([(json.dumps(nested),)], "value string").coalesce(1).write.text(folder)
-    dims = dic.read_courier(spark, folder, "one").join(match.small(dic.districts(spark).select("barangay", "district", "rider")), ["barangay", "district"])
-    n = scans.groupBy(C("rider_id").alias("rider")).agg(F.count("*").alias("n"))
-    return dims.join(n, "rider", "left").select("barangay", "district", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query("src_label_model", "places", f"SELECT variation, canonical, count(scan_id) AS n FROM {_VAR} LEFT JOIN places ON upper(barangay_text) = variation GROUP BY variation, canonical")
-def _(places):
-    model = dic.variations(places.sparkSession)
-    return match.small(model).join(places, F.upper("barangay_text") == C("variation"), "left").groupBy("variation", "canonical").agg(F.count("scan_id").alias("n"))
+_COURIER = "CASE WHEN n_regionkey % 2 = 0 THEN 'flash-express' ELSE 'shopee-spx' END"
+_RIDER = "'GY' || lpad(CAST(s_suppkey % 30 AS STRING), 2, '0')"
+_DIMS = f"""WITH n AS (SELECT *, {_COURIER} AS courier FROM nation), shared AS (SELECT DISTINCT c_mktsegment AS value, 'first' AS parent FROM customer UNION SELECT n_name, 'last' FROM nation)
+SELECT courier, 'barangay' AS dimension, n_name AS value, NULL AS parent, NULL AS code FROM n
+UNION ALL SELECT DISTINCT courier, 'district', c_mktsegment, n_name, upper(substr(c_mktsegment, 1, 3)) || n_nationkey FROM n JOIN customer ON c_nationkey = n_nationkey
+UNION ALL SELECT courier, 'city', 'City of ' || n_name, NULL, NULL FROM n
+UNION ALL SELECT DISTINCT courier, 'province', 'Province ' || n_regionkey, NULL, NULL FROM n
+UNION ALL SELECT DISTINCT courier, 'rider', {_RIDER.replace("STRING", "VARCHAR")}, NULL, NULL FROM n JOIN supplier ON s_nationkey = n_nationkey
+UNION ALL SELECT courier, 'sort_code', 'FEX-' || upper(substr(n_name, 1, 3)) || '-' || n_nationkey, NULL, NULL FROM n WHERE courier = 'flash-express'
+UNION ALL SELECT courier, 'name', value, parent, NULL FROM shared, (SELECT DISTINCT courier FROM n)
+UNION ALL SELECT DISTINCT courier, 'pattern', CASE courier WHEN 'flash-express' THEN '^FE[0-9]{{10}}$' ELSE '^SPX[0-9]{{9}}$' END, 'trackingNumber', NULL FROM n"""
+
+
+@query("src_courier_dims", "nation customer supplier", _DIMS)
+def _(nation, customer, supplier):
+    """A nested dictionary of two couriers, written as one JSON file, and read into its seven dimensions at once."""
+    spark, folder = nation.sparkSession, work_folder(nation.sparkSession)
+    n = nation.withColumn("courier", F.expr(_COURIER))
+    several = lambda c: F.array_sort(F.collect_set(c))
+    sort_codes = F.when(C("courier") == "flash-express", F.concat(F.lit("FEX-"), F.upper(F.substring("n_name", 1, 3)), F.lit("-"), C("n_nationkey")))
+    places = n.groupBy("courier").agg(several("n_name").alias("barangays"), several(F.concat(F.lit("City of "), "n_name")).alias("cities"), several(F.concat(F.lit("Province "), "n_regionkey")).alias("provinces"), several(sort_codes).alias("codes"))
+    areas = n.join(customer, C("c_nationkey") == C("n_nationkey")).groupBy("courier", "n_name").agg(several(F.struct(C("c_mktsegment").alias("name"), F.concat(F.upper(F.substring("c_mktsegment", 1, 3)), C("n_nationkey")).alias("code"))).alias("all"))
+    areas = areas.groupBy("courier").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "all"))).alias("districts"))
+    riders = n.join(supplier, C("s_nationkey") == C("n_nationkey")).groupBy("courier").agg(several(F.expr(_RIDER)).alias("riders"))
+    tracking = F.struct(F.when(C("courier") == "flash-express", "^FE[0-9]{10}$").otherwise("^SPX[0-9]{9}$").alias("pattern"))
+    patterns = F.create_map(F.lit("trackingNumber"), tracking, F.lit("weight"), F.struct(F.lit(None).cast("string").alias("pattern")))
+    codes = F.when(F.size("codes") > 0, C("codes"))
+    one = F.struct(F.struct("barangays", "districts", "cities", "provinces").alias("dictionaries"), F.struct(codes.alias("sortCode"), C("riders").alias("riderCodes")).alias("fieldEnumerations"), patterns.alias("fieldPatterns"))
+    couriers = places.join(areas, "courier", "left").join(riders, "courier", "left").agg(F.map_from_entries(F.collect_list(F.struct("courier", one))).alias("couriers"))
+    shared = customer.select(C("c_mktsegment").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(nation.select(F.lit(None).cast("string").alias("a"), C("n_name").alias("b"))).agg(F.struct(several("a").alias("firstNames"), several("b").alias("lastNames")).alias("shared"))
+    # both are one row
+    whole = couriers.withColumn("one", F.lit(1)).join(shared.withColumn("one", F.lit(1)), "one").select(F.to_json(F.struct("shared", "couriers")).alias("value"))
+    whole.coalesce(1).write.text(folder)
+    return dic.courier_dimensions(spark, folder).select("courier", "dimension", "value", "parent", "code")
+
+
+_UP, _SEG = "upper(n_name)", "upper(c_mktsegment)"
+_MODEL_SQL = f"""WITH d AS (SELECT DISTINCT n_nationkey, n_name, c_mktsegment FROM nation JOIN customer ON c_nationkey = n_nationkey),
+s AS (SELECT 'barangay' AS kind, n_name AS barangay, n_name AS canonical, unnest([{_UP}, replace({_UP}, 'I', '1'), replace({_UP}, 'A', '4')]) AS variation FROM (SELECT DISTINCT n_name FROM d)
+  UNION SELECT 'district', n_name, c_mktsegment, unnest([{_SEG}, replace({_SEG}, 'O', '0')]) FROM d)
+SELECT kind, barangay, canonical, variation, NULL AS rider, NULL AS sort_code FROM s
+UNION ALL SELECT 'area', n_name, c_mktsegment, upper(substr(c_mktsegment, 1, 3)), 'GY' || n_nationkey, 'FEX-' || upper(substr(c_mktsegment, 1, 3)) || '-GY' || n_nationkey FROM d"""
+
+
+@query("src_label_model", "nation customer", _MODEL_SQL)
+def _(nation, customer):
+    """A label model (a JSON line a barangay), written and read into areas and spellings."""
+    folder = work_folder(nation.sparkSession)
+    d = nation.join(customer, C("c_nationkey") == C("n_nationkey")).select("n_nationkey", "n_name", "c_mktsegment").distinct()
+    code, up, seg = F.upper(F.substring("c_mktsegment", 1, 3)), F.upper("n_name"), F.upper("c_mktsegment")
+    rider = F.concat(F.lit("GY"), C("n_nationkey"))
+    district = F.struct(C("c_mktsegment").alias("name"), code.alias("code"), rider.alias("rider"), F.concat(F.lit("FEX-"), code, F.lit("-"), rider).alias("rtsCode"), F.array_distinct(F.array(seg, F.replace(seg, F.lit("O"), F.lit("0")))).alias("variations"))
+    spellings = F.array_distinct(F.array(up, F.replace(up, F.lit("I"), F.lit("1")), F.replace(up, F.lit("A"), F.lit("4"))))
+    files.write_json(d.groupBy("n_name").agg(F.collect_list(district).alias("districts")).select(C("n_name").alias("name"), spellings.alias("variations"), "districts"), folder)
+    areas, spelled = dic.label_model(nation.sparkSession, folder)
+    none = F.lit(None).cast("string")
+    return spelled.select("kind", "barangay", "canonical", "variation", none.alias("rider"), none.alias("sort_code")).unionByName(areas.select(F.lit("area").alias("kind"), "barangay", C("district").alias("canonical"), C("code").alias("variation"), "rider", "sort_code"))
 
 
 @query("gen_labels_job", "customer", None)
@@ -73,10 +110,17 @@ def _(places):
     return rows.select("scan_id", (b & d).alias("valid"), (F.when(b, 0.5).otherwise(0.0) + F.when(d, 0.5).otherwise(0.0)).alias("confidence"))
 
 
-@query("ext_th_fields", "scans", "SELECT scan_id, 'TH' || substr(tracking_id, 3) AS tracking_id, CASE WHEN scan_id % 2 = 0 THEN 'RTS-07' END AS rts_code, 'ORD' || lpad(CAST(scan_id % 1000000 AS VARCHAR), 6, '0') AS order_id FROM scans")
+_TH_DISTRICT = "CASE scan_id % 15 WHEN 0 THEN 'bang  khen' WHEN 5 THEN 'Phra Nakon' WHEN 10 THEN 'Nowhere' END"
+
+
+@query("ext_th_fields", "scans", f"""WITH d AS (SELECT * FROM (VALUES ('bang  khen', 'Bang Khen'), ('Phra Nakon', 'Phra Nakhon')) AS v(t, district))
+SELECT scan_id, CASE WHEN scan_id % 5 > 0 THEN 'TH' || substr(tracking_id, 3) END AS tracking_id, CASE WHEN scan_id % 5 > 0 AND scan_id % 6 IN (1, 2, 3) THEN 'RTS-0' || (scan_id % 6) END AS rts_code,
+CASE WHEN scan_id % 5 > 0 THEN 'ORD' || lpad(CAST(scan_id % 1000000 AS VARCHAR), 6, '0') END AS order_id, district FROM scans LEFT JOIN d ON t = {_TH_DISTRICT}""")
 def _(scans):
-    text = F.concat_ws("\n", F.concat(F.lit("TH"), F.substring("tracking_id", 3, 10)), F.when(C("scan_id") % 2 == 0, "rts-07"), F.concat(F.lit("ord"), F.lpad((C("scan_id") % 1000000).cast("string"), 6, "0")))
-    return scans.select("scan_id", *(v.alias(k) for k, v in extract.th_fields(text).items()))
+    """Labels of the second courier family; some scans hold a district's name alone."""
+    label = F.concat_ws("\n", F.concat(F.lit("TH"), F.substring("tracking_id", 3, 10)), F.concat(F.lit("rts-0"), (C("scan_id") % 6).cast("string")), F.concat(F.lit("ord"), F.lpad((C("scan_id") % 1000000).cast("string"), 6, "0")))
+    rows = scans.select("scan_id", F.coalesce(F.expr(_TH_DISTRICT), label).alias("text"))
+    return extract.th_fields(rows, "scan_id", "text", dic.words(scans.sparkSession, dic.TH_DISTRICTS), dic.RETURN_CODES)
 
 
 @query("ext_anchor_match", "label_text", None)

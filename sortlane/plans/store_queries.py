@@ -22,12 +22,14 @@ def _(scans, texts):
     return files.read_scans(scans.sparkSession, folder).withColumn("raw_sha256", F.sha2("raw_text", 256)).drop("raw_text")
 
 
-@query("src_session_registry", "scans", "SELECT engine || rider_id AS session_name, 'sessions/' || engine || rider_id || '/' AS path, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM scans GROUP BY engine, rider_id")
-def _(scans):
-    """Sessions with folder, start, end and number of scans."""
-    name = F.concat("engine", "rider_id")
-    rows = scans.groupBy("engine", "rider_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
-    return rows.select(name.alias("session_name"), F.concat(F.lit("sessions/"), name, F.lit("/")).alias("path"), "start_ts", "end_ts", "n")
+@query("src_session_registry", "lidar_points", "SELECT 'robot-' || robot_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_name, 'sessions/' || robot_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) || '.csv' AS path, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM lidar_points GROUP BY robot_id, CAST(ts AS DATE) ORDER BY start_ts DESC, session_name LIMIT 100 OFFSET 100")
+def _(points):
+    """The second page of 100 registered sensor sessions (a robot's day), newest first, with file and number of points."""
+    folder, order, day = work_folder(points.sparkSession), ("-start_ts", "session_name"), F.to_date("ts").cast("string")
+    rows = points.groupBy("robot_id", day.alias("day")).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
+    sessions = rows.select(F.concat(F.lit("robot-"), C("robot_id"), F.lit("-"), "day").alias("session_name"), F.concat(F.lit("sessions/"), C("robot_id"), F.lit("/"), "day", F.lit(".csv")).alias("path"), "start_ts", "end_ts", "n")
+    pages.store(sessions, folder, order)
+    return pages.page(points.sparkSession, folder, sessions.schema, order, 100, 1)
 
 
 @query("src_detections", "detections", "SELECT event_id, robot_id, algorithm, obj_id, x, y, width, height FROM detections")

@@ -62,15 +62,15 @@ def _(scans):
     return rows.select("scan_id", "courier", "field", value.alias("value"), ok.alias("ok"))
 
 
-def _chain(s: str) -> str:
-    for a, b in dic.TYPOS:
+def _chain(s: str, pairs=dic.TYPOS) -> str:
+    for a, b in pairs:
         s = f"replace({s}, '{a}', '{b}')"
     return s
 
 
-@query("str_typo_chain", "label_text", f"SELECT scan_id, {_chain('raw_text')} AS fixed FROM label_text")
+@query("str_typo_chain", "label_text", f"SELECT scan_id, {_chain('raw_text')} AS fixed, {_chain('raw_text', dic.MODEL_TYPOS)} AS fixed_by_model FROM label_text")
 def _(t):
-    return t.select("scan_id", tx.typos_fixed(C("raw_text"), dic.TYPOS).alias("fixed"))
+    return t.select("scan_id", tx.typos_fixed(C("raw_text"), dic.TYPOS).alias("fixed"), tx.typos_fixed(C("raw_text"), dic.MODEL_TYPOS).alias("fixed_by_model"))
 
 
 @query("flt_ocr_lines", "documents", r"WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, trim(unnest(string_split(text, chr(10)))) AS x FROM documents) SELECT d.doc_id, sha256(coalesce(t, '')) AS kept FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM l WHERE length(x) >= 3 AND length(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) / length(x) >= 0.5 GROUP BY doc_id) USING (doc_id)")
@@ -141,7 +141,7 @@ def _(t):
     return lines.groupBy("scan_id").agg(F.max_by("line", F.struct(F.length("line"), -C("pos"))).alias("line"))
 
 
-_ADDR = "CASE scan_id % 3 WHEN 0 THEN '## ' || buyer_address || ' ) 1, iy' WHEN 1 THEN buyer_address ELSE '~Lot 5  Block 2 ,, ' END"
+_ADDR = "CASE scan_id % 3 WHEN 0 THEN '## ' || buyer_address || ' ) 1, iy' WHEN 1 THEN buyer_address ELSE ') 12, ~Lot 5  Block 2 iy 3023, x ' END"
 
 
 @query("str_clean_address", "scans", rf"WITH r AS (SELECT scan_id, regexp_replace(trim({_ADDR}), '^[^\w\s,.-]+', '') AS t FROM scans) SELECT scan_id, CASE WHEN regexp_extract(t, '^(.*\b[0-9]{{4}}\b)', 1) <> '' THEN regexp_extract(t, '^(.*\b[0-9]{{4}}\b)', 1) ELSE regexp_replace(regexp_replace(regexp_replace(t, '[^\w\s,.-]+$', ''), '\s+', ' ', 'g'), '^[ ,.-]+|[ ,.-]+$', '', 'g') END AS address FROM r")
@@ -149,9 +149,12 @@ def _(scans):
     return scans.select("scan_id", tx.clean_address(F.expr(_ADDR)).alias("address"))
 
 
-@query("str_clean_address_v2", "scans", rf"WITH r AS (SELECT scan_id, {_ADDR} AS t FROM scans) SELECT scan_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^[^\w\d]+', ''), '[^\w\d]+$', ''), '\bmi\s+([0-9]{{4}})\b', '\1', 'g'), '\s+', ' ', 'g')) AS address FROM r")
+_EXTENDED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^[\)\]\}\|]{0,2}\s*[0-9]{1,2}\s*[,\s]+', ''), '^[a-z]\s+', ''), '^[^\w\d]+', ''), '([0-9]{4})([^\w\s].*)?$', '\1'), '\b(mi|iy)\s+([0-9]{4})\b', '\2', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("str_clean_address_v2", "scans", rf"WITH r AS (SELECT scan_id, {_ADDR} AS t FROM scans) SELECT scan_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^[^\w\d]+', ''), '[^\w\d]+$', ''), '\bmi\s+([0-9]{{4}})\b', '\1', 'g'), '\s+', ' ', 'g')) AS address, {_EXTENDED} AS extended FROM r")
 def _(scans):
-    return scans.select("scan_id", tx.clean_address_short(F.expr(_ADDR)).alias("address"))
+    return scans.select("scan_id", tx.clean_address_short(F.expr(_ADDR)).alias("address"), tx.clean_address_extended(F.expr(_ADDR)).alias("extended"))
 
 
 _NM = "CASE scan_id % 5 WHEN 0 THEN 'Carlos Johnson' WHEN 1 THEN 'Al Bo' WHEN 2 THEN 'Maria Clara Reyes' WHEN 3 THEN 'carlos Johnson' ELSE buyer_name END"

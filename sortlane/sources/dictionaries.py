@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Barangay, district, sort code and rider, in dictionary order.
 DISTRICTS = [
@@ -49,6 +48,18 @@ BARANGAY_VARIATIONS = {"MUZON": "Muzon", "MUZOM": "Muzon", "MUZ0N": "Muzon", "MU
 DISTRICT_VARIATIONS = {"NORTH": "North", "N0RTH": "North", "MORTH": "North", "SOUTH": "South", "S0UTH": "South", "SOUT": "South", "CENTRAL": "Central", "CENTR4L": "Central", "GENTRAL": "Central", "PROPER": "Proper", "PR0PER": "Proper", "PROP3R": "Proper"}
 # Literal corrections of the simple reader, in order.
 TYPOS = [("DRDER", "ORDER"), ("5", "S"), ("0", "O"), ("1", "I"), ("8", "B"), ("C0DE", "CODE"), ("RT5", "RTS"), ("F3X", "FEX"), ("8UL", "BUL")]
+# The label model's corrections, in order.
+MODEL_TYPOS = [
+    ("0", "O"), ("1", "I"), ("3", "E"), ("4", "A"), ("5", "S"), ("6", "G"), ("7", "T"), ("8", "B"), ("9", "G"),
+    ("DRDER", "ORDER"), ("QRDER", "ORDER"), ("0RDER", "ORDER"), ("C0DE", "CODE"), ("G0DE", "CODE"), ("GODE", "CODE"), ("RT5", "RTS"), ("R7S", "RTS"),
+    ("S0RT", "SORT"), ("50RT", "SORT"), ("$ORT", "SORT"), ("FE><", "FEX"), ("F3X", "FEX"), ("F£X", "FEX"), ("BUL", "BUL"), ("8UL", "BUL"), ("BUt", "BUL"), ("SJDM", "SJDM"), ("5JDM", "SJDM"), ("SJ0M", "SJDM"),
+    ("SUBDIV", "SUBDIVISION"), ("SUB0IV", "SUBDIVISION"), ("EXTENS10N", "EXTENSION"), ("EXT", "EXTENSION"), ("PR0PER", "PROPER"), ("PROP3R", "PROPER"), ("M41N", "MAIN"), ("MA1N", "MAIN"), ("COMMERC1AL", "COMMERCIAL"), ("GOMMERC1AL", "COMMERCIAL"),
+]
+# Valid return codes and delivery districts of the second courier family.
+RETURN_CODES = ["RTS-01", "RTS-02", "RTS-03"]
+TH_DISTRICTS = ["Bang Khen", "Bang Kapi", "Pathum Wan", "Pom Prap Sattru Phai", "Phra Nakhon", "Min Buri", "Lat Krabang", "Yan Nawa", "Samphanthawong", "Phaya Thai", "Thon Buri", "Bang Khun Thian"]
+# Streets of generated labels.
+STREETS = ["Mabini St", "Rizal Ave", "Bonifacio St", "Mabuhay St", "Del Pilar St", "Kalayaan Ave", "Maginhawa St", "Kamuning Rd", "Tandang Sora Ave", "Sto. Domingo St", "Sta. Mesa St", "España Blvd", "Lacson Ave", "Vicente Cruz St", "Carriedo St", "NLEX Service Rd", "Del Monte Ave", "Bulacan Highway", "Main Street"]
 # Labels whose parts the keyword score looks for.
 KEYWORD_CODES = ["FEX-BUL-SJDM-BS02-GY15", "FEX-BUL-SJDM-MZN3-GY03", "FEX-BUL-SJDM-TKO1-GY22", "FEX-BUL-SJDM-SPY2-GY20", "FEX-BUL-SJDM-GRC3-GY07"]
 # Areas without printed sort code -> code, by district where there are several.
@@ -97,11 +108,43 @@ def variations(spark: SparkSession, items: dict[str, str] = BARANGAY_VARIATIONS)
     return spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate(items.items())], "pos int, variation string, canonical string")
 
 
-def read_courier(spark: SparkSession, path: str, courier: str) -> DataFrame:
-    """``barangay, pos, district, code`` of one courier from a nested JSON dictionary."""
-    district = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("code", T.StringType())]))
-    one = T.StructType([T.StructField("dictionaries", T.StructType([T.StructField("districts", T.MapType(T.StringType(), district))]))])
-    schema = T.StructType([T.StructField("couriers", T.MapType(T.StringType(), one))])
-    root = spark.read.schema(schema).json(path, multiLine=True)
-    entries = root.select(F.explode(F.try_element_at("couriers", F.lit(courier))["dictionaries"]["districts"]).alias("barangay", "all"))
-    return entries.select("barangay", F.posexplode("all").alias("pos", "d")).select("barangay", "pos", F.col("d.name").alias("district"), F.col("d.code").alias("code"))
+#: The nested dictionary file: names that all couriers share, and for each courier its places, codes and patterns.
+COURIERS = """shared struct<firstNames: array<string>, lastNames: array<string>>,
+couriers map<string, struct<
+  dictionaries: struct<barangays: array<string>, districts: map<string, array<struct<name: string, code: string>>>, cities: array<string>, provinces: array<string>>,
+  fieldEnumerations: struct<sortCode: array<string>, riderCodes: array<string>>,
+  fieldPatterns: map<string, struct<pattern: string>>>>"""
+
+
+def courier_dimensions(spark: SparkSession, path: str) -> DataFrame:
+    """``courier, dimension, pos, value, parent, code`` of all couriers in one read of nested JSON files.
+
+    Dimensions: barangay, district (of barangay ``parent``, with ``code``), city, province, rider, sort_code,
+    name (``parent``: first or last; the same for every courier) and pattern (of field ``parent``).  What a
+    courier lacks gives no rows: one has sort codes by list, another by pattern only.
+    """
+    root = spark.read.schema(COURIERS).json(path, multiLine=True).where("couriers is not null")
+    one = root.select("shared", F.explode("couriers").alias("courier", "c"))
+    item = lambda kind, value, parent=None, code=None: F.struct(F.lit(kind).alias("dimension"), value.cast("string").alias("value"), (F.lit(None) if parent is None else parent).cast("string").alias("parent"), (F.lit(None) if code is None else code).cast("string").alias("code"))
+    plain = lambda kind, values: F.transform(values, lambda x, i: F.struct(i.alias("pos"), item(kind, x).alias("x")))
+    named = lambda values, parent: F.transform(values, lambda x, i: F.struct(i.alias("pos"), item("name", x, F.lit(parent)).alias("x")))
+    of = F.col("c")
+    areas = F.flatten(F.transform(F.map_entries(of["dictionaries"]["districts"]), lambda e: F.transform(e["value"], lambda d, i: F.struct(i.alias("pos"), item("district", d["name"], e["key"], d["code"]).alias("x")))))
+    patterns = F.transform(F.filter(F.map_entries(of["fieldPatterns"]), lambda e: e["value"]["pattern"].isNotNull()), lambda e: F.struct(F.lit(0).alias("pos"), item("pattern", e["value"]["pattern"], e["key"]).alias("x")))
+    every = [plain("barangay", of["dictionaries"]["barangays"]), areas, plain("city", of["dictionaries"]["cities"]), plain("province", of["dictionaries"]["provinces"]), plain("rider", of["fieldEnumerations"]["riderCodes"]), plain("sort_code", of["fieldEnumerations"]["sortCode"]), named(F.col("shared.firstNames"), "first"), named(F.col("shared.lastNames"), "last"), patterns]
+    none = F.array().cast("array<struct<pos:int,x:struct<dimension:string,value:string,parent:string,code:string>>>")
+    rows = one.select("courier", F.explode(F.concat(*(F.coalesce(x, none) for x in every))).alias("e"))
+    return rows.select("courier", "e.x.dimension", "e.pos", "e.x.value", "e.x.parent", "e.x.code")
+
+
+#: A label model file: barangays with spellings, each with districts that have spellings, riders and return codes.
+MODEL = "name string, variations array<string>, districts array<struct<name: string, code: string, rider: string, rtsCode: string, variations: array<string>>>"
+
+
+def label_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Areas (``barangay, district, code, rider, sort_code``) and spellings (``kind, barangay, canonical, variation``) of a label model."""
+    root = spark.read.schema(MODEL).json(path)
+    districts = root.select(F.col("name").alias("barangay"), F.explode("districts").alias("d"))
+    areas = districts.select("barangay", F.col("d.name").alias("district"), F.col("d.code").alias("code"), F.col("d.rider").alias("rider"), F.col("d.rtsCode").alias("sort_code"))
+    spelled = root.select(F.lit("barangay").alias("kind"), F.col("name").alias("barangay"), F.col("name").alias("canonical"), F.explode("variations").alias("variation"))
+    return areas, spelled.unionByName(districts.select(F.lit("district").alias("kind"), "barangay", F.col("d.name").alias("canonical"), F.explode("d.variations").alias("variation")))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from sortlane.functions import similarity as sim
 from sortlane.functions import text as tx
-from sortlane.operators import extract, lidar, match, store
+from sortlane.operators import candidates, extract, lidar, match, store
 from sortlane.sources import dictionaries as dic
 from sortlane.sources.files import read_orders
+from sortlane.sources.generator import labels, permuted
+from sortlane.sources.versioned import VersionedTable
 
 
 def lcs(a, b):
@@ -161,16 +163,17 @@ def test_latency_report_equals_sorted_values(spark):
 
 
 def test_appends_keep_rejects_apart(spark, tmp_path):
-    path, new = f"{tmp_path}/t", spark.createDataFrame([(1, 0.5), (2, 7.0), (3, 0.1), (3, 0.2)], "id long, confidence double")
+    new = spark.createDataFrame([(1, 0.5), (2, 7.0), (3, 0.1), (3, 0.2)], "id long, confidence double")
     new = new.withColumns({c: F.lit(1) for c in ("weight_g", "quantity", "processing_time_ms")})
-    new.where("id = 1").write.parquet(path)
-    rejected = store.append(new, path, f"{tmp_path}/log", "id")
+    table = VersionedTable(spark, f"file://{tmp_path}/t", new.schema)
+    table.replace(lambda _: new.where("id = 1"), "first")
+    rejected = store.append(new, table, "second", "id")
     assert sorted((r.id, r.reason) for r in rejected.collect()) == [(1, "duplicate"), (2, "check"), (3, "duplicate in batch")]
-    assert sorted((r.id, r.confidence) for r in spark.read.parquet(path).collect()) == [(1, 0.5), (3, 0.1)]
+    assert sorted((r.id, r.confidence) for r in table.rows().collect()) == [(1, 0.5), (3, 0.1)]
 
 
 def test_matches_with_a_dictionary_that_is_not_small(spark, monkeypatch):
-    """By shuffle on the length, the matches are the same as with a broadcast dictionary."""
+    """By segments, the matches are the same as with a broadcast dictionary."""
     random.seed(6)
     texts = spark.createDataFrame([("".join(random.choice("muzongt ") for _ in range(random.randint(1, 9))),) for _ in range(60)] + [("Muzonn",), ("GY0l",), (None,), ("N0RTH",), ("",)], "t string")
     runs = [
@@ -178,5 +181,42 @@ def test_matches_with_a_dictionary_that_is_not_small(spark, monkeypatch):
         lambda: match.nearest_edit(texts, "t", dic.riders(spark), 3), lambda: match.best_variation(texts, "t", dic.variations(spark, dic.DISTRICT_VARIATIONS)),
     ]
     wide = [sorted(map(str, f().collect())) for f in runs]
-    monkeypatch.setattr(match, "MOST_WORDS", 2)
+    monkeypatch.setattr(candidates, "MOST_WORDS", 2)
     assert [sorted(map(str, f().collect())) for f in runs] == wide
+
+
+def test_matching_blocks_equal_brute_force(spark):
+    rng = random.Random(7)
+    rows = [("".join(rng.choice("abc de") for _ in range(rng.randint(0, 25))), "".join(rng.choice("abc de") for _ in range(rng.randint(0, 25)))) for _ in range(600)]
+    rows += [(a, a[: len(a) // 2] + "x" + a[len(a) // 2 :]) for a, _ in rows[:200]] + [("", ""), (None, "a")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", sim.matching_blocks_ratio("a", "b").alias("s"), sim.blocks_may_reach(F.col("a"), F.col("b"), 0.8).alias("may")).collect():
+        if r.a is None:
+            assert r.s is None
+            continue
+        want = SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.s == pytest.approx(want) and (r.may or want < 0.8), (r.a, r.b)
+
+
+def test_second_courier_labels(spark):
+    rows = [(1, "th1234567890\n rts-02 ORD1234567"), (2, "RTS-07 TH12345"), (3, " min\tburl "), (4, ""), (5, None), (6, "Phaya Thai")]
+    got = {r.k: tuple(r)[1:] for r in extract.th_fields(spark.createDataFrame(rows, "k int, t string"), "k", "t", dic.words(spark, dic.TH_DISTRICTS), dic.RETURN_CODES).collect()}
+    assert got == {1: ("TH1234567890", "RTS-02", "ORD1234567", None), 2: (None, None, None, None), 3: (None, None, None, "Min Buri"), 4: (None,) * 4, 5: (None,) * 4, 6: (None, None, None, "Phaya Thai")}
+
+
+def test_generated_ids_never_repeat(spark):
+    n = 1_000_000
+    keys = spark.range(n, numPartitions=8).select((F.col("id") * 9999).alias("id"))
+    made = labels(keys, "id")
+    one = made.agg(*(F.countDistinct(c).alias(c) for c in ("tracking_id", "order_id", "ph_number")), F.count_if(F.col("order_id").rlike("^FE[0-9]{6}[A-Z0-9]{6}$") & F.col("tracking_id").rlike("^FE[0-9]{10}$") & F.col("ph_number").rlike("^FE [0-9]{12}$") & (F.length("street") > 5)).alias("fit")).first()
+    assert tuple(one) == (n, n, n, n)
+    small = spark.range(49).select(permuted(F.col("id"), "x", 7).alias("p"))
+    assert sorted(r.p for r in small.collect()) == list(range(49))
+    with pytest.raises(Exception, match="must be below"):
+        labels(spark.createDataFrame([(10**10,)], "id long"), "id").collect()
+
+
+def test_extended_addresses(spark):
+    one = lambda s: spark.range(1).select(tx.clean_address_extended(F.lit(s))).first()[0]
+    assert one(") 1, 123 Main St, Bulacan mi 3023, iy") == "123 Main St, Bulacan 3023"
+    assert one("i Lot 5  Block 2 iy 3024") == "Lot 5 Block 2 3024"
