@@ -38,8 +38,11 @@ def masks(word: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.transform(_numbers(F.size(chars)), lambda k: bits(c, k)))))
 
 
-def common_length(text: Column, mask: Column, length: Column) -> Column:
-    """Length of the longest common subsequence of ``text`` and the word behind ``mask``."""
+def common_length(text: Column, mask: Column, length: Column, wide: bool = True) -> Column:
+    """Length of the longest common subsequence of ``text`` and the word behind ``mask``.
+
+    Without ``wide`` words have BITS characters at most (see ``any_wide``), which makes the expression smaller.
+    """
     none = F.lit(0).cast("long")
 
     def step(s, c):
@@ -49,15 +52,17 @@ def common_length(text: Column, mask: Column, length: Column) -> Column:
     full = _power(length) - 1
     short = F.bit_count(full) - F.bit_count(F.aggregate(characters(text), full, step))
 
+    if not wide:
+        return short
     # longer words: one number after the other, with the carry of the addition
-    wide = F.transform(_numbers(length), lambda k: _power(F.least(F.lit(BITS), length - k * BITS)) - 1)
+    full_ones = F.transform(_numbers(length), lambda k: _power(F.least(F.lit(BITS), length - k * BITS)) - 1)
 
     def add(s, m):
         def one(acc, k):
             own = F.get(s, k)
             u = own.bitwiseAND(F.get(m, k))
             total = own + u + acc["carry"]
-            return F.struct(F.shiftright(total, BITS).alias("carry"), F.array_append(acc["out"], total.bitwiseOR(own - u).bitwiseAND(F.get(wide, k))).alias("out"))
+            return F.struct(F.shiftright(total, BITS).alias("carry"), F.array_append(acc["out"], total.bitwiseOR(own - u).bitwiseAND(F.get(full_ones, k))).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), F.struct(none.alias("carry"), F.array().cast("array<long>").alias("out")), one)["out"]
 
@@ -65,14 +70,19 @@ def common_length(text: Column, mask: Column, length: Column) -> Column:
         m = F.try_element_at(mask, c)
         return F.when(m.isNull(), s).otherwise(add(s, m))
 
-    left = F.aggregate(F.aggregate(characters(text), wide, wide_step), F.lit(0), lambda n, x: n + F.bit_count(x))
+    left = F.aggregate(F.aggregate(characters(text), full_ones, wide_step), F.lit(0), lambda n, x: n + F.bit_count(x))
     return F.when(length <= BITS, short).otherwise(length - left)
 
 
-def ratio(text: Column, word: Column, mask: Column | None = None) -> Column:
+def any_wide(words: DataFrame, column: str) -> bool:
+    """Is a word of more than BITS characters among them?"""
+    return not words.where(F.length(column) > BITS).isEmpty()
+
+
+def ratio(text: Column, word: Column, mask: Column | None = None, wide: bool = True) -> Column:
     """0 to 100; 100 for two empty strings."""
     total = F.length(text) + F.length(word)
-    lcs = common_length(text, masks(word) if mask is None else mask, F.length(word))
+    lcs = common_length(text, masks(word) if mask is None else mask, F.length(word), wide)
     return F.when(total == 0, 100.0).otherwise(F.lit(200.0) * lcs / total)
 
 
@@ -84,7 +94,7 @@ def may_reach(text: Column, word: Column, least: float) -> Column:
     return (F.least(a, b) >= share * F.greatest(a, b) - 1e-9) & (F.levenshtein(text, word) <= F.floor((100 - least) * (a + b) / 100 + 1e-9))
 
 
-def partial_ratio(text: Column, word: Column) -> Column:
+def partial_ratio(text: Column, word: Column, wide: bool = True) -> Column:
     """The best ratio of the shorter string with a window of the longer one, windows
     that hang over either end included."""
     short, long = F.when(F.length(text) <= F.length(word), text).otherwise(word), F.when(F.length(text) <= F.length(word), word).otherwise(text)
@@ -93,12 +103,20 @@ def partial_ratio(text: Column, word: Column) -> Column:
     def best(p):
         at = F.sequence(1 - p["m"], p["n"] - 1)
         window = lambda i: F.substring(p["l"], F.greatest(i, F.lit(0)) + 1, F.least(i + p["m"], p["n"]) - F.greatest(i, F.lit(0)))
-        score = lambda w: F.lit(200.0) * common_length(w, p["k"], p["m"]) / (p["m"] + F.length(w))
+        score = lambda w: F.lit(200.0) * common_length(w, p["k"], p["m"], wide) / (p["m"] + F.length(w))
         return F.array_max(F.transform(at, lambda i: score(window(i))))
 
     return F.when(F.length(short) == 0, F.when(F.length(long) == 0, 100.0).otherwise(0.0)).otherwise(F.get(F.transform(F.array(pair), best), F.lit(0)))
 
 
+def partial_may_reach(text: Column, word: Column, least: float) -> Column:
+    """A cheap condition that holds for every pair whose partial ratio is at least ``least``: so many characters of the
+    shorter string must be found in the longer one."""
+    first = F.length(text) <= F.length(word)
+    short, long = F.when(first, text).otherwise(word), F.when(first, word).otherwise(text)
+    return F.size(F.filter(characters(short), lambda c: F.contains(long, c))) >= least / (200 - least) * F.length(short) - 1e-9
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 minus the edit distance over the longer length; 0 if either is empty."""
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))

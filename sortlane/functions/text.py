@@ -44,17 +44,23 @@ def first_match(s: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(s, pattern, group), F.lit(""))
 
 
+# Junk around an address, a text up to its last four-digit number, signs of an address.
+JUNK_IN_FRONT, JUNK_BEHIND, UP_TO_CODE, PUNCTUATION_AROUND = r"^[^\w\s,.-]+", r"[^\w\s,.-]+$", r"^(.*\b\d{4}\b)", r"^[ ,.-]+|[ ,.-]+$"
+SHORT_FRONT, SHORT_BEHIND, STRAY_MI = r"^[^\w\d]+", r"[^\w\d]+$", r"\bmi\s+(\d{4})\b"
+VILLAGE_SIGN, CITY_SIGN, CODE_SIGN, NO_ADDRESS = "brgy|barangay", "san jose del monte|sjdm", r"\b302[0-9]\b", "district|zip code"
+
+
 def clean_address(s: Column) -> Column:
     """Leading junk goes, then all behind the last four-digit number; without one, trailing junk."""
-    t = F.regexp_replace(F.trim(s), r"^[^\w\s,.-]+", "")
-    coded = F.regexp_extract(t, r"^(.*\b\d{4}\b)", 1)
-    plain = F.regexp_replace(F.regexp_replace(t, r"[^\w\s,.-]+$", ""), r"\s+", " ")
-    return F.when(coded != "", coded).otherwise(F.regexp_replace(plain, r"^[ ,.-]+|[ ,.-]+$", ""))
+    t = F.regexp_replace(F.trim(s), JUNK_IN_FRONT, "")
+    coded = F.regexp_extract(t, UP_TO_CODE, 1)
+    plain = F.regexp_replace(F.regexp_replace(t, JUNK_BEHIND, ""), r"\s+", " ")
+    return F.when(coded != "", coded).otherwise(F.regexp_replace(plain, PUNCTUATION_AROUND, ""))
 
 
 def clean_address_short(s: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(s, r"^[^\w\d]+", ""), r"[^\w\d]+$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\bmi\s+(\d{4})\b", "$1"), r"\s+", " "))
+    t = F.regexp_replace(F.regexp_replace(s, SHORT_FRONT, ""), SHORT_BEHIND, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, STRAY_MI, "$1"), r"\s+", " "))
 
 
 #: What the extended clean-up takes off in front, in order; what may follow a postal code; stray words before one.
@@ -80,7 +86,7 @@ def name_valid(s: Column) -> Column:
 
 def address_valid(s: Column) -> Column:
     low = F.lower(s)
-    ok = (F.length(s) >= 20) & low.rlike("brgy|barangay") & low.rlike("san jose del monte|sjdm") & s.rlike(r"\b302[0-9]\b") & ~low.rlike("district|zip code")
+    ok = (F.length(s) >= 20) & low.rlike(VILLAGE_SIGN) & low.rlike(CITY_SIGN) & s.rlike(CODE_SIGN) & ~low.rlike(NO_ADDRESS)
     return F.coalesce(ok, F.lit(False))
 
 
