@@ -9,7 +9,6 @@ reads it back, which cuts the lineage and survives the loss of executors.
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -33,8 +32,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         base = _LOCAL.setdefault("base", "file://" + tempfile.mkdtemp(prefix="sortlane-"))
-    elif "://" not in base and base.startswith("/"):
-        base = f"file://{base}" if os.path.isdir(base) else base
+    elif "://" not in base:  # a folder of the cluster's own file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = base.replace("file:/", "file:///") if base.startswith("file:/") and not base.startswith("file://") else base
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
