@@ -138,9 +138,9 @@ def test_keyword_and_name_scores(spark, words, texts):
 
 def test_strings_of_any_length(spark):
     rng = random.Random(1)
-    sizes = [0, 1, 5, 61, 62, 63, 64, 65, 80, 123, 124, 125, 186, 187, 300]
+    sizes = [0, 1, 61, 62, 63, 64, 80, 124, 125, 200, 300]
     rows = [("".join(rng.choice("abcdé ") for _ in range(n)), "".join(rng.choice("abcde") for _ in range(m))) for n in sizes for m in sizes]
-    rows += [(a, a) for a, _ in rows] + [(a, "".join(c for c in a if rng.random() < 0.8) + "xyz") for a, _ in rows]
+    rows += [(a, a) for a, _ in rows[::11]] + [(a, "".join(c for c in a if rng.random() < 0.8) + "xyz") for a, _ in rows[::5]]
     df = spark.createDataFrame(rows, "a string, b string")
     for r in df.select("a", "b", sim.ratio(F.col("a"), F.col("b")).alias("s")).collect():
         assert r.s == pytest.approx(ratio(r.a, r.b))
