@@ -24,14 +24,14 @@ _BEFORE = (Window.unboundedPreceding, -1)
 BLOCK_SECONDS, BLOCK_NUMBERS = 86_400, 100_000
 
 
-def in_blocks(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``__block``, by the first column of ``order``; rows without a value come before all others."""
+def in_blocks(df: DataFrame, order: list[str], size: float | None = None) -> DataFrame:
+    """``df`` with ``__block``, by the first column of ``order`` (in spans of ``size``, if given); rows without a value come before all others."""
     first = F.col(order[0])
     kind = df.schema[order[0]].dataType
     if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
-        number = F.floor(first.cast("timestamp").cast("double") / BLOCK_SECONDS)
+        number = F.floor(first.cast("timestamp").cast("double") / (size or BLOCK_SECONDS))
     else:
-        number = F.floor(first / BLOCK_NUMBERS)
+        number = F.floor(first / (size or BLOCK_NUMBERS))
     return df.withColumn("__block", F.coalesce(number.cast("long"), F.lit(-(1 << 62))))
 
 
@@ -111,6 +111,17 @@ def latched(df: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:
     return led.where("__kind = 1").drop("__kind", "__block")
 
 
+def places(df: DataFrame, key: str, order: list[str], name: str, size: float | None = None) -> DataFrame:
+    """``df`` with ``name``: the place (from 1) among the rows of its key, in ``order``."""
+    rows = in_blocks(df, order, size)
+    counts = rows.groupBy(key, "__block").agg(F.count("*").alias("n"))
+    before = counts.select(key, "__block", F.sum("n").over(_along(key).rowsBetween(*_BEFORE)).alias("__before")).where("__before > 0")
+    earlier = F.coalesce(F.max("__before").over(Window.partitionBy(key, "__block")), F.lit(0))
+    led = _led(rows, before).withColumn("__before", earlier).where("__kind = 1")
+    nth = F.row_number().over(Window.partitionBy(key, "__block").orderBy(*order))
+    return led.withColumn(name, nth + F.col("__before")).drop("__kind", "__block", "__before")
+
+
 def sessions(df: DataFrame, key: str, gap_seconds: int) -> DataFrame:
     """``key, start, end, n``: a gap of more than ``gap_seconds`` begins a new session."""
     order = ["ts", "event_id"]

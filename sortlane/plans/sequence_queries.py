@@ -73,9 +73,7 @@ def _(t):
 
 @query("win_reading_order", "detections", "SELECT event_id, robot_id, row_number() OVER (PARTITION BY robot_id ORDER BY y, x, event_id) AS place FROM detections")
 def _(d):
-    from pyspark.sql import Window
-
-    return d.select("event_id", "robot_id", F.row_number().over(Window.partitionBy("robot_id").orderBy("y", "x", "event_id")).alias("place"))
+    return sequence.places(d, "robot_id", ["y", "x", "event_id"], "place", 16).select("event_id", "robot_id", "place")
 
 
 @query("win_keyword_next", "conversations", "WITH n AS (SELECT conv_id, turn, role, lead(role, 1) OVER w AS a, lead(role, 2) OVER w AS b, lead(role, 3) OVER w AS c, lead(role, 4) OVER w AS d FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, CASE WHEN a <> 'user' THEN a WHEN b <> 'user' THEN b WHEN c <> 'user' THEN c WHEN d <> 'user' THEN d END AS value FROM n WHERE role = 'user'")

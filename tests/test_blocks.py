@@ -73,6 +73,17 @@ def test_changes_and_carried_values(spark, log):
     assert {(r.event_id, r.mode) for r in sequence.carried(log, "robot_id", ORDER, "mode", "none").collect()} == {(e, m or "none") for e, m, _ in kept}
 
 
+def test_places(spark, log):
+    want = {(r.event_id, i + 1) for rows in by_robot(log).values() for i, r in enumerate(rows)}
+    assert {(r.event_id, r.at) for r in sequence.places(log, "robot_id", ORDER, "at").collect()} == want
+    numbers = log.withColumn("y", F.pmod("event_id", F.lit(37)))
+    for size in (1, 10, None):
+        got = {}
+        for r in sequence.places(numbers, "robot_id", ["y", "event_id"], "at", size).collect():
+            got.setdefault(r.robot_id, []).append((r["at"], r.y, r.event_id))
+        assert all([x[0] for x in sorted(g)] == list(range(1, len(g) + 1)) and [x[1:] for x in sorted(g)] == sorted(x[1:] for x in g) for g in got.values())
+
+
 def test_sessions(spark, log):
     want = []
     for robot, rows in by_robot(log.where("ts is not null")).items():
