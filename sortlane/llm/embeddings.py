@@ -322,7 +322,7 @@ def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", thr
     key link with nothing.  Only vectors of equal length link; each length has a search of
     its own, but lengths of at most BLOCK different vectors, save the most frequent one, are
     compared whole.  Equal vectors link.  Ties in similarity go to the smaller id and change no
-    result; of repeated keys one row's vector counts for all; other columns are not looked at.
+    result; of repeated keys one row's vector counts for all; an empty table gives no rows; other columns are not looked at.
     """
     every = usable(vectors, key, vector)
     hashed = every.withColumn("h", vector_key("v"))

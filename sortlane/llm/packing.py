@@ -236,4 +236,10 @@ def pack(pieces: DataFrame, size: int = 1024, group: int = GROUP) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+    """Pieces with ``sequence_id`` and ``offset``: every row of ``docs`` in sequences of at most ``size`` tokens.
+
+    Null and empty texts give a piece with the end id; a very long text is encoded whole and cut into pieces of
+    ``size``.  Null and repeated keys are kept, in no set order, each row with pieces of its own; an empty table
+    gives no rows; other columns of any name are not looked at.
+    """
     return pack(pieces_of(docs, tokenizer_path, size, end_id, with_ids=with_ids), size)

@@ -191,7 +191,8 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
 
     Null text counts as empty; an empty text has the end id alone.  A null or
     repeated key is kept as it is, an empty table gives an empty result, other
-    columns are not looked at.
+    columns are not looked at.  A very long text is cut where no piece reaches across, so its length
+    costs time in proportion; all of its ids are one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

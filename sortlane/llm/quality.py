@@ -104,7 +104,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     """Figures of each row with ``base_failed`` and ``kept``.
 
     Nulls in any column, repeated rows and empty tables are allowed; each row
-    is judged by itself and by its host.
+    is judged by itself and by its host.  A very long text is read whole, with an entry for each of its
+    words in one task's memory; columns besides key, text and host are not looked at, whatever their names.
     """
     rows = staged(document_figures(docs, key, text, host).withColumn("base_failed", base_failed()), "figures")
     verdicts = staged(host_verdicts(rows.withColumn("failed", rule_failed()), rate).select(F.col("host").alias("__host"), "host_ok"), "hosts")

@@ -109,8 +109,9 @@ def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """``key`` and ``spans`` (array of start, no, kind, end; sorted) of every row.
 
-    Null text counts as empty.  Null and repeated keys are kept, as rows are told
-    apart by a number of their own; other columns are not looked at.
+    Null text counts as empty, an empty table gives no rows.  Null and repeated keys are kept, as rows are told
+    apart by a number of their own; other columns are not looked at.  A very long text is searched to its
+    end; only its candidates travel.  An empty line (two line feeds in a row; not a line of blanks, nor CR LF) ends a scope.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = staged(with_row_id(docs.select(F.col(key).alias("__key"), F.concat(*(_matches(t, k) for k in KINDS)).alias("parts"))), "parts")

@@ -132,3 +132,27 @@ def test_packing_query(spark):
             end += x.length
         assert end == len(ids)
     assert not by_doc and check_layout(rows, 1024) <= 1.02 * -(-total // 1024) + 1
+
+
+def test_piece_codec_query(spark):
+    """Counts and digests of the query over a whole table equal the library's."""
+    import hashlib
+
+    from sentencepiece import SentencePieceProcessor
+
+    sf, model = f"{DATA}/sf0.001", SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in QUERIES["op1_piece_codec"](spark, sf).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids, x = [*model.encode(r.text or ""), model.eos_id()], got.pop(r.doc_id)
+        assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(model.decode(ids)))
+    assert not got
+
+
+def test_a_secret_at_the_end_of_a_very_long_text(spark):
+    from sortlane.llm.secret_scan import scan
+
+    text = "plain words go on " * 60_000 + "\n\npassword = Zk39dkQmw82x"
+    rows = spark.createDataFrame([(1, text, "k", 3), (2, None, "k", 3)], "doc_id long, text string, spans string, key int")
+    got = {r.doc_id: r.spans for r in scan(rows).collect()}
+    assert got[2] == [] and [(s["kind"], s["start"], s["end"]) for s in got[1]] == [("assign", text.index("password"), len(text))]
