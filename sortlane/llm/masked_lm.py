@@ -3,7 +3,8 @@
 The network predicts every word from the two words on either side: the
 embeddings of the four neighbours, one hidden layer, and a two-step softmax (group of the
 word, then the word in its group).  The vocabulary is the corpus' most frequent words,
-counted over all documents; rarer words fall into classes by their length.  It is trained
+counted over all documents; rarer words fall into classes by their length, and a byte model
+divides the class among its spellings, so the probabilities of all words sum to one.  It is trained
 in numpy, data-parallel: documents are dealt into shards by a hash of key and text, a
 shard is small whatever the corpus, each improves the start weights on its documents, and
 Spark averages the weights by block.  A document's score is the sum of the
@@ -42,6 +43,11 @@ MOST_LOGIT = np.float32(60)
 MOST_STEP = np.float32(0.25)
 
 
+#: Bytes of words: all but white space and A to Z; weight of a byte's share beside the counts of pairs.
+LETTERS = np.array([x for x in range(256) if x not in b" \t\n\r\x0b\x0c" and not 65 <= x <= 90])
+FIRST, PRIOR = 256, 32.0
+
+
 class Vocabulary(dict):
     """Ids of known words; any other word (in UTF-8) gets the class of its length."""
 
@@ -51,10 +57,53 @@ class Vocabulary(dict):
         return np.where(found < 0, KNOWN + np.minimum(length, TAIL) - 1, found)
 
 
+class Spelling:
+    """Probability of a word's bytes, given that it is not known and its class.
+
+    Each byte depends on the one before (FIRST: none).  The last class holds all words of
+    TAIL bytes and more: behind TAIL bytes a word ends with the same probability at each.  What
+    known words would take of a class is given to the others.
+    """
+
+    def __init__(self, pairs: np.ndarray | None = None, ended: int = 0, went_on: int = 0, known: list[bytes] = ()):
+        pairs = np.zeros((FIRST + 1, 256)) if pairs is None else pairs
+        share = np.zeros(256)
+        share[LETTERS] = pairs[:, LETTERS].sum(0) + 0.5
+        share /= share.sum()
+        with np.errstate(divide="ignore"):
+            self.steps = np.log((pairs + PRIOR * share) / (pairs.sum(1, keepdims=True) + PRIOR)).ravel()
+        self.ends = np.log((ended + 1) / (ended + went_on + 2))
+        self.goes_on = np.log((went_on + 1) / (ended + went_on + 2))
+        self.left = np.zeros(TAIL)
+        if known:
+            taken = np.bincount(np.minimum([len(x) for x in known], TAIL) - 1, np.exp(self.log_probabilities(list(known))), TAIL)
+            self.left = np.log1p(-np.minimum(taken, 1 - 1e-9))
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Of each word; words are not empty."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        if not len(words):
+            return np.zeros(0)
+        out = np.add.reduceat(self.steps[steps_of(words, length)], np.cumsum(length) - length)
+        long = length >= TAIL
+        out[long] += self.ends + (length[long] - TAIL) * self.goes_on
+        return out - self.left[np.minimum(length, TAIL) - 1]
+
+
+def steps_of(words: list[bytes], length: np.ndarray) -> np.ndarray:
+    """All bytes of the words, each as 256 times the byte before (FIRST: none) plus itself."""
+    now = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[np.cumsum(length) - length] = FIRST
+    return before * 256 + now
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary = field(default_factory=Vocabulary)
     weights: dict[str, np.ndarray] = field(default_factory=lambda: start())
+    spelling: Spelling = field(default_factory=Spelling)
 
 
 def start(counts: np.ndarray | None = None, seed: int = 0) -> dict[str, np.ndarray]:
@@ -80,11 +129,12 @@ def contexts(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + d] for d in range(-SIDE, SIDE + 1) if d])
 
 
-def ids_of(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words of the texts, and the number of words of each text."""
+def ids_of(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The ids of all words of the texts, the number of words of each text, and the words."""
     with no_cycle_collection():
         each = list(map(words_of, texts))
-        return vocabulary.ids(list(chain.from_iterable(each))), np.array(list(map(len, each)), np.int64)
+        words = list(chain.from_iterable(each))
+        return vocabulary.ids(words), np.array(list(map(len, each)), np.int64), words
 
 
 def _exp(logits: np.ndarray) -> np.ndarray:
@@ -174,9 +224,9 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
-    """The KNOWN most frequent words of all rows (ties by the word), and how often each id
-    occurs; the driver gets no more than those numbers."""
+def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray, Spelling]:
+    """The KNOWN most frequent words of all rows (ties by the word), how often each id occurs,
+    and the spelling of all other words; the driver gets those numbers and counts of pairs of bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -192,14 +242,35 @@ def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.nda
     counted = staged(found, "word-counts")
     top = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     lengths = counted.groupBy(F.least(F.length("word"), F.lit(TAIL)).alias("size")).agg(F.sum("n").alias("n")).collect()
+    known = {bytes(r.word) for r in top}
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((FIRST + 1) * 256, np.int64)
+        ended = went_on = 0
+        for b in batches:
+            rare = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w not in known]
+            if rare:
+                words, n = [w for w, _ in rare], np.array([n for _, n in rare], np.int64)
+                length = np.fromiter(map(len, words), np.int64, len(words))
+                np.add.at(sums, steps_of(words, length), np.repeat(n, length))
+                ended += int(n[length >= TAIL].sum())
+                went_on += int((n * np.maximum(length - TAIL, 0)).sum())
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2], pa.int32()), pa.array([*sums[at].tolist(), ended, went_on], pa.int64())], ["step", "n"])
+
+    spelled = counted.mapInArrow(spell, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()  # at most 257 x 256 counts
     dropped(docs.sparkSession, counted)
+    ends, steps = dict(zip(spelled["step"], spelled["n"], strict=True)), spelled[spelled["step"] >= 0]
+    pairs = np.zeros((FIRST + 1) * 256)
+    pairs[steps["step"].to_numpy()] = steps["n"]
+    spelling = Spelling(pairs.reshape(-1, 256), int(ends.get(-1, 0)), int(ends.get(-2, 0)), sorted(known))
     counts = np.zeros(WORDS)
     for r in lengths:
         counts[KNOWN + r["size"] - 1] += r.n
     for i, r in enumerate(top):
         counts[i] = r.n
         counts[KNOWN + min(len(r.word), TAIL) - 1] -= r.n
-    return Vocabulary({bytes(r.word): i for i, r in enumerate(top)}), counts
+    return Vocabulary({bytes(r.word): i for i, r in enumerate(top)}), counts, spelling
 
 
 def _learner(shared, known):
@@ -209,7 +280,7 @@ def _learner(shared, known):
         own, seen, rng = _shaped(shared.value.copy()), 0, np.random.default_rng(0)
         texts = group.sort_by([("o", "ascending"), ("text", "ascending")]).column("text").cast(pa.large_binary())
         for lo in range(0, len(texts), 256):
-            ids, count = ids_of(texts.slice(lo, 256).to_pylist(), known.value)
+            ids, count, _ = ids_of(texts.slice(lo, 256).to_pylist(), known.value)
             around = contexts(ids, count)
             order = rng.permutation(len(ids))
             for i in range(0, len(ids), STEP):
@@ -240,8 +311,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     """
     words, context = docs.where(F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("o"), F.col(text).alias("text")), docs.sparkSession.sparkContext
     shards = parts_for(words, SHARD_BYTES)
-    vocabulary, counts = count_words(words)
-    model = Model(vocabulary, start(counts))
+    vocabulary, counts, spelling = count_words(words)
+    model = Model(vocabulary, start(counts), spelling)
     known = context.broadcast(model.vocabulary)  # KNOWN words
     dealt = words.withColumn("shard", F.pmod(F.xxhash64("o"), F.lit(shards)))
     for _ in range(rounds):
@@ -264,16 +335,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     the same score; texts are taken whole, other columns are not looked at.
     """
     context = docs.sparkSession.sparkContext
-    shared, known = context.broadcast(_flat(model.weights)), context.broadcast(model.vocabulary)  # fixed size
+    shared, known = context.broadcast(_flat(model.weights)), context.broadcast((model.vocabulary, model.spelling))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = _shaped(shared.value)
+        w, (vocabulary, spelling) = _shaped(shared.value), known.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
-                ids, n = ids_of(b.column(1).cast(pa.binary()).to_pylist(), known.value)
+                ids, n, words = ids_of(b.column(1).cast(pa.binary()).to_pylist(), vocabulary)
                 around = contexts(ids, n)
                 p = np.concatenate([log_probabilities(w, ids[i : i + 32_768], around[:, i : i + 32_768]) for i in range(0, len(ids), 32_768)] or [np.zeros(0)])
+                rare = np.flatnonzero(ids >= KNOWN)
+                p[rare] += spelling.log_probabilities([words[i] for i in rare.tolist()])
                 total = np.bincount(np.repeat(np.arange(len(n)), n), p, len(n)).astype(np.float64)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total), mean], ["key", "n_words", "log_prob", "mean_log_prob"])

@@ -22,6 +22,15 @@ def docs(spark):
     return spark.createDataFrame(rows, COLUMNS).repartition(3).cache()
 
 
+def slow_spelling(model, word):
+    """Log-probability of an unknown word's bytes, byte by byte."""
+    s, before, total = model.spelling, m.FIRST, 0.0
+    for i, x in enumerate(word):
+        total += s.steps[256 * before + x] + (s.goes_on if i >= m.TAIL else 0.0)
+        before = x
+    return total + (s.ends if len(word) >= m.TAIL else 0.0) - s.left[min(len(word), m.TAIL) - 1]
+
+
 def slow_score(model, text):
     """Sum of log-probabilities, word by word, from the definition."""
     ids, w = [model.vocabulary.get(x, m.KNOWN + min(len(x), m.TAIL) - 1) for x in m.words_of((text or "").encode())], {k: v.astype(float) for k, v in model.weights.items()}
@@ -32,6 +41,8 @@ def slow_score(model, text):
         group = w["group"] @ h + w["bias"][m.WORDS :]
         at = word // m.GROUPS * m.GROUPS
         inner = w["word"][at : at + m.GROUPS] @ h + w["bias"][at : at + m.GROUPS]
+        if word >= m.KNOWN:
+            total += slow_spelling(model, m.words_of(text.encode())[i])
         total += group[word // m.GROUPS] - math.log(np.exp(group).sum()) + inner[word - at] - math.log(np.exp(inner).sum())
     return total
 
@@ -87,6 +98,27 @@ def test_probabilities_sum_to_one(docs):
     assert np.exp(m.log_probabilities(model.weights, np.arange(m.WORDS), around)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_spellings_share_their_class(spark, monkeypatch):
+    monkeypatch.setattr(m, "KNOWN", 40)
+    rng = random.Random(7)
+    common = [f"{a}{b}" for a in "abcdefgh" for b in "uvxyz"]
+    rare = ["".join(rng.choice(["ba", "ne", "ro", "ti"]) for _ in range(rng.randint(2, 4))) for _ in range(300)]
+    text = " ".join(common * 20 + rare + ["q" * k for k in range(60, 90)])
+    model = m.train(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    s, letters = model.spelling, [bytes([x]) for x in m.LETTERS]
+    assert set(model.vocabulary) == {w.encode() for w in common}
+    for words in (letters, [a + b for a in letters for b in letters]):  # all words of a class that are not known
+        assert np.exp(s.log_probabilities([w for w in words if w not in model.vocabulary])).sum() == pytest.approx(1, abs=1e-9)
+    row = s.steps.reshape(m.FIRST + 1, 256)
+    assert np.exp(row).sum(1) == pytest.approx(1) and np.isneginf(row[:, [9, 10, 32, 65, 90]]).all()
+    assert np.exp(s.ends) + np.exp(s.goes_on) == pytest.approx(1)
+    shuffled = ["".join(rng.choice("jkwxz0189%") for _ in w) for w in rare]
+    plain = spark.createDataFrame([(1, " ".join(rare)), (2, " ".join(shuffled)), (3, " ".join(common))], "doc_id long, text string")
+    score = {r.doc_id: r.mean_log_prob for r in m.score(plain, model).collect()}
+    assert score[2] < score[1] - 5 and score[2] < score[3]
+    assert m.Spelling().log_probabilities([b"ab", "é".encode()]) == pytest.approx(-2 * np.log(len(m.LETTERS)))
+
+
 def test_training_learns_from_every_row_whatever_the_partitions(spark, docs, monkeypatch):
     monkeypatch.setattr(m, "SHARD_BYTES", 40_000)  # several shards
     monkeypatch.setattr(m, "FAN", 2)
