@@ -22,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 MARK, WORD = "▁", re.compile(r"[^\W\d_]+")
 #: The classifier is fitted on about this many labelled rows at most, chosen by a hash of the key.
 MAX_TRAINING_ROWS = 4000
 #: It knows so many labels at most, those with the most words in these rows.
 MAX_LANGUAGES = 500
-UNKNOWN, SMOOTHING, ITERATIONS, LONG, MEMO, BLOCK = 1e-7, 200.0, 2, 40, 600_000, 4000
+UNKNOWN, SMOOTHING, ITERATIONS, LONG, BLOCK = 1e-7, 200.0, 2, 40, 4000
+#: Bytes of a worker's memo of words, of the forward sums of a block of words, and languages whose sums the driver takes at once.
+MEMO_BYTES, FORWARD_BYTES, AT_ONCE = 64 << 20, 32 << 20, 32
 
 
 class Lattice:
@@ -116,6 +118,31 @@ class Lattice:
         with np.errstate(divide="ignore"):
             return np.maximum(np.log(f[len(text)]), -1e6) + scale
 
+    def long_uses(self, text: str, theta: np.ndarray) -> dict[int, float]:
+        """Expected number of uses of each piece in one word of any length, in logarithms (``theta`` has one column)."""
+        text, log = MARK + text, np.log(theta[:, 0]).tolist()
+        by_end: list[list[tuple[int, int]]] = [[] for _ in range(len(text) + 1)]
+        for e in range(1, len(text) + 1):
+            by_end[e].append((self.size, e - 1))
+        for end, code in self.automaton.iter(text):
+            by_end[end + 1].append((code >> 8, end + 1 - (code & 255)))
+        f = [0.0]
+        for e in range(1, len(text) + 1):
+            f.append(_log_sum([f[s] + log[piece] for piece, s in by_end[e]]))
+        b: list[list[float]] = [[] for _ in text] + [[0.0]]
+        uses: Counter = Counter()
+        for e in range(len(text), 0, -1):  # all that begins at e is summed by now
+            behind = _log_sum(b[e])
+            for piece, s in by_end[e]:
+                b[s].append(log[piece] + behind)
+                uses[piece] += math.exp(f[s] + log[piece] + behind - f[-1])
+        return uses
+
+
+def _log_sum(x: list[float]) -> float:
+    top = max(x)
+    return top + math.log(sum(math.exp(v - top) for v in x))
+
 
 @lru_cache(2)
 def lattice(path: str) -> Lattice:
@@ -131,8 +158,9 @@ class LanguageModel:
     def scores(self, words: list[str]) -> np.ndarray:
         lat, out = lattice(self.path), np.zeros((len(words), len(self.languages)))
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for lo in range(0, len(short), BLOCK):
-            at = short[lo : lo + BLOCK]
+        block = max(1, min(BLOCK, FORWARD_BYTES // (8 * (LONG + 2) * len(self.languages))))
+        for lo in range(0, len(short), block):
+            at = short[lo : lo + block]
             out[at] = lat.forward([words[i] for i in at], self.theta)
         for i, w in enumerate(words):
             if len(w) > LONG:
@@ -148,11 +176,6 @@ def letters(text: str | None) -> list[str]:
     return words if low.isascii() else [w for w in words if w.isascii() or any(map(str.isalpha, w))]
 
 
-def parts(word: str) -> list[str]:
-    """The word itself, or parts of LONG letters of a longer one: training counts those as words."""
-    return [word] if len(word) <= LONG else [word[i : i + LONG] for i in range(0, len(word), LONG)]
-
-
 def train(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_TRAINING_ROWS, iterations: int = ITERATIONS) -> LanguageModel:
     """Fit on rows with text and label; rows with null text or label are skipped.
 
@@ -170,7 +193,7 @@ def train(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
         seen: dict[str, Counter] = {}
         for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(y, Counter()).update(part for w in letters(x) for part in parts(w))
+                seen.setdefault(y, Counter()).update(letters(x))
         for y, words in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([y] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -193,18 +216,27 @@ def train(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
                     at = np.flatnonzero(langs == name)
                     for lo in range(0, len(at), BLOCK):
                         part = at[lo : lo + BLOCK]
-                        sums[:, k] += lat.forward(list(texts[part]), now.value[:, k : k + 1], ns[part])
+                        short = part[[len(w) <= LONG for w in texts[part]]]
+                        if len(short):
+                            sums[:, k] += lat.forward(list(texts[short]), now.value[:, k : k + 1], ns[short])
+                        for i in part[[len(w) > LONG for w in texts[part]]]:
+                            for piece, n in lat.long_uses(texts[i], now.value[:, k : k + 1]).items():
+                                sums[piece, k] += n * ns[i]
             piece, k = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(k, pa.int64()), pa.array(sums[piece, k])], ["piece", "k", "n"])
 
-        got = words.mapInArrow(expect, "piece long, k long, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
+        sums = staged(words.mapInArrow(expect, "piece long, k long, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")), "expected")
         counts = np.zeros_like(theta)
-        counts[got["piece"], got["k"]] = got["n"]
+        for lo in range(0, len(languages), AT_ONCE):
+            got = sums.where(F.col("k").between(lo, lo + AT_ONCE - 1)).toPandas()
+            counts[got["piece"], got["k"]] = got["n"]
+        dropped(docs.sparkSession, sums)
         counts[size] = 0
         shared = counts.sum(1, keepdims=True) + 0.01
         shared[size] = 0
         theta = (counts + SMOOTHING * shared / shared.sum()) / (counts.sum(0) + SMOOTHING)
         theta[size] = UNKNOWN
+    dropped(docs.sparkSession, words)
     return LanguageModel(languages, theta, vocabulary)
 
 
@@ -221,29 +253,38 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
         m = shared.value
         width = len(m.languages)
         place: dict[str, int] = {}
-        values = np.zeros((MEMO, max(1, width)))
+        values = np.zeros((max(1, MEMO_BYTES // (8 * max(1, width))), max(1, width)))
+
+        def sums_of(texts: list[list[str]]) -> np.ndarray:
+            """The sum over the words of each text; more words than the memo holds are taken in parts."""
+            nonlocal place
+            new = list({w for x in texts for w in x if w not in place})
+            if len(place) + len(new) > len(values):  # the memo is full: begin again
+                place, new = {}, list({w for x in texts for w in x})
+            if len(new) > len(values):
+                if len(texts) > 1:
+                    return np.concatenate([sums_of([x]) for x in texts])
+                return sum(sums_of([texts[0][lo : lo + len(values)]]) for lo in range(0, len(texts[0]), len(values)))
+            if new:
+                values[len(place) : len(place) + len(new)] = m.scores(new)
+                place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+            return np.array([sum_rows(x) for x in texts])
+
+        def sum_rows(x: list[str]) -> np.ndarray:
+            at = np.fromiter(map(place.__getitem__, x), np.int64, len(x))
+            return sum(values[at[lo : lo + len(values)]].sum(0) for lo in range(0, len(at), len(values)))
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 b = batch.slice(lo, 128)
-                texts = [letters(x) for x in b.column(1).to_pylist()]
-                new = list({w for x in texts for w in x if w not in place})
-                if len(place) + len(new) > len(values):  # the memo is full: begin again
-                    place, new = {}, list({w for x in texts for w in x})
-                    if len(new) > len(values):
-                        values = np.zeros((2 * len(new), values.shape[1]))
-                if new and width:
-                    values[len(place) : len(place) + len(new)] = m.scores(new)
-                    place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-                langs, scores = [], []
-                for x in texts:
-                    if not x or not width:
-                        langs.append("und")
-                        scores.append(0.0)
-                        continue
-                    total = values[np.fromiter(map(place.__getitem__, x), np.int64, len(x))].sum(0)
-                    k = int(total.argmax())
-                    langs.append(m.languages[k])
-                    scores.append(float(1.0 / np.exp(total - total[k]).sum()))
+                texts = [letters(x) if width else [] for x in b.column(1).to_pylist()]
+                total = sums_of([x for x in texts if x]) if any(texts) else np.zeros((0, 1))
+                best, row = total.argmax(1), iter(range(len(total)))
+                top = np.take_along_axis(total, best[:, None], 1)
+                score = 1.0 / np.exp(total - top).sum(1)
+                at = [next(row) if x else None for x in texts]
+                langs = ["und" if i is None else m.languages[best[i]] for i in at]
+                scores = [0.0 if i is None else float(score[i]) for i in at]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -123,6 +123,39 @@ def test_secrets(spark, empty):
     assert secret_scan.scan(empty).count() == 0 and secret_scan.masked(empty).count() == 0
 
 
+def test_language_memo_in_parts(spark, docs, monkeypatch):
+    path = P.path("piece_bpe_32k.model")
+    model = language.train(docs, path)
+    whole = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predict(docs, model).collect()}
+    monkeypatch.setattr(language, "MEMO_BYTES", 7 * 8 * 2)  # seven words of two languages
+    monkeypatch.setattr(language, "FORWARD_BYTES", 1)
+    monkeypatch.setattr(language, "AT_ONCE", 1)
+    assert {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predict(docs, model).collect()} == whole
+    again = language.train(docs, path)
+    assert np.allclose(again.theta, model.theta)
+
+
+def test_language_ties_and_clashing_names(spark):
+    path = P.path("piece_bpe_32k.model")
+    rows = spark.createDataFrame([(1, "same words here", "b", 1.0, "x"), (2, "same words here", "a", 2.0, "y"), (2, None, "a", 0.0, None)], "key long, text string, lang string, score double, lang_pred string")
+    model = language.train(rows, path, key="key")
+    got = language.predict(rows.withColumnRenamed("key", "doc_id"), model).collect()
+    assert sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in got) == [(1, "a", 0.5), (2, "a", 0.5), (2, "und", 0.0)]
+
+
+def test_language_uses_of_long_words():
+    """In words of any length the expected uses are those of the plain sums; a long word is not cut."""
+    lat, rng = language.lattice(P.path("piece_bpe_32k.model")), np.random.default_rng(4)
+    theta = rng.random((lat.size + 1, 1)) / lat.size
+    theta[lat.size] = language.UNKNOWN
+    for word in ("international", "unbelievablyso", "日本語", "a"):
+        plain, logs = lat.forward([word], theta, np.ones(1)), lat.long_uses(word, theta)
+        assert {k: pytest.approx(v) for k, v in logs.items()} == {k: plain[k] for k in np.flatnonzero(plain)}
+    long = lat.long_uses("donaudampfschiff" * 200, theta)
+    sp = __import__("sentencepiece").SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert sum(n * (1 if k == lat.size else len(sp.id_to_piece(k))) for k, n in long.items()) == pytest.approx(3201)
+
+
 def test_language(spark, docs, empty):
     path = P.path("piece_bpe_32k.model")
     train = spark.createDataFrame([(i, ("der und die nicht mit einer " if i % 2 else "the and of with that this ") * 5, "de" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
