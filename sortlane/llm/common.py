@@ -3,7 +3,8 @@
 ``shared_path`` names a folder that every executor and the driver can reach: it
 comes from ``spark.checkpoint.dir``.  Only where that is unset (tests on one
 machine) a folder of this process is used.  ``staged`` writes a table there and
-reads it back, which cuts the lineage and survives the loss of executors.
+reads it back, which cuts the lineage and survives the loss of executors.  ``scratch``
+deletes what was staged inside it, save the tables that a lazy result still reads.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 #: White space of the word rules: blank and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
+_SCRATCH: ContextVar[set[str] | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +47,36 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = shared_path(spark, label)
+    if (made := _SCRATCH.get()) is not None:
+        made.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are deleted at the end, after an error too.
+
+    ``keep`` hands a staged table to the scratch around this one, or to the caller where there is none.
+    """
+    outer, kept, made = _SCRATCH.get(), set(), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_folders(df) & {_plain(x) for x in made})
+        return df
+
+    token = _SCRATCH.set(made)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            if _plain(path) not in kept:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.add(path)
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """Add ``__row``; stable only once the result has been written (see ``staged``)."""
     return df.withColumn("__row", F.monotonically_increasing_id())
@@ -91,10 +121,23 @@ class Memo:
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete the files of ``staged`` tables that nothing reads any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {x.rpartition("/")[0] for t in tables for x in t.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+    for folder in set().union(*map(_folders, tables)):
+        _delete(spark, folder)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {_plain(x.rpartition("/")[0]) for x in df.inputFiles()}
+
+
+def _plain(path: str) -> str:
+    """``file:/x`` and ``file:///x`` name one folder."""
+    scheme, found, rest = path.partition(":")
+    return f"{scheme}://{rest}" if found and rest.startswith("/") and not rest.startswith("//") else path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def window_hashes(words, size: int):

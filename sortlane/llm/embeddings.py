@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, staged
+from .common import dropped, scratch, staged
 from .components import components
 
 THRESHOLD, NEIGHBOURS, BACKWARD, TREES, LEAF, BLOCK = 0.9, 6, 6, 4, 128, 512
@@ -324,19 +324,20 @@ def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", thr
     compared whole.  Equal vectors link.  Ties in similarity go to the smaller id and change no
     result; of repeated keys one row's vector counts for all; an empty table gives no rows; other columns are not looked at.
     """
-    every = usable(vectors, key, vector)
-    hashed = every.withColumn("h", vector_key("v"))
-    classes = staged(hashed.groupBy("h").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("weight")), "classes")
-    size = F.size("v")
-    lengths = staged(classes.groupBy(size.alias("d")).count(), "lengths")
-    first = {r.d: r["count"] for r in lengths.orderBy(F.desc("count"), "d").limit(1).collect()}
-    large = first | {r.d: r["count"] for r in lengths.where((F.col("count") > BLOCK) & ~F.col("d").isin(*first)).collect()}
-    found = [_searched(classes.where(size == d), d, n, threshold, k) for d, n in large.items()]
-    if not large or lengths.where((F.col("count") > 1) & ~F.col("d").isin(*large)).limit(1).count():
-        found.append(exact(classes.where(~size.isin(*large)), size, threshold))
-    comps, others = (reduce(DataFrame.unionByName, x) for x in zip(*found, strict=True))
-    named = classes.join(comps, F.col("id") == F.col("node"), "left").join(others, "id", "left")
-    table = staged(named.select("h", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named")
+    with scratch(vectors.sparkSession) as keep:
+        every = usable(vectors, key, vector)
+        hashed = every.withColumn("h", vector_key("v"))
+        classes = staged(hashed.groupBy("h").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("weight")), "classes")
+        size = F.size("v")
+        lengths = staged(classes.groupBy(size.alias("d")).count(), "lengths")
+        first = {r.d: r["count"] for r in lengths.orderBy(F.desc("count"), "d").limit(1).collect()}
+        large = first | {r.d: r["count"] for r in lengths.where((F.col("count") > BLOCK) & ~F.col("d").isin(*first)).collect()}
+        found = [_searched(classes.where(size == d), d, n, threshold, k) for d, n in large.items()]
+        if not large or lengths.where((F.col("count") > 1) & ~F.col("d").isin(*large)).limit(1).count():
+            found.append(exact(classes.where(~size.isin(*large)), size, threshold))
+        comps, others = (reduce(DataFrame.unionByName, x) for x in zip(*found, strict=True))
+        named = classes.join(comps, F.col("id") == F.col("node"), "left").join(others, "id", "left")
+        table = keep(staged(named.select("h", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named"))
     base = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
     fine = usable(base, "key", "v").select("id", vector_key("v").alias("h"))
     linked = staged(fine, "hashed").join(table, "h").select("id", "n_links", "component_id").dropDuplicates(["id"])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import WORD_PATTERN, Memo, mixed, no_cycle_collection, staged, window_hashes
+from .common import WORD_PATTERN, Memo, mixed, no_cycle_collection, scratch, staged, window_hashes
 from .dealing import arrow_schema, batch_of, cuts, is_chunk, passed, placed, planes, ranges_for, rises, unplaned, unrisen
 
 SEED, SLICE = 5, 128
@@ -364,7 +364,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     """
     row = [F.struct(*docs.columns).alias("row")] if whole_rows else []
     whole = docs.select(document_key(key, text).alias("did"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *row)
-    found = repeated_ranges(whole.select("did", "doc_id", "text"), ranges_for(docs, text), seed)
+    with scratch(docs.sparkSession) as keep:
+        found = keep(staged(repeated_ranges(whole.select("did", "doc_id", "text"), ranges_for(docs, text), seed), "ranges"))
     joined = whole.join(found, "did", "left").select("doc_id", "text", "ranges", *(["row"] if row else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
