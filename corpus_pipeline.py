@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortlane.llm.common import staged, table
+from sortlane.llm.common import dropped, scratch, staged, table
 from sortlane.llm.jaccard import BROADCAST_IDS, similar
 from sortlane.llm.language import predict
 from sortlane.llm.packing import pack_documents
@@ -47,14 +47,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
         key = unused(docs, "row_number")
         numbered = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    linked = staged(similar(numbered.select(key, "text"), key=key, size=SHINGLE, percent=PERCENT).select(F.col(key).alias("k"), "component_id"), "similar")
-    if key == "doc_id":
-        gone = linked.where("component_id <> k").select("k")
-    else:
-        named = linked.join(numbered.select(F.col(key).alias("k"), "doc_id"), "k")
-        first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first"))
-        gone = linked.join(first, "component_id").where("k <> first.k").select("k")
-    gone = staged(gone, "gone")
+    with scratch(spark) as keep:
+        linked = staged(similar(numbered.select(key, "text"), key=key, size=SHINGLE, percent=PERCENT).select(F.col(key).alias("k"), "component_id"), "similar")
+        if key == "doc_id":
+            gone = linked.where("component_id <> k").select("k")
+        else:
+            named = linked.join(numbered.select(F.col(key).alias("k"), "doc_id"), "k")
+            first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first"))
+            gone = linked.join(first, "component_id").where("k <> first.k").select("k")
+        gone = keep(staged(gone, "gone"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return numbered.join(gone, numbered[key] == gone["k"], "left_anti").select(*docs.columns)
@@ -101,8 +102,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; of the tables on the way only the last stays."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = keep(staged(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        dropped(spark, *before)
+        before = [docs]
     return docs
