@@ -142,11 +142,13 @@ def _(t):
 
 
 _ADDR = "CASE scan_id % 3 WHEN 0 THEN '## ' || buyer_address || ' ) 1, iy' WHEN 1 THEN buyer_address ELSE ') 12, ~Lot 5  Block 2 iy 3023, x ' END"
+#: With a third form that has no four-digit number, for the rule without one.
+_UNCODED = "CASE scan_id % 3 WHEN 0 THEN '## ' || buyer_address || ' ) 1, iy' WHEN 1 THEN buyer_address ELSE '~Lot 5  Block 2 ,, ' END"
 
 
-@query("str_clean_address", "scans", rf"WITH r AS (SELECT scan_id, regexp_replace(trim({_ADDR}), '^[^\w\s,.-]+', '') AS t FROM scans) SELECT scan_id, CASE WHEN regexp_extract(t, '^(.*\b[0-9]{{4}}\b)', 1) <> '' THEN regexp_extract(t, '^(.*\b[0-9]{{4}}\b)', 1) ELSE regexp_replace(regexp_replace(regexp_replace(t, '[^\w\s,.-]+$', ''), '\s+', ' ', 'g'), '^[ ,.-]+|[ ,.-]+$', '', 'g') END AS address FROM r")
+@query("str_clean_address", "scans", rf"WITH r AS (SELECT scan_id, regexp_replace(trim({_UNCODED}), '^[^\w\s,.-]+', '') AS t FROM scans) SELECT scan_id, CASE WHEN regexp_extract(t, '^(.*\b[0-9]{{4}}\b)', 1) <> '' THEN regexp_extract(t, '^(.*\b[0-9]{{4}}\b)', 1) ELSE regexp_replace(regexp_replace(regexp_replace(t, '[^\w\s,.-]+$', ''), '\s+', ' ', 'g'), '^[ ,.-]+|[ ,.-]+$', '', 'g') END AS address FROM r")
 def _(scans):
-    return scans.select("scan_id", tx.clean_address(F.expr(_ADDR)).alias("address"))
+    return scans.select("scan_id", tx.clean_address(F.expr(_UNCODED)).alias("address"))
 
 
 _EXTENDED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^[\)\]\}\|]{0,2}\s*[0-9]{1,2}\s*[,\s]+', ''), '^[a-z]\s+', ''), '^[^\w\d]+', ''), '([0-9]{4})([^\w\s].*)?$', '\1'), '\b(mi|iy)\s+([0-9]{4})\b', '\2', 'g'), '\s+', ' ', 'g'))"
