@@ -13,8 +13,9 @@ chunk hold goes without places (its documents remember it), so a passage that a
 all documents hold is one entry a chunk.
 
 Joining: classes that meet at a prefix shingle are compared in blocks of bounded size with
-a length filter, a positional filter and a suffix filter (an upper bound of the overlap from
-counts by hash range), and pairs that pass are verified once on the whole sets.  A group of
+a length filter, a positional filter and a sketch (whether a set has an odd number of hashes in
+each of some bins; bins that differ are a lower bound of the difference of two sets), and pairs
+that pass are verified once on the whole sets.  A group of
 many near copies would have links in the square of its size.  As the result is components, a
 first round verifies one tree of likely links a block; a second round verifies every pair
 that passes the filters and whose two classes are not in one component yet, so no component
@@ -45,7 +46,8 @@ CHUNK, CHUNK_DOCS = 1 << 20, 1 << 15
 HOT = 64
 #: Owners of classes are broadcast up to this number (8 bytes each); beyond, joined by shuffle.
 BROADCAST_IDS = 300_000
-CLASSES = 64
+#: Least and most bins (powers of two) of a sketch, which has two bins a shingle at least up to the most.
+FEW_BINS, MOST_BINS = 512, 1 << 15
 DEALT = "bucket long, chunk long, tok binary, many binary, refs binary, idx int, doc_id long, n long, key binary, sig binary, hot binary, loose boolean"
 SHARED = DEALT + ", df binary"
 
@@ -101,6 +103,34 @@ def set_key(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """A bit a bin: is the number of hashes in it odd?  What two sets share cancels out."""
+    bins = min(max(FEW_BINS, 1 << (2 * len(h) - 1).bit_length()), MOST_BINS)
+    return np.packbits((np.bincount((h & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """The sketch of the same set in ``size`` bytes."""
+    x = np.frombuffer(raw, "<u8")
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def least_differences(sig: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of sketches: so many hashes at least are in one of the two sets only."""
+    size = np.fromiter(map(len, sig), np.int64, len(sig))
+    size, out = np.minimum(size[a], size[b]), np.zeros(len(a), np.int64)
+    for k in np.unique(size).tolist():
+        at = np.flatnonzero(size == k)
+        own, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        bits = np.stack([folded(sig[x], k) for x in own.tolist()])
+        x, y, step = place[: len(at)], place[len(at) :], max(1, (8 << 20) // k)
+        for lo in range(0, len(at), step):
+            out[at[lo : lo + step]] = np.bitwise_count(bits[x[lo : lo + step]] ^ bits[y[lo : lo + step]]).sum(1, dtype=np.int64)
+    return out
+
+
 def prefix_length(n, percent: int = THRESHOLD):
     return n - (percent * n + 99) // 100 + 1
 
@@ -126,7 +156,7 @@ def _chunk_rows(chunk: int, ids: list, sets: list[np.ndarray], ranges: int) -> I
     remembered = [x[order[lo:hi]].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
     sig: list[bytes | None] = [None] * len(ids)
     for i in own:
-        sig[i] = np.minimum(np.bincount((sets[i] >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+        sig[i] = sketch(sets[i])
     schema, n = arrow_schema(DEALT), len(ids)
     yield batch_of(schema, n, bucket=[-1 - chunk] * n, chunk=[chunk] * n, idx=range(n), doc_id=ids, n=[len(x) for x in sets], key=keys, sig=sig, hot=remembered, loose=loose)
     u, refs, low = t[at], doc[~hot].astype("<u2"), many.astype("<u2")
@@ -255,8 +285,7 @@ def _group_numbers(t: pa.Table) -> np.ndarray:
 
 def _pairs(t: pa.Table, group: np.ndarray, percent: int, all_pairs: bool) -> Iterator[pa.RecordBatch]:
     i, j, blk, comp, key, n, pos = (t.column(c).to_numpy() for c in ("i", "j", "blk", "comp", "cid", "n", "pos"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int32)
-    counted = sig.sum(1)
+    sig = t.column("sig").to_pylist()
     stop = np.searchsorted(group, group, side="right")
     following = stop - np.arange(len(group)) - 1
     ends = np.cumsum(following)
@@ -271,10 +300,7 @@ def _pairs(t: pa.Table, group: np.ndarray, percent: int, all_pairs: bool) -> Ite
         need = _needed(n[a], n[b], percent)
         ok = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= need
         a, b, need = a[ok], b[ok], need[ok]
-        most = np.zeros(len(a), np.int64)
-        for k in range(0, len(a), 50_000):
-            x, y = a[k : k + 50_000], b[k : k + 50_000]
-            most[k : k + 50_000] = np.minimum(sig[x], sig[y]).sum(1) + np.minimum(n[x] - counted[x], n[y] - counted[y])
+        most = (n[a] + n[b] - least_differences(sig, a, b)) // 2
         ok = most >= need
         a, b, most = a[ok], b[ok], most[ok]
         if not all_pairs:

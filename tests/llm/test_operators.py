@@ -333,3 +333,25 @@ def test_embeddings_of_a_large_group(spark):
     got = embeddings.near(df).collect()
     assert len(got) == 2601
     assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id != 7} == {i: (int(true[i]), want[i]) for i in range(2600) if i != 7}
+
+
+def test_jaccard_sketch_bounds_the_difference_and_spares_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 200, 397, 900, 20_000, 40_000):
+        x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        y = np.unique(np.concatenate([x[n // 6 :], rng.integers(0, 2**64, n // 7 + 1, np.uint64)]))
+        raw = [jaccard.sketch(x), jaccard.sketch(y)]
+        least = jaccard.least_differences(raw, np.array([0, 1, 0]), np.array([1, 0, 0])).tolist()
+        assert least[0] == least[1] <= len(np.setxor1d(x, y)) and least[2] == 0
+        if n in (200, 397, 900):
+            assert least[0] > 0.7 * len(np.setxor1d(x, y))
+    # groups of 40 texts that share three quarters of their shingles link nowhere: few pairs travel
+    words, rows = [f"w{k}" for k in range(4000)], []
+    for g in range(3):
+        shared = rng.choice(words, 300).tolist()
+        rows += [(100 * g + i, " ".join(shared + rng.choice(words, 45).tolist())) for i in range(40)]
+    made, plain = [], jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", lambda df, label: made.append((label, out := plain(df, label), out.count())) or out)
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, k) for k, _ in rows}
+    assert sum(n for label, _, n in made if label in ("likely", "open")) < 50
