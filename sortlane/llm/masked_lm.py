@@ -37,6 +37,8 @@ ROUNDS, RATE, STEP, FAN, BLOCK = 1, 0.08, 1 << 14, 64, 1 << 14
 SHAPES = {"embed": (2 * SIDE, WORDS + 1, DIMS), "hidden": (DIMS, DIMS), "group": (GROUPS, DIMS), "word": (WORDS, DIMS), "bias": (WORDS + GROUPS,)}
 #: Bytes of text of a shard.
 SHARD_BYTES = 16 << 20
+#: Rows whose softmax is taken at once.
+ROWS = 1 << 11
 #: Logits stay below this, so that sums of exponentials are finite.
 MOST_LOGIT = np.float32(60)
 #: No weight moves further in one step.
@@ -53,8 +55,10 @@ class Vocabulary(dict):
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         found = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
-        length = np.fromiter(map(len, words), np.int32, len(words))
-        return np.where(found < 0, KNOWN + np.minimum(length, TAIL) - 1, found)
+        rare = np.flatnonzero(found < 0)
+        length = np.fromiter(map(len, map(words.__getitem__, rare.tolist())), np.int32, len(rare))
+        found[rare] = KNOWN + np.minimum(length, TAIL) - 1
+        return found
 
 
 class Spelling:
@@ -142,11 +146,13 @@ def _exp(logits: np.ndarray) -> np.ndarray:
     return np.exp(logits, out=logits)
 
 
-def _by_group(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by group, and where each group begins in it."""
-    group = ids // GROUPS
-    order = np.argsort(group, kind="stable")
-    return order, np.searchsorted(group[order], np.arange(GROUPS + 1))
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each value of sorted numbers begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _order(ids: np.ndarray) -> np.ndarray:
+    return np.argsort(ids.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
 
 
 def _hidden(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,50 +162,86 @@ def _hidden(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, n
     return pre, np.tanh(pre @ w["hidden"])
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+
+
+def _weighed(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some rows of ``h`` (with ones) at once, and the exponentials of their logits."""
+    inward = np.concatenate([weight, bias[:, None]], 1).T
+    free = np.abs(inward).sum(0).max() < MOST_LOGIT  # no number of h is beyond 1
+    for lo in range(0, len(h), ROWS):
+        at = slice(lo, min(lo + ROWS, len(h)))
+        p = h[at] @ inward
+        yield at, np.exp(p, out=p) if free else _exp(p)
+
+
+def _log_shares(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The logarithms of a softmax at the targets."""
+    out, rows, ones = np.empty(len(h), h.dtype), np.arange(ROWS), np.ones(len(weight), h.dtype)
+    for at, p in _weighed(h, weight, bias):
+        out[at] = np.log(p[rows[: len(p)], target[at]] / (p @ ones))
+    return out
+
+
+def _expected(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a softmax: the mean of the weights in each row, and the sums of ``h`` (with ones) by output."""
+    back, sums, outward = np.empty((len(h), weight.shape[1]), h.dtype), np.zeros((len(weight), h.shape[1]), h.dtype), _with_ones(weight)
+    for at, p in _weighed(h, weight, bias):
+        x = p @ outward
+        share = 1 / x[:, -1:]
+        np.multiply(x[:, :-1], share, out=back[at])
+        sums += p.T @ (h[at] * share)
+    return back, sums
+
+
 def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log-probability of each word given its neighbours."""
-    order, bounds = _by_group(ids)
-    ids, rows = ids[order], np.arange(len(ids))
-    _, h = _hidden(w, around[:, order])
-    p = _exp(h @ w["group"].T + w["bias"][WORDS:])
-    out = np.log(p[rows, ids // GROUPS] / p.sum(1))
+    order = _order(ids)
+    ids = ids[order]
+    h = _with_ones(_hidden(w, around[:, order])[1])
+    bounds = np.searchsorted(ids, np.arange(0, WORDS + 1, GROUPS))
+    out = _log_shares(h, w["group"], w["bias"][WORDS:], ids // GROUPS)
     for g in range(GROUPS):
-        at = slice(bounds[g], bounds[g + 1])
+        at, own = slice(bounds[g], bounds[g + 1]), slice(g * GROUPS, (g + 1) * GROUPS)
         if bounds[g] < bounds[g + 1]:
-            own = slice(g * GROUPS, (g + 1) * GROUPS)
-            p = _exp(h[at] @ w["word"][own].T + w["bias"][own])
-            out[at] += np.log(p[rows[: len(p)], ids[at] - g * GROUPS] / p.sum(1))
+            out[at] += _log_shares(h[at], w["word"][own], w["bias"][own], ids[at] - g * GROUPS)
     back = np.empty(len(ids), np.float64)
     back[order] = out
     return back
 
 
 def gradients(w: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray) -> Iterator[tuple[str, object, np.ndarray]]:
-    """The gradient of the negative sum of log-probabilities: name, place in the weights, values."""
-    order, bounds = _by_group(ids)
-    ids, around, rows = ids[order], around[:, order], np.arange(len(ids))
-    pre, h = _hidden(w, around)
-    p = _exp(h @ w["group"].T + w["bias"][WORDS:])
-    p /= p.sum(1, keepdims=True)
-    p[rows, ids // GROUPS] -= 1
-    back = p @ w["group"]
-    found = [("group", slice(None), p.T @ h), ("bias", slice(WORDS, None), p.sum(0))]
+    """The gradient of the negative sum of log-probabilities: name, place in the weights, values.
+
+    By rows, weights and biases it is what the softmax expects less what is there.
+    """
+    order = _order(ids)
+    ids, around = ids[order], around[:, order]
+    group, bounds = ids // GROUPS, np.searchsorted(ids, np.arange(0, WORDS + 1, GROUPS))
+    pre, plain = _hidden(w, around)
+    h = _with_ones(plain)
+    back, by_group = _expected(h, w["group"], w["bias"][WORDS:])
+    by_word = np.zeros((WORDS, h.shape[1]), h.dtype)
     for g in range(GROUPS):
         at, own = slice(bounds[g], bounds[g + 1]), slice(g * GROUPS, (g + 1) * GROUPS)
         if bounds[g] < bounds[g + 1]:
-            p = _exp(h[at] @ w["word"][own].T + w["bias"][own])
-            p /= p.sum(1, keepdims=True)
-            p[rows[: len(p)], ids[at] - g * GROUPS] -= 1
-            back[at] += p @ w["word"][own]
-            found += [("word", own, p.T @ h[at]), ("bias", own, p.sum(0))]
-    back *= 1 - h * h
+            more, by_word[own] = _expected(h[at], w["word"][own], w["bias"][own])
+            back[at] += more
+    back -= w["group"][group]
+    back -= w["word"][ids]
+    for sums, target in ((by_group, group), (by_word, ids)):
+        first = _starts(target)
+        sums[target[first]] -= np.add.reduceat(h, first, axis=0)
+    found = [("group", slice(None), by_group[:, :-1]), ("bias", slice(WORDS, None), by_group[:, -1]), ("word", slice(None), by_word[:, :-1]), ("bias", slice(WORDS), by_word[:, -1])]
+    back *= 1 - plain * plain
     inward = back @ w["hidden"].T
     found.append(("hidden", slice(None), pre.T @ back))
     for i in range(2 * SIDE):  # sums by word
-        by_word = np.argsort(around[i], kind="stable")
-        sorted_ids = around[i][by_word]
-        first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-        found.append(("embed", (i, sorted_ids[first]), np.add.reduceat(inward[by_word], first, axis=0)))
+        place = _order(around[i])
+        sorted_ids = around[i][place]
+        first = _starts(sorted_ids)
+        found.append(("embed", (i, sorted_ids[first]), np.add.reduceat(inward[place], first, axis=0)))
     yield from found
 
 

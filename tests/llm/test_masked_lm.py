@@ -136,3 +136,18 @@ def test_empty(spark, docs):
     model = m.train(empty)
     assert m.score(empty, model).count() == 0 and not model.vocabulary
     assert {r.n_words for r in m.score(docs.where("doc_id = 900"), model).collect()} == {0}
+
+
+def test_rows_in_blocks_give_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    w = {k: v.astype(np.float64) for k, v in m.start(rng.integers(0, 50, m.WORDS)).items()}
+    ids = rng.integers(0, 200, 90).astype(np.int32)
+    around = m.contexts(ids, np.array([50, 0, 40]))
+    for scale in (1, 300):  # logits beyond the bound too
+        w["word"] *= scale
+        whole, total = m.log_probabilities(w, ids, around), list(m.gradients(w, ids, around))
+        with monkeypatch.context() as patch:
+            patch.setattr(m, "ROWS", 8)
+            assert m.log_probabilities(w, ids, around) == pytest.approx(whole)
+            for (_, _, a), (_, _, b) in zip(total, m.gradients(w, ids, around), strict=True):
+                assert np.allclose(a, b)
