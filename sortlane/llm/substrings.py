@@ -323,8 +323,9 @@ def repeated_ranges(docs: DataFrame, ranges: int, seed: int = SEED) -> DataFrame
     ``docs`` has ``did, doc_id, text``.
     """
     size = 4 * seed
+    # texts are dealt by document at any size: a broadcast would do for small tables only
     survivors = staged(surviving_seeds(docs, ranges, seed), "survivors")
-    near = docs.join(survivors, "did").select("did", "doc_id", "text", "at", "kind").sortWithinPartitions("did")
+    near = docs.join(survivors.hint("merge"), "did").select("did", "doc_id", "text", "at", "kind").sortWithinPartitions("did")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, chunk = Memo(100_000), TaskContext.get().partitionId() << 32
@@ -362,11 +363,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     length are taken whole; other columns, whatever their names, are not looked at.  An
     empty table gives an empty result.
     """
-    row = [F.struct(*docs.columns).alias("row")] if whole_rows else []
-    whole = docs.select(document_key(key, text).alias("did"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *row)
+    did, names = document_key(key, text).alias("did"), (F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with scratch(docs.sparkSession) as keep:
-        found = keep(staged(repeated_ranges(whole.select("did", "doc_id", "text"), ranges_for(docs, text), seed), "ranges"))
-    joined = whole.join(found, "did", "left").select("doc_id", "text", "ranges", *(["row"] if row else []))
+        found = keep(staged(repeated_ranges(docs.select(did, *names), ranges_for(docs, text), seed), "ranges"))
+    found = found.hint("merge")
+    if whole_rows:  # a text travels once, in its row
+        row = F.col("row")
+        joined = docs.select(did, F.struct(*docs.columns).alias("row")).join(found, "did", "left").select(row[key].cast("long").alias("doc_id"), row[text].alias("text"), "ranges", "row")
+    else:
+        joined = docs.select(did, *names).join(found, "did", "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -355,3 +355,11 @@ def test_jaccard_sketch_bounds_the_difference_and_spares_pairs(spark, monkeypatc
     got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(k, k) for k, _ in rows}
     assert sum(n for label, _, n in made if label in ("likely", "open")) < 50
+
+
+def test_substring_dedup_sends_a_text_once_and_never_by_broadcast(spark, docs):
+    rows = substrings.dedup(docs, whole_rows=True)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    below = plan[plan.index("Join") :].split("\n")[1]
+    assert "struct(" in below and "AS text" not in below and below.count("AS doc_id") == 0
