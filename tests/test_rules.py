@@ -1,6 +1,7 @@
 """Golden values and properties of the rules."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -113,6 +114,62 @@ def test_buyer_blocks(spark):
     assert got == {1: ("Carlos Johnson", "Muzon North, Brgy. Tungko"), 5: ("Al Bo", None)}
 
 
+def zones(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: (r.name, r.address) for r in extract.buyer_zones(extract.label_lines(rows, "k", "t"), "k").collect()}
+    return [got.get(i) for i in range(len(texts))]
+
+
+def test_buyer_zones_without_two_plain_words(spark):
+    """A name of other capitalised words counts if no line has two plain ones; a tag behind it goes."""
+    want = {
+        "BUYER\nJOSE RIZAL PDG\nLot 5\nCOD\nBrgy. Muzon\nZIP CODE 3023\nx": ("JOSE RIZAL", "Lot 5, Brgy. Muzon"),
+        "Lot 5 A\nBUYER NAME\nMaria de la Peña prepaid\nx y": (None, None),
+        "MAR|A de la Peña\nx y": ("MARIA de la Peña", "x y"),
+        "Maria Muñoz\r\nPDG\r\nBrgy. Muzon\r\n": ("Maria Muñoz", "Brgy. Muzon"),
+        "JOSE RIZAL\nx\nCarlos Johnson\nLot 5": ("Carlos Johnson", "Lot 5"),
+        "Carlos Paid\nLot 5": ("Carlos", "Lot 5"),
+        "A Bo\nno name\nAB CD COD COD": ("AB CD COD", None),
+        "A B C D E": (None, None),
+        "A B" + " " * 300_000 + "C": ("A B" + " " * 300_000 + "C", None),
+        "A" * 300_000 + " B\n" + "\n" * 20_000 + "x": ("A" * 300_000 + " B", "x"),
+        "": (None, None),
+    }
+    assert dict(zip(want, zones(spark, want))) == want
+
+
+def test_buyer_zones_equal_brute_force(spark):
+    def brute(text):
+        lines = [x.strip() for x in text.split("\n") if x.strip()]
+        plain = [re.search(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b", x) for x in lines]
+        no_name = ("district", "city", "zip", "province", "street", "buyer", "seller", "flash express")
+        few = [len(x) >= 5 and not re.search(r"\d", x) and not any(w in x.lower() for w in no_name) and len(x.split()) <= 4 and sum(w[0].isupper() for w in x.split()) >= 2 for x in lines]
+        at = next((i for i, m in enumerate(plain) if m), None)
+        name = None if at is None else plain[at][1]
+        if at is None and any(few):
+            at = few.index(True)
+            name = lines[at]
+        if name is None:
+            return None, None
+        name = re.sub(r"\s+(PDG|COD|Paid|Prepaid)$", "", name, flags=re.IGNORECASE).replace("|", "I").replace("0", "O")
+        address = []
+        for x in lines[at + 1 :]:
+            if any(w in x.lower() for w in ("district", "street", "city", "province", "zip code", "seller", "flash express", "gaya-gaya")):
+                break
+            if x.lower() not in ("buyer", "seller", "pdg", "cod"):
+                address.append(x)
+        return name, ", ".join(address) or None
+
+    random.seed(5)
+    words = ["JOSE", "RIZAL", "Maria", "Muñoz", "Ángel", "de", "la", "|sa", "Mar|a", "Al", "A", "b", "PDG", "cod", "Paid", "prePAID", "Lot", "5", "٣", "0", "½a", "_x", "Brgy.", "Ñ", "n\u0303o", "ǅa", "Ⓐb", "李", "É", "San", "Buyer", "zip", "Zip Code", "gaya-gaya", "Streets", "\U0001d400b"]
+    gaps = [" ", " ", " ", " ", "  ", "\t", "\xa0", "\u3000", "\x1c", "\r", "-", ""]
+    line = lambda: random.choice(gaps) + "".join(random.choice(words) + random.choice(gaps) for _ in range(random.randint(0, 5)))
+    texts = ["\n".join(line() for _ in range(random.randint(0, 6))) for _ in range(6000)]
+    want = [brute(t) for t in texts]
+    assert sum(n is None for n, _ in want) > 500 and sum(n is not None and not re.search("[A-Z][a-z]+ [A-Z][a-z]", n) for n, _ in want) > 500
+    assert [(t[:200], g) for t, g, w in zip(texts, zones(spark, texts), want) if g != w] == []
+
+
 def test_name_lines_need_known_names(spark):
     rows = spark.createDataFrame([(1, "x\nQwerty Zxcvbn is here\nshort\nMaria Santos lives here"), (2, "Qwerty Zxcvbn is here"), (3, "")], "k int, t string")
     assert {r.k: r.name for r in extract.name_lines(extract.label_lines(rows, "k", "t"), "k").collect()} == {1: "Maria Santos"}
